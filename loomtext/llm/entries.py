@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import chat_format, exact_dedup, shard_shuffle, url_filter
+from loomtext.llm import chat_format, exact_dedup, mixing, packing, quality, shard_shuffle, url_filter
 from loomtext.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,45 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+# --- 7: mixing ----------------------------------------------------------------------------------
+
+#: Shares of the languages, which are the domains, in the mixture.
+TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled documents with their language as domain."""
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id").distinct(), "doc_id")
+
+
+def op7_mix_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), TARGETS)
+
+
+# --- 8: packing ---------------------------------------------------------------------------------
+
+BUCKETS, BUDGET = 16, 32768
+
+
+def op8_pack_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", F.size(quality.words_of(F.coalesce("text", F.lit("")))).cast("long").alias("n_tokens"))
+    return packing.pack(sized, "n_tokens", "doc_id", BUCKETS, BUDGET)
+
+
+# --- 9: quality rules ---------------------------------------------------------------------------
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Documents of good quality that are not toxic."""
+    return labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
+
+
+def op9_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+
+
 # --- 10: sharding -------------------------------------------------------------------------------
 
 SHARDS = 8
@@ -107,6 +146,9 @@ QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op4_url_filter": op4_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_mix_domains": op7_mix_domains,
+    "op8_pack_buckets": op8_pack_buckets,
+    "op9_quality_llr": op9_quality_llr,
     "op10_shard_shuffle": op10_shard_shuffle,
 }
 SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_url_filter": OP4_SQL, "op6_exact_dedup": OP6_SQL}
