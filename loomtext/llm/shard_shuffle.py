@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loomtext.llm.common import materialise
 
 
-def external_shuffle(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", seed: int = 17, bucket_bytes: int = 4 << 20) -> DataFrame:
+def external_shuffle(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", seed: int = 17, bucket_bytes: int = 4 << 20, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """Every row with ``size`` (UTF-8 bytes of the text plus 1), ``shard`` and ``slot``.
 
     All columns are kept (input columns of these three names are replaced).
@@ -44,6 +44,8 @@ def external_shuffle(docs: DataFrame, shards: int, key: str = "doc_id", text: st
         "__bucket",
         F.coalesce(F.sum("count").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
     )
+    if n * 16 <= broadcast_bytes:  # at most n rows of two longs: then the records need not move again
+        before = F.broadcast(before)
     at = F.col("__before") + F.col("__i")
     return dealt.join(before, "__bucket").select(
         *[F.col(f"__r.c{i}").alias(c) for i, c in enumerate(names)],
