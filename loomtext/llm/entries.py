@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import chat_format, exact_dedup, mixing, packing, quality, shard_shuffle, url_filter
+from loomtext.llm import chat_format, exact_dedup, html_extract, mixing, near_dup, packing, quality, shard_shuffle, url_filter
 from loomtext.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,21 @@ SELECT conv_id, CAST(max(n) AS BIGINT) AS n_turns,
 FROM x GROUP BY conv_id
 """
 
+# --- 2: n-gram Jaccard join ---------------------------------------------------------------------
+
+
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dup.near_groups(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+# --- 3: HTML extraction -------------------------------------------------------------------------
+
+
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 # --- 4: URL filter ------------------------------------------------------------------------------
 
 #: Fixed by the query: (host and path, verdict).
@@ -144,6 +159,8 @@ def op10_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
+    "op2_near_dup": op2_near_dup,
+    "op3_html_extract": op3_html_extract,
     "op4_url_filter": op4_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_domains": op7_mix_domains,

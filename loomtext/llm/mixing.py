@@ -146,5 +146,6 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ke
     rated = posteriors(rows, prior, weights, "__text").withColumn("rate", _rate(steps))
     draw = F.shiftrightunsigned("__u", 11) / float(1 << 53)
     copies = F.greatest(F.lit(least).cast("long"), F.floor(F.col("rate") + draw).cast("long"))
-    many = rated.select("__row", copies.alias("n")).where("n > 0").select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    # The outer kind and a filter on what it makes: a plain explode would have the rates computed twice.
+    many = rated.select("__row", F.explode_outer(F.array_repeat(F.lit(True), copies.cast("int"))).alias("__one")).where("__one")
     return many.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(names)])

@@ -133,5 +133,6 @@ def keep_good(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: st
     names = docs.columns
     weights = fit_weights(docs, trusted, key, text, **fit)
     rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)]).alias("__row"), F.coalesce(docs[text], F.lit("")).alias("__text"))
-    kept = score_documents(rows, weights, threshold=threshold).where("kept")
+    # The row number keeps the filter above the scores: pushed below them it would compute each score again, nested.
+    kept = score_documents(rows, weights, threshold=threshold).withColumn("__at", F.monotonically_increasing_id()).where("kept AND __at >= 0")
     return kept.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(names)])
