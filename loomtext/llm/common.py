@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -67,3 +68,9 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of jobs whose frames are gone, instead of when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import chat_format, exact_dedup, html_extract, mixing, near_dup, packing, quality, shard_shuffle, url_filter
+from loomtext.llm import chat_format, exact_dedup, html_extract, mixing, near_dup, packing, quality, shard_shuffle, suffix_dedup, url_filter
 from loomtext.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,14 @@ SELECT page_id, host, path, rule,
 FROM c LEFT JOIN l USING (canon)
 """
 
+# --- 5: suffix-array dedup ----------------------------------------------------------------------
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 # --- 6: exact dedup -----------------------------------------------------------------------------
 
 
@@ -162,6 +170,7 @@ QUERIES: dict[str, Query] = {
     "op2_near_dup": op2_near_dup,
     "op3_html_extract": op3_html_extract,
     "op4_url_filter": op4_url_filter,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_domains": op7_mix_domains,
     "op8_pack_buckets": op8_pack_buckets,

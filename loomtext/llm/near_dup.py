@@ -29,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.bytehash import mixed, prefix_sums, substring_hashes
 from loomtext.llm.common import forget, materialise
 
 WORDS = 5
@@ -37,29 +38,11 @@ COORDINATES = 32
 LIMIT, BLOCK, DEPTH = 200, 1024, 4
 
 _rng = np.random.default_rng(5190)
-BYTES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACES = _rng.integers(0, 1 << 63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MINS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE, BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 #: Texts are hashed in pieces of so many bytes at most, cut at white space.
 PIECE = 1 << 21
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of BASE and of its inverse modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (BASE, BASE_INV)]
-    return _powers[0][:n], _powers[1]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
@@ -82,9 +65,7 @@ def word_hashes_of(raw: bytes) -> np.ndarray:
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.empty(0, np.uint64)
-    power, inverse = powers(len(data))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[data] * power, dtype=np.uint64)])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts])
+    return substring_hashes(prefix_sums(data), starts, ends)
 
 
 def shingles(raw: bytes) -> np.ndarray:
