@@ -40,6 +40,8 @@ PACK = 800_000
 #: Long packs (of one long text) are hashed in pieces of so many windows.
 PIECE = 1 << 21
 BATCH = 1 << 18
+#: Entries of so many anchors are dealt to the ranges at once.
+FLUSH = 1 << 19
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 NULL_ID = np.iinfo(np.int64).min
 
@@ -76,7 +78,8 @@ def _anchors(data: np.ndarray, ends: np.ndarray, lo: int, hi: int) -> tuple[np.n
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)]))
     first, last = window[new], window[np.concatenate([new[1:], [len(window)]]) - 1]
     span = mixed(substring_hashes(sums, first, last + L) + (last - first).astype(np.uint64))
-    return first + lo, last + lo, grams[anchor[new]], span
+    # Anchors have low hashes, so their fingerprint is a second hash, which spreads them evenly over the ranges.
+    return first + lo, last + lo, mixed(~grams[anchor[new]]), span
 
 
 class Pack:
@@ -137,33 +140,60 @@ def opened(batch: pa.RecordBatch, r: int) -> Pack:
     return Pack(np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64), z)
 
 
+def coded(values: np.ndarray) -> tuple[bytes, bytes]:
+    """The distinct values, and for each value its place among them, in two or four bytes."""
+    names, codes = np.unique(values, return_inverse=True)
+    return names.tobytes(), small(codes)
+
+
+def small(codes: np.ndarray) -> bytes:
+    return codes.astype(np.uint16 if not len(codes) or codes.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def unsmall(raw: pa.Buffer | bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if len(memoryview(raw)) == 2 * n else np.uint32)
+
+
+def uncoded(names: pa.Buffer, codes: pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(names, np.int64)[unsmall(codes, n)]
+
+
+def by_range(gram: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The ranges of fingerprints that occur, each with the rows in it."""
+    to = ((gram >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    order = np.argsort(to, kind="stable")
+    names, cuts = np.unique(to[order], return_index=True)
+    yield from zip(names.tolist(), np.split(order, cuts[1:]), strict=False)
+
+
 def entries(made: DataFrame, ranges: int) -> DataFrame:
-    """``range, pack, keys, tails, ords, ids``: the index entries of each pack for each range."""
+    """The index entries for each range, of several packs in a row: ``range, keys, tails, ords`` and ids and packs as codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            gram, span, ident, ords, pack = (np.concatenate(x) for x in zip(*held, strict=True))
+            key = (gram & np.uint64(0xFFFFFFFFFFFF0000)) | (span >> np.uint64(48))
+            tail = (span >> np.uint64(16)).astype(np.uint32)
+            rows = [(k, key[o].tobytes(), tail[o].tobytes(), small(ords[o]), *coded(ident[o]), *coded(pack[o])) for k, o in by_range(gram, ranges)]
+            cols = [pa.array([x[0] for x in rows], pa.int32()), *(pa.array([x[i] for x in rows], pa.binary()) for i in range(1, 8))]
+            return pa.RecordBatch.from_arrays(cols, names=["range", "keys", "tails", "ords", "ids", "codes", "packs", "pcodes"])
+
         for batch in batches:
             for r, number in enumerate(batch.column("pack").to_pylist()):
                 p = opened(batch, r)
                 lead = p.leaders
-                gram, span, ident = p.gram[lead], p.span[lead], p.id[lead]
-                key = (gram & np.uint64(0xFFFFFFFFFFFF0000)) | (span >> np.uint64(48))
-                tail = (span >> np.uint64(16)).astype(np.uint32)
-                to = ((gram >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-                order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(ranges + 1, dtype=np.uint64))
-                names, codes = np.unique(ident, return_inverse=True)
-                rows = []
-                for k in np.flatnonzero(np.diff(cuts)):
-                    o = order[cuts[k] : cuts[k + 1]]
-                    ids, code = np.unique(codes[o], return_inverse=True)
-                    small = np.uint16 if len(p.gram) < 1 << 16 else np.uint32
-                    rows.append((int(k), key[o].tobytes(), tail[o].tobytes(), lead[o].astype(small).tobytes(), names[ids].tobytes(), code.astype(small).tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), *(pa.array([x[i] for x in rows], pa.binary()) for i in range(1, 6))],
-                    names=["range", "pack", "keys", "tails", "ords", "ids", "codes"],
-                )
+                held.append((p.gram[lead], p.span[lead], p.id[lead], lead, np.full(len(lead), number, np.int64)))
+                size += len(lead)
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
-    return made.mapInArrow(run, "range int, pack bigint, keys binary, tails binary, ords binary, ids binary, codes binary")
+    return made.mapInArrow(run, "range int, keys binary, tails binary, ords binary, ids binary, codes binary, packs binary, pcodes binary")
 
 
 class Levels:
@@ -278,18 +308,16 @@ def scan(rows: DataFrame) -> DataFrame:
                 )
 
         for batch in batches:
-            for r, (key, pack) in enumerate(zip(batch.column("range").to_pylist(), batch.column("pack").to_pylist(), strict=True)):
+            for r, key in enumerate(batch.column("range").to_pylist()):
                 if key != last:
                     if last is not None:
                         yield from close()
                     last, levels = key, Levels()
-                keys, tails, ords, ids, codes = (batch.column(c)[r].as_buffer() for c in ("keys", "tails", "ords", "ids", "codes"))
+                keys, tails, ords, ids, codes, packs_, pcodes = (batch.column(c)[r].as_buffer() for c in ("keys", "tails", "ords", "ids", "codes", "packs", "pcodes"))
                 keys = np.frombuffer(keys, np.uint64)
-                kind = np.uint16 if ords.size == 2 * len(keys) else np.uint32
-                held.append(
-                    (keys, np.frombuffer(tails, np.uint32), np.frombuffer(ids, np.int64)[np.frombuffer(codes, kind)], np.full(len(keys), pack, np.int64), np.frombuffer(ords, kind).astype(np.int64))
-                )
-                size += len(keys)
+                n = len(keys)
+                held.append((keys, np.frombuffer(tails, np.uint32), uncoded(ids, codes, n), uncoded(packs_, pcodes, n), unsmall(ords, n).astype(np.int64)))
+                size += n
                 if size >= BATCH:
                     flush()
         if last is not None:
@@ -304,46 +332,53 @@ def joined(parts: pa.Scalar, kind: type = np.uint32) -> np.ndarray:
 
 
 def open_windows(rows: DataFrame, ranges: int) -> DataFrame:
-    """``range, pack, id, ord, n, span``: the spans of anchors that are to be compared window by window."""
+    """The spans of anchors that are to be compared window by window: ``range, ord, n, span`` and ids and packs as codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            gram, ident, ords, pack, length = (np.concatenate([h[i] for h in held]) for i in range(5))
+            data = np.concatenate([h[5] for h in held])
+            begin = np.cumsum(length) - length
+            rows_ = []
+            for k, o in by_range(gram, ranges):
+                at = np.repeat(begin[o], length[o]) + np.arange(length[o].sum()) - np.repeat(np.cumsum(length[o]) - length[o], length[o])
+                rows_.append((k, ords[o].astype(np.uint32).tobytes(), (length[o] - L + 1).astype(np.uint8).tobytes(), data[at].tobytes(), *coded(ident[o]), *coded(pack[o])))
+            cols = [pa.array([x[0] for x in rows_], pa.int32()), *(pa.array([x[i] for x in rows_], pa.binary()) for i in range(1, 8))]
+            return pa.RecordBatch.from_arrays(cols, names=["range", "ord", "n", "span", "ids", "codes", "packs", "pcodes"])
+
         for batch in batches:
             for r, number in enumerate(batch.column("pack").to_pylist()):
                 ords = np.sort(joined(batch.column("open")[r]))
                 if not len(ords):
                     continue
                 p = opened(batch, r)
-                to = ((p.gram[ords] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-                order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(ranges + 1, dtype=np.uint64))
-                out = []
-                for k in np.flatnonzero(np.diff(cuts)):
-                    o = ords[order[cuts[k] : cuts[k + 1]]]
-                    size = (p.last[o] - p.first[o]).astype(np.int64) + L
-                    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    out.append((int(k), p.id[o].tobytes(), o.tobytes(), (size - L + 1).astype(np.uint8).tobytes(), p.data[np.repeat(p.first[o], size) + step].tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in out], pa.int32()), pa.array([number] * len(out), pa.int64()), *(pa.array([x[i] for x in out], pa.binary()) for i in range(1, 5))],
-                    names=["range", "pack", "id", "ord", "n", "span"],
-                )
+                length = p.last[ords] - p.first[ords] + L
+                at = np.repeat(p.first[ords] - np.cumsum(length) + length, length) + np.arange(length.sum())
+                held.append((p.gram[ords], p.id[ords], ords, np.full(len(ords), number, np.int64), length, p.data[at]))
+                size += len(ords)
+                if size >= FLUSH // 4:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
-    return rows.mapInArrow(run, "range int, pack bigint, id binary, ord binary, n binary, span binary")
+    return rows.mapInArrow(run, "range int, ord binary, n binary, span binary, ids binary, codes binary, packs binary, pcodes binary")
 
 
 def judge_windows(rows: DataFrame) -> DataFrame:
     """``pack, ord, mask``: for open anchors the windows (bits) that also start in a smaller document."""
 
     def verdict(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        packs_ = [h[0] for h in held]
-        count = [len(h[1]) for h in held]
-        ident, ords, n = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+        ords, n, ident, pack = (np.concatenate([h[i] for h in held]) for i in range(4))
         n = n.astype(np.int64)
         hashes = []
-        for h in held:
-            size = h[3].astype(np.int64)
-            begin = np.cumsum(size + L - 1) - (size + L - 1)
-            at = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            hashes.append(substring_hashes(prefix_sums(h[4]), at, at + L))
+        for _, m, _, _, span in held:
+            size = m.astype(np.int64)
+            at = np.repeat(np.cumsum(size + L - 1) - np.cumsum(size) - (L - 1), size) + np.arange(size.sum())
+            hashes.append(substring_hashes(prefix_sums(span), at, at + L))
         windows = np.concatenate(hashes)
         owner = np.repeat(np.arange(len(n)), n)
         bit = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
@@ -354,10 +389,13 @@ def judge_windows(rows: DataFrame) -> DataFrame:
         hit = order[least < ident[owner[order]]]
         mask = np.zeros(len(n), np.uint32)
         np.bitwise_or.at(mask, owner[hit], np.uint32(1) << bit[hit].astype(np.uint32))
-        cuts = np.cumsum(count)[:-1]
-        out = [(p, o[m > 0].astype(np.uint32).tobytes(), m[m > 0].tobytes()) for p, o, m in zip(packs_, np.split(ords, cuts), np.split(mask, cuts), strict=True) if m.any()]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["pack", "ord", "mask"])
+        some = np.flatnonzero(mask)
+        some = some[np.argsort(pack[some], kind="stable")]
+        names, cuts = np.unique(pack[some], return_index=True)
+        parts = np.split(some, cuts[1:]) if len(names) else []
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.int64()), pa.array([ords[o].tobytes() for o in parts], pa.binary()), pa.array([mask[o].tobytes() for o in parts], pa.binary())], names=["pack", "ord", "mask"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
@@ -367,8 +405,9 @@ def judge_windows(rows: DataFrame) -> DataFrame:
                     yield from verdict(held)
                     held = []
                 last = key
-                ident, ords, n, span = (np.frombuffer(batch.column(c)[r].as_buffer(), k) for c, k in (("id", np.int64), ("ord", np.uint32), ("n", np.uint8), ("span", np.uint8)))
-                held.append((batch.column("pack")[r].as_py(), ident, ords, n, span))
+                ords, n, span, ids, codes, packs_, pcodes = (batch.column(c)[r].as_buffer() for c in ("ord", "n", "span", "ids", "codes", "packs", "pcodes"))
+                ords = np.frombuffer(ords, np.uint32)
+                held.append((ords, np.frombuffer(n, np.uint8), uncoded(ids, codes, len(ords)), uncoded(packs_, pcodes, len(ords)), np.frombuffer(span, np.uint8)))
         if held:
             yield from verdict(held)
 
@@ -433,7 +472,7 @@ def finished(p: Pack, covered: np.ndarray, ords: np.ndarray, masks: np.ndarray,
     )
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", range_bytes: int = 24 << 20, with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", range_bytes: int = 8 << 20, with_kept: bool = False) -> DataFrame:
     """One row per row: ``id, n_bytes, n_removed, n_spans, kept_sha256, spans`` (removed runs, byte offsets) and ``kept`` (bytes, on demand).
 
     A byte goes if a string of 50 bytes over it also starts in a row with a
