@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries are sent to the executors in blocks of so many bytes of vectors at most.
 QUERY_BYTES = 16 << 20
@@ -41,9 +42,10 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 24, admissible:
     rows = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
     corpus = vectors if admissible is None else vectors.where(admissible)
     corpus = corpus.select("chunk_id", "embedding").where(F.col("embedding").isNotNull())
+    kinds = [to_arrow_type(x.schema[c].dataType) for x, c in ((rows, "query_id"), (corpus, "chunk_id"))]
     found = None
     for ids, matrix in _blocks(rows):
-        part = corpus.mapInArrow(_scan(ids, matrix, k), f"query_id {dict(rows.dtypes)['query_id']}, chunk_id {dict(corpus.dtypes)['chunk_id']}, distance double")
+        part = corpus.mapInArrow(_scan(ids, matrix, k, kinds), f"query_id {dict(rows.dtypes)['query_id']}, chunk_id {dict(corpus.dtypes)['chunk_id']}, distance double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = rows.join(corpus.limit(0), F.lit(False)).select("query_id", "chunk_id", F.lit(0.0).alias("distance"))
@@ -64,7 +66,7 @@ def _blocks(rows: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
         yield ids, np.stack(vecs)
 
 
-def _scan(ids: list, matrix: np.ndarray, k: int):
+def _scan(ids: list, matrix: np.ndarray, k: int, kinds: list[pa.DataType]):
     unit = matrix / np.maximum(np.sqrt((matrix**2).sum(axis=1, keepdims=True)), 1e-300)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +93,7 @@ def _scan(ids: list, matrix: np.ndarray, k: int):
         n = best_d.shape[1]
         if n:
             q = [i for i in ids for _ in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best_i.ravel().tolist()), pa.array(best_d.ravel())], names=["query_id", "chunk_id", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array(q, kinds[0]), pa.array(best_i.ravel().tolist(), kinds[1]), pa.array(best_d.ravel())], names=["query_id", "chunk_id", "distance"])
 
     return run
 
