@@ -98,7 +98,7 @@ def sketch(docs: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(minimum(s).view(np.int64) if len(s) else None)
-                z.append(pack.compress(raw) if len(s) else None)
+                z.append(None if t is None else pack.compress(raw))
             other = [c for c in batch.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in other], pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(sig, pa.list_(pa.int64())), pa.array(z, pa.binary())],
@@ -292,11 +292,8 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return out
 
 
-def near_groups(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, recall: float = 0.99999,
-    limit: int = LIMIT, block: int = BLOCK, depth: int = DEPTH, keep: list[str] = (),
-) -> DataFrame:
-    """One row per row: ``id, class_id, n_links, group_size, row`` (a number of its own) and the columns in ``keep`` as c0, c1...
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row per row: ``id, class_id, n_links, group_size``. ``how`` goes to :func:`groups`.
 
     ``class_id`` is the least key of the rows that links join, directly or not;
     ``n_links`` counts the other rows whose set has Jaccard similarity
@@ -305,9 +302,17 @@ def near_groups(
     one to four words have one shingle, all of them. Null texts and texts
     without words have no shingles, no links and are classes of their own.
     Repeated rows are linked like other copies; null keys count as rows, and a
-    class of null keys has a null class_id. An empty table gives no rows.
+    class of null keys has a null class_id. Columns besides these two are not
+    read. An empty table gives no rows.
     """
-    made = materialise(sketch(docs, key, text, list(keep)).withColumn("row", F.monotonically_increasing_id()), "sketch")
+    made = materialise(sketch(docs, key, text, []).withColumn("row", F.monotonically_increasing_id()), "sketch")
+    return groups(made, **how).drop("row")
+
+
+def groups(
+    made: DataFrame, similar: float = SIMILAR, recall: float = 0.99999, limit: int = LIMIT, block: int = BLOCK, depth: int = DEPTH
+) -> DataFrame:
+    """``id, row, class_id, n_links, group_size`` for the rows of a written :func:`sketch` with numbers ``row``."""
     full = made.where("n > 0")
     reps = full.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("weight"), F.min("id").alias("least"))
     reps = materialise(reps.join(full.select("row", "sig"), F.col("rep") == F.col("row")).drop("row"), "reps")
@@ -318,12 +323,11 @@ def near_groups(
     earlier = members.select("leaf", "size", F.explode_outer(F.filter("hist", lambda u: u < F.col("leaf"))).alias("u")).where("u is not null")
     useless = earlier.groupBy("leaf", "u").agg(F.count("*").alias("n"), F.max("size").alias("size")).where("n = size").select("leaf").distinct()
     work = members.join(useless, "leaf", "left_anti")
-    cut = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("cut").cast("bigint")).cast("int")
-    work = work.withColumn("cut", cut).withColumn("own", own).select("leaf", "rep", "weight", "hist", "own", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("with"))
-    work = work.select(
-        "leaf", "rep", "weight", "hist", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side")
-    )
+    work = work.withColumn("cut", F.ceil(F.col("size") / block).cast("int"))
+    work = work.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cut").cast("bigint")).cast("int"))
+    work = work.select("leaf", "rep", "weight", "hist", "own", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("with"))
+    i, j = F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")
+    work = work.select("leaf", "rep", "weight", "hist", i, j, (F.col("own") > F.col("with")).cast("int").alias("side"))
     work = work.join(full.select(F.col("row").alias("rep"), "z"), "rep").repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j")
     found = materialise(verify(work, similar), "links")
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -331,21 +335,33 @@ def near_groups(
     marked = reps.drop("sig").join(degree, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     marked = marked.withColumn("label", F.coalesce("label", "rep"))
     least = marked.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("weight").alias("group_size"))
-    marked = materialise(marked.join(least, "label").select(F.col("digest").alias("d"), "class_id", "group_size", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "classes")
-    forget(leaves, members)
-    cols = [f"c{i}" for i in range(len(keep))]
-    some = full.join(marked, F.col("digest") == F.col("d")).select("id", "class_id", "n_links", "group_size", "row", *cols)
-    none = made.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("group_size"), "row", *cols)
-    return some.unionByName(none)
+    links = (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
+    marked = materialise(marked.join(least, "label").select(F.col("digest").alias("d"), "class_id", "group_size", links), "classes")
+    forget(leaves, members, reps, found)
+    some = full.select("id", "row", "digest").join(marked, F.col("digest") == F.col("d")).select("id", "row", "class_id", "n_links", "group_size")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    return some.unionByName(made.where("n = 0").select("id", "row", F.col("id").alias("class_id"), zero.alias("n_links"), one.alias("group_size")))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of each class of :func:`near_groups`, with its columns as they are: that of the least key (of equal keys, one of them)."""
+    """One row of each class of :func:`near_groups`, with its columns as they are: that of the least key (of equal keys, one of them).
+
+    The texts move compressed, and once after it is known which of them stay.
+    """
     names = docs.columns
-    out = near_groups(docs, key, text, keep=names, **how)
-    alone = out.where("group_size = 1")
-    shared = out.where("group_size > 1")
-    first = shared.where(F.col("id").eqNullSafe(F.col("class_id")))
-    picked = first.groupBy(F.col("class_id").alias("k")).agg(F.min("row").alias("r"))
-    first = first.join(picked, F.col("row") == F.col("r")).select(*alone.columns)
-    return alone.unionByName(first).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    other = [n for n in names if n != text]
+    made = materialise(sketch(docs, key, text, other).withColumn("row", F.monotonically_increasing_id()), "sketch")
+    out = groups(made, **how)
+    shared = out.where("group_size > 1 AND id <=> class_id").groupBy("class_id").agg(F.min("row").alias("row")).select("row")
+    stay = materialise(out.where("group_size = 1").select("row").unionByName(shared), "stay")
+    kept = made.select("row", "z", *[f"c{i}" for i in range(len(other))]).join(stay, "row", "left_semi")
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts = [None if z is None else unpack.decompress(z).decode("utf-8", "replace") for z in batch.column("z").to_pylist()]
+            columns = {n: batch.column(f"c{i}") for i, n in enumerate(other)} | {text: pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    return kept.mapInArrow(run, schema)
