@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its length in words and its place: bucket, boundary, batch, slot and padding."""
     sized = docs.withColumn("n_tokens", F.size(quality.words_of(F.coalesce("text", F.lit("")))).cast("long"))
-    return packing.pack(sized, "n_tokens", "doc_id", entries.BUCKETS, entries.BUDGET)
+    return packing.pack(sized, "n_tokens", "doc_id", entries.BUCKETS, entries.BUDGET, stored=True)
 
 
 STAGES = [("quality rules", rules), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing to target weights", mix), ("packing", pack)]

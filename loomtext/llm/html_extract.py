@@ -164,7 +164,7 @@ def classify(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
     before, after = [None] * n, [None] * n
     # Inside a marked article its furniture says nothing of the blocks around it.
     for seq, to in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last = None
+        last = None if marked else False  # the ends of a page without a marked article count as bad
         for i in seq:
             to[i] = last
             if first[i] is not None and not (marked and foreign[i]):

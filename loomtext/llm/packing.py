@@ -62,7 +62,7 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, b
     return sorted(out)
 
 
-def pack(docs: DataFrame, length: str, key: str, buckets: int = 16, budget: int = 32768, exact: int = EXACT, cell_rows: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, length: str, key: str, buckets: int = 16, budget: int = 32768, exact: int = EXACT, cell_rows: int = 200_000, stored: bool = False) -> DataFrame:
     """Every row with ``bucket, boundary, batch, slot, padding`` (input columns of these names are replaced).
 
     ``batch`` is unique over all buckets as (bucket, batch). A batch holds
@@ -70,12 +70,16 @@ def pack(docs: DataFrame, length: str, key: str, buckets: int = 16, budget: int
     negative; null counts as 0. Rows are ordered inside a bucket by a hash of
     the key, then the key; repeated keys each get a slot of their own. An empty
     table gives no rows. No row is left out or cut.
+
+    The rows are read twice, for the histogram and for the places. ``stored``
+    says that this is cheap, as for a projection of a stored table; else they
+    are written first.
     """
     made = ("bucket", "boundary", "batch", "slot", "padding")
     names = [c for c in docs.columns if c not in made]
     size = F.coalesce(docs[f"`{length}`"].cast("long"), F.lit(0).cast("long"))
     rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)]).alias("__row"), docs[f"`{key}`"].alias("__key"), size.alias("__n"))
-    return number(materialise(rows, "lengths"), names, buckets, budget, exact, cell_rows)
+    return number(rows if stored else materialise(rows, "lengths"), names, buckets, budget, exact, cell_rows)
 
 
 def number(rows: DataFrame, names: list[str], buckets: int, budget: int, exact: int, cell_rows: int) -> DataFrame:

@@ -74,20 +74,27 @@ def listed_urls(
     lists nothing. The Bloom filter alone never decides: a hit goes on to the
     exact join.
     """
-    names = [f.name for f in pages.schema.fields if f.name != "listed"]
-    keys = materialise(listed.where((F.col(key) != "")).select(F.col(key).alias("__key")).distinct(), "listed")
-    blocks, n = bloom_blocks(keys, "__key", keys.count(), bits_per_key)
+    names = [c for c in pages.columns if c != "listed"]
+    row = F.struct(*[pages[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)])
+    marked = _listed(pages.select(row.alias("row"), pages[f"`{url}`"].alias("url")), listed.select(F.col(key).alias("key")), bits_per_key, broadcast_bytes)
+    return marked.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)], "listed")
+
+
+def _listed(pages: DataFrame, listed: DataFrame, bits_per_key: int = 16, broadcast_bytes: int = 8 << 20) -> DataFrame:
+    """``row, url, listed`` from pages (row, url) and the list (key)."""
+    keys = materialise(listed.where(F.col("key") != "").distinct(), "listed")
+    blocks, n = bloom_blocks(keys, "key", keys.count(), bits_per_key)
     if n * (WORDS + 1) * 8 <= broadcast_bytes:
         blocks = F.broadcast(blocks)
-    probed = pages.select(*[pages[f"`{c}`"] for c in names], canonical(pages[f"`{url}`"]).alias("__canon"))
-    joined = probed.join(blocks, _block(F.col("__canon"), n) == F.col("block"), "left")
-    hit = F.lit(True)
-    for i, bit in enumerate(_bits(F.col("__canon"))):
+    probed = pages.select("row", "url", canonical(F.col("url")).alias("canon"))
+    joined = probed.join(blocks, _block(F.col("canon"), n) == F.col("block"), "left")
+    hit = F.col("canon") != ""
+    for i, bit in enumerate(_bits(F.col("canon"))):
         hit = hit & (F.col(f"w{i}").bitwiseAND(bit) == bit)
-    marked = joined.select(*[f"`{c}`" for c in names], "__canon", F.coalesce(hit & (F.col("__canon") != ""), F.lit(False)).alias("__hit"))
-    sure = marked.where(~F.col("__hit")).select(*[f"`{c}`" for c in names], F.lit(False).alias("listed"))
-    maybe = marked.where("__hit").join(keys, F.col("__canon") == F.col("__key"), "left")
-    return sure.unionByName(maybe.select(*[f"`{c}`" for c in names], F.col("__key").isNotNull().alias("listed")))
+    marked = joined.select("row", "url", "canon", F.coalesce(hit, F.lit(False)).alias("hit"))
+    sure = marked.where(~F.col("hit")).select("row", "url", F.lit(False).alias("listed"))
+    maybe = marked.where("hit").join(keys, F.col("canon") == F.col("key"), "left")
+    return sure.unionByName(maybe.select("row", "url", F.col("key").isNotNull().alias("listed")))
 
 
 def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
@@ -106,12 +113,12 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], url: str = "url", key: str = "canon", **how) -> DataFrame:
     """Every row with host, path, rule and verdict: the longest rule's, else ``block`` for listed URLs and ``allow`` for others."""
-    marked = listed_urls(pages, listed, url, key, **how)
-    drop = {"host", "path", "rule", "verdict", "listed"}
-    keep = [f"`{f.name}`" for f in pages.schema.fields if f.name not in drop]
-    parts = marked.select(*keep, "listed", url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "listed")]
+    row = F.struct(*[pages[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)])
+    marked = _listed(pages.select(row.alias("row"), pages[f"`{url}`"].alias("url")), listed.select(F.col(key).alias("key")), **how)
+    parts = marked.select("row", "listed", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     ruled = parts.select("*", longest_rule(F.col("host"), F.col("path"), rules).alias("rule"))
     verdict = F.when(F.col("listed"), "block").otherwise("allow")
     for text, says in rules:
         verdict = F.when(F.col("rule") == text, says).otherwise(verdict)
-    return ruled.select(*keep, "host", "path", "rule", verdict.alias("verdict"), "listed")
+    return ruled.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)], "host", "path", "rule", verdict.alias("verdict"), "listed")
