@@ -73,11 +73,16 @@ def posteriors(docs: DataFrame, prior: np.ndarray, weights: np.ndarray, text: st
 
 
 def _rate(steps: list[np.ndarray]) -> Column:
-    rate = F.lit(1.0)
-    for step in steps:
-        move = sum((F.get("posterior", F.lit(j)) * float(c) for j, c in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return rate
+    """A document's rate after these steps, from 1. The steps are data of the expression, so that its size stays the same."""
+    if not steps:
+        return F.lit(1.0)
+    moves = F.array(*[F.array(*[F.lit(float(c)) for c in step]) for step in steps])
+
+    def move(rate: Column, step: Column) -> Column:
+        along = sum((F.get("posterior", F.lit(j)) * F.get(step, F.lit(j)) for j in range(len(steps[0]))), F.lit(0.0))
+        return F.greatest(F.lit(0.0), rate - along)
+
+    return F.aggregate(moves, F.lit(1.0), move)
 
 
 def fit_rates(features: DataFrame, targets: np.ndarray, total: float | None = None, tolerance: float = 1e-9, max_steps: int = 40) -> list[np.ndarray]:
@@ -102,12 +107,15 @@ def fit_rates(features: DataFrame, targets: np.ndarray, total: float | None = No
     if total is None:
         total = max(has[j] / shares[j] for j in range(k) if shares[j] > 0)
     want, inverse, steps = shares * total, np.linalg.pinv(gram, rcond=1e-9, hermitian=True), []
+    before = np.inf
     for _ in range(max_steps):
         rate = _rate(steps)
         got = has if not steps else np.array(features.agg(*[F.sum(token * p[j] * rate).alias(f"x{j}") for j in range(k)]).first(), float)
         step = inverse @ (got - want)
-        if np.abs(gram @ step).max() <= tolerance * total or steps and np.abs(step).max() < 1e-12:
+        off = float((got - want) @ step)
+        if np.abs(got - want).max() <= tolerance * total or before - off <= 1e-9 * abs(before) and steps:
             break
+        before = off
         steps.append(step)
     return steps
 
