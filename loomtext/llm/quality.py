@@ -29,6 +29,7 @@ SYMBOLS = "[#*$%&|<>]"
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
 #: Up to so many repeated windows, each window is looked up in their list; beyond, windows are sorted.
 FEW = 64
+COMPUTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
 def words_of(text: Column) -> Column:
@@ -113,7 +114,11 @@ def score_documents(docs: DataFrame, weights: np.ndarray, text: str = "__text",
     a = with_buckets(base_counts(docs, text), text, len(weights), "__b")
     total = F.aggregate("__b", F.lit(0.0), lambda acc, b: acc + F.get(table, b))
     b = a.withColumns({"base_failed": base_failed(), "score": F.when(F.size("__b") > 0, total / F.size("__b")).otherwise(F.lit(0.0))})
-    return b.drop("__b").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    c = b.drop("__b").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # The row number is always there, but an expression with it isn't moved: a caller's filter on a score,
+    # pushed below the scores, would have each of them computed again, nested in one another.
+    here = F.monotonically_increasing_id() >= 0
+    return c.withColumns({name: F.when(here, F.col(name)) for name in COMPUTED})
 
 
 def judge(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, **fit) -> DataFrame:
@@ -133,6 +138,5 @@ def keep_good(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: st
     names = docs.columns
     weights = fit_weights(docs, trusted, key, text, **fit)
     rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)]).alias("__row"), F.coalesce(docs[text], F.lit("")).alias("__text"))
-    # The row number keeps the filter above the scores: pushed below them it would compute each score again, nested.
-    kept = score_documents(rows, weights, threshold=threshold).withColumn("__at", F.monotonically_increasing_id()).where("kept AND __at >= 0")
+    kept = score_documents(rows, weights, threshold=threshold).where("kept")
     return kept.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(names)])
