@@ -264,32 +264,42 @@ def verify(rows: DataFrame, similar: float) -> DataFrame:
     return rows.mapInArrow(run, "rep bigint, links bigint, root bigint")
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame, by_number: int = 2) -> DataFrame:
     """``node, label``: the least node of each component, for every node in ``edges`` (a, b).
 
-    Each round every node goes to the least node next to it and the graph is
-    contracted, until no edge is left.
+    Each round every node goes to the first of itself and the nodes next to it,
+    and the graph is contracted, until no edge is left. The first rounds go by
+    number, which settles forests that already point to least nodes; the others
+    by a hash that is new in each round, which takes away a share of the nodes
+    whatever their numbers, so rounds grow with the logarithm of the nodes.
     """
     maps: list[DataFrame] = []
     both = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(most):
-        if both.isEmpty():
-            break
+    turn = 0
+    while not both.isEmpty():
+        first = (lambda c: F.struct(F.col(c).alias("node"))) if turn < by_number else (lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("at"), F.col(c).alias("node")))  # noqa: B023, E731
         ends = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = materialise(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
+        best = ends.groupBy(F.col("a").alias("node")).agg(F.min(first("b")).alias("near"))
+        to = materialise(best.select("node", F.least(first("node"), "near")["node"].alias("label")), "labels")
         maps.append(to)
         a, b = to.select(F.col("node").alias("a"), F.col("label").alias("la")), to.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         moved = both.join(a, "a").join(b, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
-        both = materialise(moved, "edges")
-    else:
-        raise RuntimeError("components did not settle")
+        left = materialise(moved, "edges")
+        forget(both)
+        both, turn = left, turn + 1
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
-    out = maps[0]
-    for to in maps[1:]:
-        nxt = to.select(F.col("node").alias("label"), F.col("label").alias("after"))
-        out = out.join(nxt, "label", "left").select("node", F.coalesce("after", "label").alias("label"))
-    return out
+    out = maps.pop()
+    while maps:  # from the last, smallest map to the first; written now and then, so that the plan stays small
+        to = maps.pop()
+        nxt = out.select(F.col("node").alias("label"), F.col("label").alias("after"))
+        out = to.join(nxt, "label", "left").select("node", F.coalesce("after", "label").alias("label"))
+        if len(maps) % 8 == 7:
+            out = materialise(out, "labels")
+    if turn <= by_number:
+        return out
+    least = out.groupBy("label").agg(F.min("node").alias("least"))
+    return out.join(least, "label").select("node", F.least("least", "label").alias("label"))
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

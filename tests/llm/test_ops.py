@@ -165,6 +165,15 @@ def test_components(spark):
     assert {got[i] for i in range(31)} == {0} and {got[i] for i in (50, 51, 52)} == {50} and {got[i] for i in range(100, 140)} == {100}
 
 
+def test_components_of_an_ordered_path(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(near_dup, "materialise", lambda df, name: written.append(name) or common.materialise(df, name))
+    edges = spark.range(1000).selectExpr("id AS a", "id + 1 AS b").union(spark.range(2001, 2043).selectExpr("id AS a", "id - 1 AS b"))
+    got = {r.node: r.label for r in near_dup.components(edges).collect()}
+    assert got == {i: 0 for i in range(1001)} | {i: 2000 for i in range(2000, 2043)}
+    assert written.count("edges") < 35
+
+
 # --- html ---
 
 PARA = "It is the text of the article that we want to have, and it has the words that are in the list of the most used ones of the language, so it is good. " * 2
