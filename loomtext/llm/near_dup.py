@@ -316,13 +316,16 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     read. An empty table gives no rows.
     """
     made = materialise(sketch(docs, key, text, []).withColumn("row", F.monotonically_increasing_id()), "sketch")
-    return groups(made, **how).drop("row")
+    return groups(made, **how).drop("row", "label")
 
 
 def groups(
     made: DataFrame, similar: float = SIMILAR, recall: float = 0.99999, limit: int = LIMIT, block: int = BLOCK, depth: int = DEPTH
 ) -> DataFrame:
-    """``id, row, class_id, n_links, group_size`` for the rows of a written :func:`sketch` with numbers ``row``."""
+    """``id, row, label, class_id, n_links, group_size`` for the rows of a written :func:`sketch` with numbers ``row``.
+
+    ``label`` is the number of a row of the class, the same for all of its rows; unlike ``class_id`` no other class has it.
+    """
     full = made.where("n > 0")
     reps = full.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("weight"), F.min("id").alias("least"))
     reps = materialise(reps.join(full.select("row", "sig"), F.col("rep") == F.col("row")).drop("row"), "reps")
@@ -346,11 +349,11 @@ def groups(
     marked = marked.withColumn("label", F.coalesce("label", "rep"))
     least = marked.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("weight").alias("group_size"))
     links = (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
-    marked = materialise(marked.join(least, "label").select(F.col("digest").alias("d"), "class_id", "group_size", links), "classes")
+    marked = materialise(marked.join(least, "label").select(F.col("digest").alias("d"), "label", "class_id", "group_size", links), "classes")
     forget(leaves, members, reps, found)
-    some = full.select("id", "row", "digest").join(marked, F.col("digest") == F.col("d")).select("id", "row", "class_id", "n_links", "group_size")
+    some = full.select("id", "row", "digest").join(marked, F.col("digest") == F.col("d")).select("id", "row", "label", "class_id", "n_links", "group_size")
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    return some.unionByName(made.where("n = 0").select("id", "row", F.col("id").alias("class_id"), zero.alias("n_links"), one.alias("group_size")))
+    return some.unionByName(made.where("n = 0").select("id", "row", F.col("row").alias("label"), F.col("id").alias("class_id"), zero.alias("n_links"), one.alias("group_size")))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -362,7 +365,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     other = [n for n in names if n != text]
     made = materialise(sketch(docs, key, text, other).withColumn("row", F.monotonically_increasing_id()), "sketch")
     out = groups(made, **how)
-    shared = out.where("group_size > 1 AND id <=> class_id").groupBy("class_id").agg(F.min("row").alias("row")).select("row")
+    shared = out.where("group_size > 1 AND id <=> class_id").groupBy("label").agg(F.min("row").alias("row")).select("row")
     stay = materialise(out.where("group_size = 1").select("row").unionByName(shared), "stay")
     kept = made.select("row", "z", *[f"c{i}" for i in range(len(other))]).join(stay, "row", "left_semi")
     schema = docs.schema

@@ -152,6 +152,15 @@ def test_near_hard_cases(docs, clashing):
     assert near_dup.near_groups(docs.limit(0)).count() == 0
 
 
+def test_near_classes_that_share_their_least_id(spark):
+    rng = np.random.default_rng(9)
+    rows = [(key, t) for keys in ((5, 9), (5, 12), (None, None), (None, None), (None, 3)) for key, t in zip(keys, family(rng, 2, 200, 1), strict=True)]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["3", "5", "5", "None", "None"]
+    assert {r.text for r in kept if r.doc_id is not None} == {rows[0][1], rows[2][1], rows[9][1]}
+    assert len({r.text for r in kept if r.doc_id is None} & {t for _, t in rows[4:6]}) == 1
+
+
 def test_word_hashes_in_pieces(monkeypatch):
     raw = (" ".join(f"word{i} x" for i in range(3000)) + " " + "y" * 900).encode()
     whole = near_dup.word_hashes(raw)
