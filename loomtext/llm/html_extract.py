@@ -39,7 +39,11 @@ BLOCK = frozenset(
 )
 #: Elements that may hold a part of a page; only these are kept on the stack.
 HOLDER = frozenset("article aside body blockquote button center details dialog dir div dl fieldset figure footer form header html main menu nav ol section span table td ul".split())
-RAW = frozenset("applet audio canvas datalist embed head iframe math noframes noscript object script select style svg template textarea title video".split())
+#: Elements whose content is not part of the text. Those in PLAIN hold no element of their own name and end at the next end tag.
+RAW = frozenset("applet audio canvas datalist head iframe math noframes noscript object script select style svg template textarea title video".split())
+PLAIN = frozenset("head iframe noframes script style textarea title".split())
+#: Of these what follows is content to the end of the page if they are not closed; of other elements only the tag goes.
+OPEN = frozenset("script style".split())
 #: Elements, roles and names (words in class or id) of page furniture.
 BAD_TAGS = frozenset("aside button dialog footer form menu nav".split())
 BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
@@ -54,7 +58,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WORD = re.compile(r"[^\W\d_]+")
-RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+RAW_END = {t: re.compile(rf"</{t}(?![^\s/>])[^>]*>", re.I) for t in PLAIN}
+RAW_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)({'|'.join(sorted(RAW))})(?![^\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 
 
 def furniture(tag: str, attributes: str, in_article: bool) -> bool:
@@ -76,12 +81,40 @@ def furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def raw_ends(page: str) -> dict[int, int]:
+    """Where raw elements end, by where their first tag ends. One that no end tag is left for is missing."""
+    out: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {}
+    unclosed: set[str] = set()
+    at = 0
+    while m := RAW_TAG.search(page, at):
+        at = m.end()
+        if m[2] is None:
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            if waiting.get(tag):
+                out[waiting[tag].pop()] = at
+        elif m[3].endswith("/") or tag in unclosed:
+            continue
+        elif tag not in PLAIN:
+            waiting.setdefault(tag, []).append(at)
+        elif end := RAW_END[tag].search(page, at):
+            out[at] = at = end.end()
+        elif tag in OPEN:
+            out[at] = at = len(page)
+        else:
+            unclosed.add(tag)
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters in links, in furniture, in an article) of each block in page order."""
     out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     linked, links, bad, article = 0, 0, False, False
+    ends: dict[int, int] | None = None
 
     def close() -> None:
         nonlocal linked
@@ -120,11 +153,9 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             if tag in BLOCK:
                 close()
             if not m[3].endswith("/"):
-                end = RAW_END[tag].search(page, at)
-                if end:
-                    at = end.end()
-                elif tag != "head":
-                    at = size
+                if ends is None:
+                    ends = raw_ends(page)
+                at = ends.get(at, at)
             continue
         if tag in BLOCK:
             close()

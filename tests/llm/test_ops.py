@@ -207,6 +207,24 @@ def test_html_without_markup():
     assert len(html_extract.main_text("<article>" + "<p>the of and it</p>" * 20000 + "</article>")) == 20000 * 14 - 1
 
 
+@pytest.mark.parametrize("tag", ["embed", "audio", "canvas", "object", "video", "applet", "datalist", "math", "svg", "select", "template", "noscript", "iframe", "textarea"])
+def test_html_elements_without_an_end(tag):
+    para = " ".join(PARA.split())
+    for page in ("{p}<T src=x>{p}", "{p}<T src=x>{p}<T>out</T>{p}", "{p}<T src=x><T src=y>{p}"):
+        if tag in html_extract.PLAIN and page.count("</T>"):
+            continue
+        n = page.count("{p}")
+        got = html_extract.main_text("<article>" + page.replace("T", tag).replace("{p}", f"<p>{PARA}</p>") + "</article>")
+        assert got.replace(" out", "" if tag == "embed" else " out") == " ".join([para] * n)
+
+
+def test_html_elements_with_an_end():
+    para = " ".join(PARA.split())
+    page = f"<p>{PARA}<object><object>in</object>out</object><svg><script>'<svg>'</script><!-- <svg> -->x</svg><script>var a = '<p>{PARA}'</script><style>p</style>"
+    assert html_extract.main_text(f"<article>{page}<p>{PARA}</article>") == f"{para} {para}"
+    assert html_extract.main_text(f"<article>{page}<script>{PARA}</article>") == para
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>Hi &eacute;</p></article>"), (2, None, None), (2, None, None)], "page_id long, url string, html string").withColumn("__page", F.lit(1))
     got = html_extract.extract(df).collect()
