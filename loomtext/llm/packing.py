@@ -1,9 +1,10 @@
 """Packing into optimal length buckets.
 
-The histogram of lengths over all documents goes to the driver, at most a few
-thousand numbers whatever the input: lengths up to ``exact`` are counted one by
-one, longer ones in steps of 1/64 of their size. Dynamic programming over it
-places the bucket boundaries that make the least padding. Inside a bucket every
+The histogram of lengths over all documents goes to the driver, one row for each
+different length; they are at most the root of twice the number of tokens.
+Dynamic programming over it places the bucket boundaries that make the least
+padding; the cost is such that best cuts never move back as lengths grow, so
+each bucket more costs d log d steps for d lengths. Inside a bucket every
 document is padded to the bucket's boundary, and each batch holds as many
 documents as the token budget allows.
 
@@ -24,7 +25,7 @@ EXACT = 2048
 
 
 def bin_of(length: Column, exact: int = EXACT) -> Column:
-    """The upper edge of the histogram bin of a length."""
+    """The upper edge of the bin of a length, for a histogram with one bin a length up to ``exact`` and steps of 1/64 above."""
     step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 6)
     return F.when(length <= exact, length).otherwise((F.ceil(length / step) * step).cast("long"))
 
@@ -45,10 +46,15 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, b
     for _ in range(min(buckets, d)):
         new, frm = np.full(d + 1, np.inf), np.zeros(d + 1, int)
         new[0] = 0.0
-        for j in range(1, d + 1):
-            x = cost[:j] + lengths[j - 1] * (c[j] - c[:j]) - (s[j] - s[:j])
-            frm[j] = i = int(j - 1 - np.argmin(x[::-1]))
-            new[j] = x[i]
+        todo = [(1, d, 0, d - 1)]  # lengths, and where their best cuts lie
+        while todo:
+            lo, hi, a, b = todo.pop()
+            j = (lo + hi) // 2
+            b_j = min(b, j - 1) + 1
+            x = cost[a:b_j] + lengths[j - 1] * (c[j] - c[a:b_j]) - (s[j] - s[a:b_j])
+            frm[j] = i = int(b_j - 1 - np.argmin(x[::-1]))
+            new[j] = x[i - a]
+            todo += [t for t in ((lo, j - 1, a, i), (j + 1, hi, i, b)) if t[0] <= t[1]]
         back.append(frm)
         if back and new[d] >= cost[d]:
             back.pop()
@@ -62,14 +68,15 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, b
     return sorted(out)
 
 
-def pack(docs: DataFrame, length: str, key: str, buckets: int = 16, budget: int = 32768, exact: int = EXACT, cell_rows: int = 200_000, stored: bool = False) -> DataFrame:
+def pack(docs: DataFrame, length: str, key: str, buckets: int = 16, budget: int = 32768, exact: int | None = None, cell_rows: int = 200_000, stored: bool = False) -> DataFrame:
     """Every row with ``bucket, boundary, batch, slot, padding`` (input columns of these names are replaced).
 
     ``batch`` is unique over all buckets as (bucket, batch). A batch holds
     ``budget // boundary`` documents, at least one. ``length`` must not be
     negative; null counts as 0. Rows are ordered inside a bucket by a hash of
     the key, then the key; repeated keys each get a slot of their own. An empty
-    table gives no rows. No row is left out or cut.
+    table gives no rows. No row is left out or cut. With ``exact`` boundaries
+    of longer documents lie at the greatest lengths of :func:`bin_of` only.
 
     The rows are read twice, for the histogram and for the places. ``stored``
     says that this is cheap, as for a projection of a stored table; else they
@@ -82,9 +89,9 @@ def pack(docs: DataFrame, length: str, key: str, buckets: int = 16, budget: int
     return number(rows if stored else materialise(rows, "lengths"), names, buckets, budget, exact, cell_rows)
 
 
-def number(rows: DataFrame, names: list[str], buckets: int, budget: int, exact: int, cell_rows: int) -> DataFrame:
-    counted = rows.groupBy(bin_of(F.col("__n"), exact).alias("edge")).agg(F.count("*").alias("n"), F.sum("__n").alias("sum"), F.max("__n").alias("most"))
-    found = counted.orderBy("edge").collect()  # bounded by the number of bins
+def number(rows: DataFrame, names: list[str], buckets: int, budget: int, exact: int | None, cell_rows: int) -> DataFrame:
+    counted = rows.groupBy((F.col("__n") if exact is None else bin_of(F.col("__n"), exact)).alias("edge")).agg(F.count("*").alias("n"), F.sum("__n").alias("sum"), F.max("__n").alias("most"))
+    found = counted.orderBy("edge").collect()  # one row a length
     most = np.array([r["most"] for r in found], np.int64)
     bounds = best_boundaries(most, np.array([r["n"] for r in found], float), np.array([r["sum"] for r in found], float), buckets) or [0]
     cells = max(1, -(-sum(r["n"] for r in found) // cell_rows)) * 8

@@ -449,6 +449,20 @@ def test_boundaries_are_optimal(lengths, k):
     assert sum(min(b for b in bounds if b >= x) - x for x in lengths) == brute_padding(lengths, k)
 
 
+def test_packing_of_long_documents_is_optimal(spark):
+    lengths = [int(x) for x in np.random.default_rng(4).integers(4096, 4224, 60)] + [8200, 8201, 8203, 16390, 16400]
+    got = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long"), "n_tokens", "doc_id", buckets=6).collect()
+    assert sum(r.padding for r in got) == brute_padding(lengths, 6)
+
+
+def test_boundaries_of_many_lengths():
+    rng = np.random.default_rng(6)
+    xs = np.unique(rng.integers(1, 400_000, 40_000))
+    n = rng.integers(1, 50, len(xs)).astype(float)
+    bounds = packing.best_boundaries(xs, n, n * xs, 16)
+    assert len(bounds) == 16 and bounds[-1] == xs[-1]
+
+
 def test_packing(spark, docs):
     rng = np.random.default_rng(4)
     lengths = [int(x) for x in rng.integers(0, 400, 500)] + [0, None, 5000, 100_000, 7, 7]
