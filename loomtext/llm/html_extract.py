@@ -37,6 +37,7 @@ STOP_WORDS = frozenset(
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that may hold a part of a page; only these are kept on the stack.
 HOLDER = frozenset("article aside body blockquote button center details dialog dir div dl fieldset figure footer form header html main menu nav ol section span table td ul".split())
 #: Elements whose content is not part of the text. Those in PLAIN hold no element of their own name and end at the next end tag.
@@ -108,12 +109,12 @@ def raw_ends(page: str) -> dict[int, int]:
     return out
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, in furniture, in an article) of each block in page order."""
-    out: list[tuple[str, int, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
+    """(text, characters in links, in furniture, in an article, is a heading) of each block in page order."""
+    out: list[tuple[str, int, bool, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
-    linked, links, bad, article = 0, 0, False, False
+    linked, links, bad, article, heading = 0, 0, False, False, False
     ends: dict[int, int] | None = None
 
     def close() -> None:
@@ -121,7 +122,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, linked, bad, article))
+                out.append((text, linked, bad, article, heading))
             parts.clear()
         linked = 0
 
@@ -142,6 +143,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         if m[1]:
             if tag in BLOCK:
                 close()
+                heading = False
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in HOLDER and any(x[0] == tag for x in stack):
@@ -159,7 +161,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if tag in BLOCK:
             close()
-            links = 0
+            links, heading = 0, tag in HEADINGS or heading and tag == "br"
         if tag == "a":
             links = 1
         elif tag in HOLDER and not m[3].endswith("/"):
@@ -172,12 +174,13 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def classify(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
+def classify(found: list[tuple[str, int, bool, bool, bool]]) -> list[bool]:
     """Which blocks are main text."""
-    marked = any(article and not bad for _, _, bad, article in found)
+    marked = any(article and not bad for _, _, bad, article, _ in found)
     first: list[bool | None] = []
     foreign: list[bool] = []
-    for text, linked, bad, article in found:
+    dense: list[int] = []
+    for text, linked, bad, article, _ in found:
         out = bad or marked and not article
         foreign.append(out)
         if out or linked > LINKED * len(text):
@@ -190,20 +193,26 @@ def classify(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
             if density >= DENSE and len(text) > LONG or density >= SPARSE and article:
                 first.append(True)
             else:
+                if density >= DENSE:
+                    dense.append(len(first))
                 first.append(None if article or density >= SPARSE else False)
+    if not marked and True not in first:  # then shorter paragraphs are the text
+        for i in dense:
+            first[i] = True
     n = len(found)
     before, after = [None] * n, [None] * n
-    # Inside a marked article its furniture says nothing of the blocks around it.
+    # Furniture says nothing of the blocks around it. What comes first on a page without a marked article counts as behind a bad block.
     for seq, to in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last = None if marked else False  # the ends of a page without a marked article count as bad
+        last = None if marked or to is after else False
         for i in seq:
             to[i] = last
-            if first[i] is not None and not (marked and foreign[i]):
+            if first[i] is not None and not foreign[i]:
                 last = first[i]
     out = []
     for i, label in enumerate(first):
         if label is None:
-            near = {before[i], after[i]} - {None}
+            short_heading = not marked and found[i][4] and len(found[i][0]) < SHORT
+            near = {after[i] if short_heading else before[i], after[i]} - {None}  # a heading goes with what comes after it
             label = (True in near or not near) if marked else near == {True} or True in near and len(found[i][0]) >= SHORT
         out.append(label)
     return out

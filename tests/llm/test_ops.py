@@ -225,6 +225,15 @@ def test_html_elements_with_an_end():
     assert html_extract.main_text(f"<article>{page}<script>{PARA}</article>") == para
 
 
+def test_html_without_markup_keeps_ends_and_short_paragraphs():
+    para = " ".join(PARA.split())
+    mid = "This is one of the paragraphs that are not so long, but it is of the text and has to be in it."
+    page = "<nav><a href=a>one</a></nav><p>Skip to it</p><h1>Title of <b>it</b></h1>{}<p>The end.</p><footer>me</footer>"
+    assert html_extract.main_text(page.format(f"<p>{PARA}</p>")) == f"Title of it {para} The end."
+    assert html_extract.main_text(page.format(f"<p>{mid}</p><p>{mid}</p>")) == f"Title of it {mid} {mid} The end."
+    assert html_extract.main_text(f"<h2>Links</h2><p><a href=a>{mid}</a></p><p>{PARA}</p><p><a href=a>{mid}</a></p><p>zz</p>") == para
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>Hi &eacute;</p></article>"), (2, None, None), (2, None, None)], "page_id long, url string, html string").withColumn("__page", F.lit(1))
     got = html_extract.extract(df).collect()
