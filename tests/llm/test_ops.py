@@ -4,10 +4,12 @@ import collections
 import hashlib
 import html as htmllib
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -546,10 +548,59 @@ def test_quality_scores_by_hand(spark):
 # --- sharding ---
 
 
+def spark_hash(*values):
+    """xxhash64 of SQL: each value that is not null is hashed with the hash so far as seed, which is 42 at first."""
+    h = 42
+    for v, kind in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if kind == "s" else struct.pack("<q" if kind == "l" else "<i", v), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def shards_by_hand(rows, shards, seed, bucket_bytes, bucket_rows):
+    """Places of (key, text) by a plain model of scatter and Fisher-Yates."""
+    sizes = [len((t or "").encode()) + 1 for _, t in rows]
+    n = max(1, -(-sum(sizes) // bucket_bytes), -(-len(rows) // bucket_rows))
+    seen, buckets = collections.Counter(), collections.defaultdict(list)
+    marks = [spark_hash((seed, "i"), (k, "l"), (int(k is None), "i"), (t, "s"), (int(t is None), "i")) for k, t in rows]
+    copies = collections.Counter(marks)
+    for mark, row in zip(marks, rows, strict=True):
+        salt = seen[mark] if copies[mark] > max(1, bucket_rows // 4) else 0
+        seen[mark] += 1
+        buckets[(spark_hash((mark, "l"), (salt, "l")) if salt else mark) % n].append((mark, str(row), row))
+    out, at = [], 0
+    for b in sorted(buckets):
+        left = [r for _, _, r in sorted(buckets[b])]
+        for m in range(len(left), 0, -1):
+            j = spark_hash((seed, "i"), (b, "l"), (m, "i")) % m
+            left[j], left[m - 1] = left[m - 1], left[j]
+            out.append((*left.pop(), at % shards, at // shards))
+            at += 1
+    return collections.Counter(out)
+
+
+@pytest.fixture
+def settings_of(spark):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(n) for n in names]
+    yield lambda *values: [spark.conf.set(n, v) for n, v in zip(names, values, strict=True)]
+    for n, v in zip(names, before, strict=True):
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize(("parts", "adaptive"), [(4, "true"), (13, "false"), (200, "true"), (3, "false")])
+def test_shards_against_a_plain_model(spark, settings_of, parts, adaptive):
+    settings_of(parts, adaptive)
+    rows = [(i, f"text {i} " * (i % 40)) for i in range(400)] + [(5, "copy")] * 300 + [(None, None)] * 70 + [(None, "x"), (7, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts % 7 + 1)
+    how = {"seed": 3, "bucket_bytes": 2000, "bucket_rows": 64}
+    got = shard_shuffle.external_shuffle(df.withColumn("extra", F.create_map(F.lit("a"), F.lit(1))), 5, broadcast_bytes=parts % 2 << 20, **how).collect()
+    assert collections.Counter((r.doc_id, r.text, r.shard, r.slot) for r in got) == shards_by_hand(rows, 5, **how)
+
+
 @pytest.mark.parametrize("size", [300, 1 << 20])
-def test_shards(spark, docs, clashing, size):
-    df = clashing.repartition(3)
-    got = shard_shuffle.external_shuffle(df, 4, bucket_bytes=size).collect()
+def test_shards(docs, clashing, size):
+    got = shard_shuffle.external_shuffle(clashing.repartition(3), 4, bucket_bytes=size).collect()
     assert len(got) == len(BASE)
     slots = collections.defaultdict(list)
     for r in got:
@@ -558,12 +609,16 @@ def test_shards(spark, docs, clashing, size):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     counts = [len(slots[i]) for i in range(4)]
     assert max(counts) - min(counts) <= 1
-    again = shard_shuffle.external_shuffle(clashing.repartition(1), 4, bucket_bytes=size).collect()
-    place = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.shard, r.slot) for r in rows)
-    assert place(got) == place(again)
     assert shard_shuffle.external_shuffle(docs.limit(0), 4).count() == 0
 
 
+def test_offsets_of_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(shard_shuffle, "BLOCK", 7)
+    n = [(i * 3, i % 5) for i in range(100)]
+    got = {r.b: r.before for r in shard_shuffle.numbered_before(spark.createDataFrame(n, "bucket long, n long")).collect()}
+    assert got == {b: sum(x for _, x in n[:i]) for i, (b, _) in enumerate(n)}
+
+
 def test_shards_are_shuffled(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     got = shard_shuffle.external_shuffle(df, 8, bucket_bytes=500).collect()
