@@ -61,22 +61,28 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Fixed by the query: (host and path, verdict).
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
-#: Host labels of the publishers whose pages make up the list of URLs.
+#: The list of URLs is made of reported pages: all of these publishers (a label of their host), and single pages of any host whose title is junk.
 LISTED_LABELS = ["ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+#: Junk titles have runs of three symbols.
+JUNK_TITLE = r"<title>[^<]*(\*\*\*|%%%|###|\$\$\$)[^<]*</title>"
 
 
-def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+def listed_pages(pages: DataFrame) -> DataFrame:
+    """``canon``: the canonical URLs of the reported pages."""
     by = r"(^|\.)(" + "|".join(LISTED_LABELS) + r")\."
-    listed = pages.where(url_filter.url_host(pages["url"]).rlike(by)).select(url_filter.canonical(pages["url"]).alias("canon"))
-    return url_filter.judge(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
+    return pages.where(url_filter.url_host(pages["url"]).rlike(by) | pages["html"].rlike(JUNK_TITLE)).select(url_filter.canonical(pages["url"]).alias("canon"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages.select("page_id", "url"), listed_pages(pages), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP4_SQL = r"""
 WITH r AS (
-  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+  SELECT page_id, url, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 h AS (
-  SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, html, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
 c AS (
   SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(regexp_replace(path, '/+$', ''), '\.html?$', '') AS canon,
@@ -85,7 +91,8 @@ c AS (
       WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
       WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
       WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM h),
-l AS (SELECT DISTINCT canon FROM c WHERE canon <> '' AND regexp_matches(host, '(^|\.)(ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.'))
+l AS (SELECT DISTINCT canon FROM c WHERE canon <> '' AND (regexp_matches(host, '(^|\.)(ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.')
+    OR regexp_matches(html, '<title>[^<]*(\*\*\*|%%%|###|\$\$\$)[^<]*</title>')))
 SELECT page_id, host, path, rule,
   CASE rule WHEN 'com/en/' THEN 'block' WHEN 'example.com/en/7' THEN 'allow' WHEN 'net/de/' THEN 'allow' WHEN 'example.net/de/8' THEN 'block'
     WHEN 'org/es/' THEN 'block' ELSE CASE WHEN l.canon IS NULL THEN 'allow' ELSE 'block' END END AS verdict

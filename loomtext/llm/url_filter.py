@@ -4,8 +4,8 @@ The filter is a table of blocks of 512 bits (eight 64-bit words); a URL sets
 one bit in each word of one block. Its size is known from the number of listed
 URLs before it is built: within ``broadcast_bytes`` it is sent to every
 executor, beyond that it is joined by block. Only URLs whose eight bits are set
-go on to the exact join with the list, which removes the false positives. No
-Python runs on the executors.
+go on to the exact join with the list, which removes the false positives: other
+rows have no key to join by. No Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -80,18 +80,37 @@ def listed_urls(
     return marked.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)], "listed")
 
 
-def _listed(pages: DataFrame, listed: DataFrame, bits_per_key: int = 16, broadcast_bytes: int = 8 << 20) -> DataFrame:
-    """``row, url, listed`` from pages (row, url) and the list (key)."""
-    keys = materialise(listed.where(F.col("key") != "").distinct(), "listed")
-    blocks, n = bloom_blocks(keys, "key", keys.count(), bits_per_key)
+def probe(pages: DataFrame, keys: DataFrame, n_keys: int, bits_per_key: int, broadcast_bytes: int) -> DataFrame:
+    """``pages`` (with ``url``) with ``canon`` and ``hit``: does the Bloom filter of ``keys`` know the canonical URL? Listed ones it always knows."""
+    blocks, n = bloom_blocks(keys, "key", n_keys, bits_per_key)
+    canon = canonical(F.col("url"))
+    probed = pages.withColumn("canon", canon)
     if n * (WORDS + 1) * 8 <= broadcast_bytes:
-        blocks = F.broadcast(blocks)
-    probed = pages.select("row", "url", canonical(F.col("url")).alias("canon"))
-    joined = probed.join(blocks, _block(F.col("canon"), n) == F.col("block"), "left")
+        blocks, at = F.broadcast(blocks), _block(F.col("canon"), n)
+    else:  # rows without a URL belong to no block; they are spread over numbers that no block has
+        probed = probed.withColumn("other", -1 - F.pmod(F.monotonically_increasing_id(), F.lit(n).cast("long")))
+        at = F.when(F.col("canon") != "", _block(F.col("canon"), n)).otherwise(F.col("other"))
+    joined = probed.withColumn("at", at).join(blocks, F.col("at") == F.col("block"), "left")
     hit = F.col("canon") != ""
     for i, bit in enumerate(_bits(F.col("canon"))):
         hit = hit & (F.col(f"w{i}").bitwiseAND(bit) == bit)
-    marked = joined.select("row", "url", "canon", F.coalesce(hit, F.lit(False)).alias("hit"))
+    return joined.select(*pages.columns, "canon", F.coalesce(hit, F.lit(False)).alias("hit"))
+
+
+def _listed(pages: DataFrame, listed: DataFrame, bits_per_key: int = 16, broadcast_bytes: int = 8 << 20) -> DataFrame:
+    """``row, url, listed`` from pages (row, url) and the list (key).
+
+    A list within ``broadcast_bytes`` goes to every executor as well, and pages
+    are read once and not shuffled. A longer one is joined by key with the hits
+    alone, for which the pages are read a second time.
+    """
+    keys = materialise(listed.where(F.col("key") != "").distinct(), "listed")
+    size = keys.agg(F.count("*").alias("n"), F.sum(F.octet_length("key") + 32).alias("bytes")).first()
+    marked = probe(pages.select("row", "url"), keys, size["n"], bits_per_key, broadcast_bytes)
+    if (size["bytes"] or 0) <= broadcast_bytes:
+        asked = marked.withColumn("asked", F.when(F.col("hit"), F.col("canon")))
+        found = asked.join(F.broadcast(keys), F.col("asked") == F.col("key"), "left")
+        return found.select("row", "url", F.col("key").isNotNull().alias("listed"))
     sure = marked.where(~F.col("hit")).select("row", "url", F.lit(False).alias("listed"))
     maybe = marked.where("hit").join(keys, F.col("canon") == F.col("key"), "left")
     return sure.unionByName(maybe.select("row", "url", F.col("key").isNotNull().alias("listed")))

@@ -272,6 +272,21 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0), listed, entries.RULES).count() == 0
 
 
+def test_url_list_decides_within_a_host(spark):
+    """Listed are single URLs of one host: the Bloom filter alone blocks too much, the join removes it, and without the filter's hits nothing is listed."""
+    df = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://one.test/p/"), F.col("id"), F.when(F.col("id") % 2 == 0, "/?a=b").otherwise(".html")).alias("url")).unionAll(spark.createDataFrame([(-1, None)] * 50, "page_id long, url string"))
+    keys = spark.range(0, 4000, 7).select(F.concat(F.lit("one.test/p/"), F.col("id")).alias("key"))
+    want = {i: "block" if i >= 0 and i % 7 == 0 else "allow" for i in range(-1, 4000)}
+    for how in ({}, {"bits_per_key": 1}, {"bits_per_key": 1, "broadcast_bytes": 0}):
+        got = {r.page_id: r.verdict for r in url_filter.judge(df, keys, [], key="key", **how).collect()}
+        assert got == want
+    marked = url_filter.probe(df, keys, 572, 1, 0)
+    hits = {r.page_id for r in marked.where("hit").collect()}
+    listed = {i for i, v in want.items() if v == "block"}
+    assert hits > listed and -1 not in hits and len(hits) < 4000
+    assert marked.count() == 4050
+
+
 def test_bloom_has_no_false_negatives_and_few_hits(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), F.col("id")).alias("k"))
     blocks, n = url_filter.bloom_blocks(keys, "k", 5000)
