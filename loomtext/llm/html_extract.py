@@ -1,21 +1,32 @@
 """Main text of HTML pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. The first pass looks at each
-block alone: blocks in parts marked as page furniture and blocks made of links
-are bad; blocks long enough with many stop words are good; low stop-word
-density is bad where nothing marks the article. What is left (short blocks, and
-inside a marked article also long ones with few stop words) is undecided. The
-second pass gives undecided blocks the label of their nearest decided
+block alone: made of links, it is bad; long with many stop words, it is good;
+with far too few for its length, bad; others are undecided: near-good with
+enough stop words, else short. The second pass gives headings the label of the
+text they stand over, and undecided blocks the label of their nearest decided
 neighbours.
 
+Tags, roles and class names are evidence, weighed against what the first pass
+says. A part marked as page furniture (menu, sidebar, advert, form...) is left
+out, unless the good blocks of the page lie in such parts only: then the mark
+that holds most of their text is not believed. An article mark is believed if
+it holds at least half of the good text outside furniture; then blocks outside
+are bad, and ambiguous ones inside are good unless their neighbours are bad. A
+page without a good block takes what comes nearest: dense shorter blocks, else
+long ones without links, else all that are not links.
+
 Pages are independent: the work is a map over rows, without a shuffle.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +34,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Blocks below SHORT characters are undecided; stop words make a block good from DENSE on; links make it bad above LINKED.
 SHORT, LONG, DENSE, SPARSE, LINKED = 70, 200, 0.30, 0.15, 0.5
+#: Of furniture inside furniture, marks this deep tell blocks apart; deeper ones add nothing.
+NESTED = 16
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -52,6 +65,8 @@ BAD_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense aside banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright dialog disqus footer form gdpr hidden legal login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion promotions recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 HEAD_NAMES = frozenset("header topbar top".split())
+#: A class with one of these words says how a page is laid out, not what the element is: ``has-sidebar``, ``comments-open``.
+STATES = frozenset("allowed closed count disabled enabled has hide is no not off on open show with without".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^>]*(?:>|\Z)|[^<]+|<", re.S
@@ -64,7 +79,7 @@ RAW_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)({'|'.join(sorted(RAW))})(?![^\s/
 
 
 def furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    """Does this element hold page furniture?"""
+    """Is this element marked as page furniture?"""
     if tag in BAD_TAGS or tag == "header" and not in_article:
         return True
     if not attributes or tag in ("html", "body", "article", "main") and "omment" not in attributes:
@@ -76,9 +91,10 @@ def furniture(tag: str, attributes: str, in_article: bool) -> bool:
         if name == "role" and value.lower() in BAD_ROLES:
             return True
         if name in ("class", "id"):
-            words = {w.lower() for w in NAME.findall(value)}
-            if words & BAD_NAMES or not in_article and words & HEAD_NAMES:
-                return True
+            for one in value.split():
+                words = {w.lower() for w in NAME.findall(one)}
+                if not words & STATES and (words & BAD_NAMES or not in_article and words & HEAD_NAMES):
+                    return True
     return False
 
 
@@ -109,12 +125,21 @@ def raw_ends(page: str) -> dict[int, int]:
     return out
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """(text, characters in links, in furniture, in an article, is a heading) of each block in page order."""
-    out: list[tuple[str, int, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+class Block(NamedTuple):
+    text: str
+    linked: int  # characters in links
+    marks: tuple[int, ...]  # numbers of the furniture elements around it, from the outermost
+    article: bool
+    heading: bool
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks in page order. Time follows the length of the page, however its tags are nested."""
+    out: list[Block] = []
+    stack: list[tuple[str, tuple[int, ...], bool]] = []
+    held: Counter[str] = Counter()
     parts: list[str] = []
-    linked, links, bad, article, heading = 0, 0, False, False, False
+    linked, links, marks, article, heading, marked = 0, 0, (), False, False, 0
     ends: dict[int, int] | None = None
 
     def close() -> None:
@@ -122,7 +147,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, linked, bad, article, heading))
+                out.append(Block(text, linked, marks, article, heading))
             parts.clear()
         linked = 0
 
@@ -146,10 +171,13 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
                 heading = False
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag in HOLDER and any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                bad, article = stack[-1][1:] if stack else (False, False)
+            elif held[tag]:
+                while True:
+                    last = stack.pop()[0]
+                    held[last] -= 1
+                    if last == tag:
+                        break
+                marks, article = stack[-1][1:] if stack else ((), False)
             continue
         if tag in RAW:
             if tag in BLOCK:
@@ -165,62 +193,107 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if tag == "a":
             links = 1
         elif tag in HOLDER and not m[3].endswith("/"):
-            worse = bad or furniture(tag, m[3], article)
-            if worse and not bad or tag in ("article", "main"):
+            bad = furniture(tag, m[3], article)
+            if bad or tag in ("article", "main"):
                 close()
-            bad, article = worse, article or tag in ("article", "main") and not worse
-            stack.append((tag, bad, article))
+            if bad and len(marks) < NESTED:
+                marked += 1
+                marks = (*marks, marked)
+            article = article or tag in ("article", "main") and not bad
+            held[tag] += 1
+            stack.append((tag, marks, article))
     close()
     return out
 
 
-def classify(found: list[tuple[str, int, bool, bool, bool]]) -> list[bool]:
+GOOD, NEAR, SHORTER, BAD, LINKS = "good", "near-good", "short", "bad", "links"
+
+
+def first_pass(block: Block) -> str:
+    """The label of a block looked at alone.
+
+    A share of stop words says little of a few words: bad are blocks whose
+    number of stop words is below SPARSE by two standard deviations and more.
+    """
+    if block.linked > LINKED * len(block.text):
+        return LINKS
+    if len(block.text) < SHORT:
+        return SHORTER
+    words = WORD.findall(block.text.lower())
+    n, hits = len(words), sum(w in STOP_WORDS for w in words)
+    if hits >= DENSE * n and hits:
+        return GOOD if len(block.text) > LONG else NEAR
+    return BAD if hits < SPARSE * n - 2 * math.sqrt(SPARSE * (1 - SPARSE) * n) else SHORTER if hits < SPARSE * n else NEAR
+
+
+def disbelieved(found: list[Block], labels: list[str]) -> set[int]:
+    """Marks of furniture that hold all good text of the page, and so are not believed: as long as none is free of marks, the mark with most of it."""
+    out: set[int] = set()
+    good = [b for b, label in zip(found, labels, strict=True) if label == GOOD]
+    while good and all(set(b.marks) - out for b in good):
+        held: Counter[int] = Counter()
+        for b in good:
+            held.update({m: len(b.text) for m in b.marks if m not in out})
+        most = max(held.values())
+        out.add(min(m for m, n in held.items() if n == most))
+    return out
+
+
+def classify(found: list[Block]) -> list[bool]:
     """Which blocks are main text."""
-    marked = any(article and not bad for _, _, bad, article, _ in found)
-    first: list[bool | None] = []
-    foreign: list[bool] = []
-    dense: list[int] = []
-    for text, linked, bad, article, _ in found:
-        out = bad or marked and not article
-        foreign.append(out)
-        if out or linked > LINKED * len(text):
-            first.append(False)
-        elif len(text) < SHORT:
-            first.append(None)
-        else:
-            words = WORD.findall(text.lower())
-            density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if density >= DENSE and len(text) > LONG or density >= SPARSE and article:
-                first.append(True)
-            else:
-                if density >= DENSE:
-                    dense.append(len(first))
-                first.append(None if article or density >= SPARSE else False)
-    if not marked and True not in first:  # then shorter paragraphs are the text
-        for i in dense:
-            first[i] = True
-    n = len(found)
-    before, after = [None] * n, [None] * n
-    # Furniture says nothing of the blocks around it. What comes first on a page without a marked article counts as behind a bad block.
-    for seq, to in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last = None if marked or to is after else False
-        for i in seq:
-            to[i] = last
-            if first[i] is not None and not foreign[i]:
-                last = first[i]
-    out = []
-    for i, label in enumerate(first):
+    labels = [first_pass(b) for b in found]
+    trusted = disbelieved(found, labels)
+    foreign = [bool(set(b.marks) - trusted) for b in found]
+    good = [(b.article, len(b.text)) for b, label, out in zip(found, labels, foreign, strict=True) if label == GOOD and not out]
+    marked = any(b.article and not out for b, out in zip(found, foreign, strict=True)) and 2 * sum(n for article, n in good if article) >= sum(n for _, n in good)
+    if marked:
+        foreign = [out or not b.article for b, out in zip(found, foreign, strict=True)]
+    decides = {GOOD: True, LINKS: False} | ({NEAR: True} if marked else {BAD: False})
+    decided = [False if out else decides.get(label) for label, out in zip(labels, foreign, strict=True)]
+    if True not in decided:
+        plain = [i for i, out in enumerate(foreign) if not out and labels[i] != LINKS]
+        for best in ([i for i in plain if labels[i] == NEAR], [i for i in plain if len(found[i].text) >= SHORT], plain):
+            if best:
+                for i in best:
+                    decided[i] = True
+                break
+    return second_pass(found, decided, foreign, marked)
+
+
+def second_pass(found: list[Block], decided: list[bool | None], foreign: list[bool], marked: bool) -> list[bool]:
+    """Undecided blocks (None) take the label of their nearest decided neighbours. Furniture says nothing of the blocks around it."""
+    out = list(decided)
+    if not marked:  # a short heading goes with what comes after it
+        after = None
+        for i in range(len(found) - 1, -1, -1):
+            if out[i] is None and found[i].heading and len(found[i].text) < SHORT and after is not None:
+                out[i] = after
+            elif decided[i] is not None and not foreign[i]:
+                after = decided[i]
+    before, behind = neighbours(out, foreign, None if marked else False), neighbours(out[::-1], foreign[::-1], None)[::-1]
+    for i, label in enumerate(out):
         if label is None:
-            short_heading = not marked and found[i][4] and len(found[i][0]) < SHORT
-            near = {after[i] if short_heading else before[i], after[i]} - {None}  # a heading goes with what comes after it
-            label = (True in near or not near) if marked else near == {True} or True in near and len(found[i][0]) >= SHORT
-        out.append(label)
+            near = {before[i], behind[i]} - {None}
+            if marked:
+                out[i] = True in near or not near
+            else:  # between good and bad, short blocks are bad and longer ones good
+                out[i] = near == {True} or True in near and len(found[i].text) >= SHORT
+    return out
+
+
+def neighbours(labels: list[bool | None], foreign: list[bool], first: bool | None) -> list[bool | None]:
+    """For each block the label of the last decided one before it; ``first`` where there is none."""
+    out, last = [], first
+    for label, skip in zip(labels, foreign, strict=True):
+        out.append(last)
+        if label is not None and not skip:
+            last = label
     return out
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    return " ".join(b[0] for b, good in zip(found, classify(found), strict=True) if good)
+    return " ".join(b.text for b, good in zip(found, classify(found), strict=True) if good)
 
 
 def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -228,9 +301,10 @@ def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page
 
     Null and empty pages give an empty text. Blocks are joined in page order by
     one space; white space inside a block is one space. Nothing is cut off,
-    however long the page. Repeated rows stay. A kept column named ``text`` or
-    ``n_chars`` is not possible; other columns are not read.
+    however long the page. Repeated rows stay. Kept columns named ``text`` or
+    ``n_chars`` are replaced; other columns are not read.
     """
+    keep = tuple(c for c in keep if c not in ("text", "n_chars"))
     rows = pages.select(*[pages[f"`{c}`"].alias(c) for c in keep], pages[f"`{page}`"].alias("__page"))
     schema = StructType([rows.schema[c] for c in keep] + [StructField("text", StringType()), StructField("n_chars", LongType())])
 
