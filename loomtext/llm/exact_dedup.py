@@ -5,8 +5,9 @@ texts are cut alike wherever they stand. The executors read each text once and
 pass on its recipe only: for each chunk a 64-bit key and a SHA-256. Keys are
 then verified: all chunks of one key must have one SHA-256, and keys that have
 several are split into one identifier each. Texts are equal when their ordered
-lists of verified identifiers are equal. Long documents never move again, and
-groups of copies are counted with partial sums before their rows meet.
+lists of verified identifiers are equal. Long documents don't move: only recipes
+are shuffled, and groups of copies are counted with partial sums before their
+rows meet.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from loomtext.llm.common import materialise
+from loomtext.llm.common import forget, materialise, tidied
 
 #: Chunk sizes in bytes. The window of the rolling hash (32) is below the least size.
 LEAST, MOST, MASK = 256, 16384, (1 << 11) - 1
@@ -75,9 +76,9 @@ def recipe(text: str | None) -> tuple[str, int, list[tuple[int, bytes]]]:
     return hashlib.sha256(raw).hexdigest(), len(raw), chunks
 
 
-def recipes(docs: DataFrame, key: str, text: str, keep: list[str] = ()) -> DataFrame:
-    """One row per row: ``id, c0.. (columns to keep), text_sha256, n_bytes, chunks``."""
-    rows = docs.select(docs[f"`{key}`"].alias("id"), docs[f"`{text}`"].alias("__text"), *[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(keep)])
+def recipes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per row: ``id, text_sha256, n_bytes, chunks``."""
+    rows = docs.select(docs[f"`{key}`"].alias("id"), docs[f"`{text}`"].alias("__text"))
     schema = StructType([f for f in rows.schema.fields if f.name != "__text"] + RECIPE.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,7 @@ def recipes(docs: DataFrame, key: str, text: str, keep: list[str] = ()) -> DataF
                 names=[*other, "text_sha256", "n_bytes", "chunks"],
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def verified(made: DataFrame) -> DataFrame:
@@ -116,28 +117,58 @@ def verified(made: DataFrame) -> DataFrame:
     return made.join(ids, "row", "left").withColumn("ids", F.coalesce("ids", empty)).drop("chunks")
 
 
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
-    """One row per row: ``id, keep_id, group_size, kept, text_sha256, n_bytes`` and the columns in ``keep`` as c0, c1...
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row: ``id, keep_id, group_size, kept, text_sha256, n_bytes``.
 
     Texts are equal when their bytes are; null counts as empty, so empty and
     null texts are one group. Of a group the largest ``key`` stays; a null key
     is smaller than any. Rows that repeat the largest key: exactly one of them
-    stays. Columns besides those named are not read. An empty table gives no rows.
+    stays. Columns besides these two are not read. An empty table gives no rows.
     """
-    made = recipes(docs, key, text, list(keep)).withColumn("row", F.monotonically_increasing_id())
-    made = materialise(made, "recipes")
+    made = materialise(recipes(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "recipes")
     named = verified(made)
     best = F.struct(F.col("id").isNotNull().alias("known"), F.col("id").alias("id"), F.col("row").alias("row"))
-    groups = named.groupBy(F.col("ids").alias("g_ids")).agg(F.max(best).alias("best"), F.count("*").alias("group_size"))
-    # Both sides are dealt by the identifier list; where one list holds many rows, they are split between tasks.
-    out = named.join(groups, F.col("ids") == F.col("g_ids"))
-    cols = [f"c{i}" for i in range(len(keep))]
-    return out.select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "n_bytes", *cols)
+    # Counted with partial sums and written, so that the rows of a large group can be split between tasks in the join.
+    groups = materialise(named.groupBy(F.col("ids").alias("g_ids")).agg(F.max(best).alias("best"), F.count("*").alias("group_size")).where("group_size > 1"), "copies")
+    out = named.join(groups, F.col("ids") == F.col("g_ids"), "left")
+    alone = F.col("group_size").isNull()
+    out = materialise(
+        out.select(
+            "id",
+            F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
+            F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
+            (alone | (F.col("row") == F.col("best.row"))).alias("kept"),
+            "text_sha256",
+            "n_bytes",
+        ),
+        "exact",
+    )
+    forget(made, groups)
+    return out
 
 
-def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns (order of columns as before). Rules as in :func:`exact_groups`."""
-    names = docs.columns
-    out = exact_groups(docs, key, text, keep=names)
-    return out.where("kept").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns (order of columns as before). Rules as in :func:`exact_groups`.
 
+    The documents are read twice and don't move: what goes to them is the list
+    of texts that have copies, each with the key that stays. Only where that
+    list is above ``broadcast_bytes`` is it joined by shuffling. Rows that
+    repeat both text and staying key are gathered apart, and one of each stays.
+    """
+    names = docs.columns
+    out = exact_groups(docs, key, text)
+    copies = out.where("group_size > 1")
+    same = F.count_if(F.col("id").eqNullSafe(F.col("keep_id")))
+    shared = materialise(copies.groupBy("text_sha256").agg(F.any_value("keep_id").alias("stays"), same.alias("times")).select(F.unhex("text_sha256").alias("sha"), "stays", "times"), "shared")
+    forget(out)
+    found = shared.agg(F.count("*").alias("n"), F.max("times").alias("times")).first()
+    few = F.broadcast(shared) if found["n"] * 128 <= broadcast_bytes else shared
+    row = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)])
+    digest = F.unhex(F.sha2(F.coalesce(docs[f"`{text}`"], F.lit("")).cast("binary"), 256))
+    marked = docs.select(row.alias("r"), docs[f"`{key}`"].alias("k"), digest.alias("d")).join(few, F.col("d") == F.col("sha"), "left")
+    marked = marked.where(F.col("sha").isNull() | F.col("k").eqNullSafe(F.col("stays")))
+    columns = [F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]
+    if (found["times"] or 1) <= 1:
+        return marked.select(*columns)
+    once = marked.where(F.col("times") > 1).groupBy("sha").agg(F.any_value("r").alias("r"))
+    return marked.where(F.coalesce("times", F.lit(1).cast("bigint")) <= 1).select(*columns).unionByName(once.select(*columns))

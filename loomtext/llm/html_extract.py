@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from loomtext.llm.common import tidied
+
 #: Blocks below SHORT characters are undecided; stop words make a block good from DENSE on; links make it bad above LINKED.
 SHORT, LONG, DENSE, SPARSE, LINKED = 70, 200, 0.30, 0.15, 0.5
 #: Of furniture inside furniture, marks this deep tell blocks apart; deeper ones add nothing.
@@ -315,4 +317,4 @@ def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page
                 [*[batch.column(c) for c in keep], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"]
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)

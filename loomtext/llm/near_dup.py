@@ -4,10 +4,10 @@ Texts are sets of hashed five-word shingles. Texts with equal sets are one
 class from the start. In each run all sets are split by a shared token: a set
 goes to the bucket named by its MinHash under the run's hash function, so two
 sets meet with a probability equal to their similarity. Buckets above ``limit``
-are split again, each along two tokens chosen by hash functions that the bucket
-itself picks; a bucket that hardly gets smaller is made of similar sets and is
-left whole. Runs are repeated until a pair at the threshold has met with the
-target recall.
+are split again, each along PICKS tokens chosen by hash functions that the
+bucket itself picks; a bucket that hardly gets smaller is made of similar sets
+and is left whole. Runs are repeated until a pair at the threshold has met with
+the target recall, all splits on its way counted.
 
 Buckets are then compared by brute force on the true sets. Large buckets are
 cut into blocks, and each pair of blocks is a task's work, so no bucket meets
@@ -19,6 +19,7 @@ cluster.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -26,20 +27,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.bytehash import mixed, prefix_sums, substring_hashes
-from loomtext.llm.common import forget, materialise
+from loomtext.llm.common import forget, materialise, tidied
 
 WORDS = 5
-SIMILAR = 0.8
-COORDINATES = 32
+SIMILAR, RECALL = 0.8, 0.99999
 LIMIT, BLOCK, DEPTH = 200, 1024, 4
+#: Hash functions for splits, of which a bucket picks some (the number is prime, so that picks differ).
+SPLITS, PICKS = 23, 3
 
 _rng = np.random.default_rng(5190)
 PLACES = _rng.integers(0, 1 << 63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-MINS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 #: Texts are hashed in pieces of so many bytes at most, cut at white space.
 PIECE = 1 << 21
@@ -83,13 +84,13 @@ def shingles(raw: bytes) -> np.ndarray:
     return np.unique(mixed(h))
 
 
-def sketch(docs: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
-    """``id, c0.. (kept columns), digest, n, sig, z``: digest and size of the shingle set, its MinHashes, the packed text."""
+def sketch(docs: DataFrame, key: str, text: str, keep: list[str], runs: int) -> DataFrame:
+    """``id, c0.. (kept columns), digest, n, sig, z``: digest and size of the shingle set, its MinHashes for runs and splits, the packed text."""
     rows = docs.select(docs[f"`{key}`"].alias("id"), docs[f"`{text}`"].alias("__text"), *[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(keep)])
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack, factors = zstandard.ZstdCompressor(level=1), hash_factors(runs + SPLITS)
         for batch in batches:
             digest, n, sig, z = [], [], [], []
             for t in batch.column("__text").to_pylist():
@@ -97,7 +98,7 @@ def sketch(docs: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
                 s = shingles(raw)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sig.append(minimum(s).view(np.int64) if len(s) else None)
+                sig.append(minimum(s, factors).view(np.int64) if len(s) else None)
                 z.append(None if t is None else pack.compress(raw))
             other = [c for c in batch.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays(
@@ -105,43 +106,56 @@ def sketch(docs: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
                 names=[*other, "digest", "n", "sig", "z"],
             )
 
-    return rows.mapInArrow(run, ", ".join([*fields, "digest binary, n int, sig array<bigint>, z binary"]))
+    return rows.mapInArrow(tidied(run), ", ".join([*fields, "digest binary, n int, sig array<bigint>, z binary"]))
 
 
-def minimum(s: np.ndarray) -> np.ndarray:
-    out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+def hash_factors(n: int) -> np.ndarray:
+    """Odd factors of ``n`` hash functions."""
+    return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+
+def minimum(s: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    out = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), 4096):
-        out = np.minimum(out, (s[None, at : at + 4096] * MINS[:, None]).min(axis=1))
+        out = np.minimum(out, (s[None, at : at + 4096] * factors[:, None]).min(axis=1))
     return out
 
 
-def runs_for(recall: float, similar: float) -> int:
-    """Runs after which a pair at the threshold has met with this recall: 1 - (1 - similar) ** runs."""
-    return max(1, min(COORDINATES // 2, math.ceil(math.log(1 - recall) / math.log(1 - similar))))
+def runs_for(recall: float, similar: float, depth: int = DEPTH) -> int:
+    """Runs after which a pair at the threshold has met with this recall, even if its buckets are split every time.
+
+    It meets in a run if its sets agree in the run's hash and, at each of
+    ``depth - 1`` splits, in one of PICKS hashes at least.
+    """
+    met = similar * (1 - (1 - similar) ** PICKS) ** (depth - 1)
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-met))) if met < 1 else 1
 
 
 def buckets(reps: DataFrame, runs: int, limit: int, depth: int) -> DataFrame:
     """``leaf, rep, size``: the buckets of two and more sets in which splitting ends."""
     level = reps.select("rep", F.posexplode(F.slice("sig", 1, runs)).alias("run", "v")).select("rep", F.xxhash64("run", "v").alias("leaf"), F.lit(None).cast("bigint").alias("above"))
-    done: list[DataFrame] = []
+    done: list[tuple[DataFrame, Column]] = []
     for d in range(depth):
-        sizes = level.groupBy(F.col("leaf").alias("l")).agg(F.count("*").alias("size")).where("size > 1")
-        level = materialise(level.join(sizes, F.col("leaf") == F.col("l")).select("leaf", "rep", "size", "above"), "level")
+        # Sizes are written before they are joined, so that a large bucket's rows can be split between tasks.
+        sizes = materialise(level.groupBy(F.col("leaf").alias("l")).agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        sized = materialise(level.join(sizes, F.col("leaf") == F.col("l")).select("leaf", "rep", "size", "above"), "level")
+        forget(sizes, level)
         whole = (F.col("size") <= limit) | F.coalesce(2 * F.col("size") >= F.col("above"), F.lit(False))
         if d == depth - 1:
             whole = F.lit(True)
-        done.append(level.where(whole).select("leaf", "rep", "size"))
-        wide = level.where(~whole)
+        done.append((sized, whole))
+        wide = sized.where(~whole)
         if wide.isEmpty():
             break
-        pick = lambda j: F.lit(runs) + F.pmod(F.xxhash64("leaf", F.lit(j)), F.lit(COORDINATES - runs).cast("bigint")).cast("int")
-        wide = wide.join(reps.select("rep", "sig"), "rep")
-        child = lambda j: F.xxhash64("leaf", F.lit(j), pick(j), F.get("sig", pick(j)))
-        level = wide.select("rep", F.explode(F.array(child(0), child(1))).alias("leaf"), F.col("size").alias("above"))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+        first, stride = (F.pmod(F.xxhash64("leaf", F.lit(f"split {i}")), F.lit(SPLITS - i).cast("bigint")) + i for i in (0, 1))
+        pick = lambda j: (F.lit(runs) + F.pmod(first + j * stride, F.lit(SPLITS).cast("bigint"))).cast("int")  # noqa: B023, E731
+        child = lambda j: F.xxhash64("leaf", pick(j), F.get("sig", pick(j)))  # noqa: B023, E731
+        split = wide.join(reps.select("rep", "sig"), "rep")
+        level = materialise(split.select("rep", F.explode(F.array(*[child(j) for j in range(PICKS)])).alias("leaf"), F.col("size").alias("above")), "split")
+    out = [x.where(whole).select("leaf", "rep", "size") for x, whole in done]
+    leaves = materialise(functools.reduce(DataFrame.unionByName, out), "leaves")
+    forget(*[x for x, _ in done])
+    return leaves
 
 
 def compare(sets: list[np.ndarray], other: list[np.ndarray] | None, unseen: np.ndarray, similar: float) -> np.ndarray:
@@ -261,7 +275,7 @@ def verify(rows: DataFrame, similar: float) -> DataFrame:
     def table_of(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["rep", "links", "root"])
 
-    return rows.mapInArrow(run, "rep bigint, links bigint, root bigint")
+    return rows.mapInArrow(tidied(run), "rep bigint, links bigint, root bigint")
 
 
 def components(edges: DataFrame, by_number: int = 2) -> DataFrame:
@@ -274,6 +288,7 @@ def components(edges: DataFrame, by_number: int = 2) -> DataFrame:
     whatever their numbers, so rounds grow with the logarithm of the nodes.
     """
     maps: list[DataFrame] = []
+    written: list[DataFrame] = []
     both = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     turn = 0
     while not both.isEmpty():
@@ -282,12 +297,14 @@ def components(edges: DataFrame, by_number: int = 2) -> DataFrame:
         best = ends.groupBy(F.col("a").alias("node")).agg(F.min(first("b")).alias("near"))
         to = materialise(best.select("node", F.least(first("node"), "near")["node"].alias("label")), "labels")
         maps.append(to)
+        written.append(to)
         a, b = to.select(F.col("node").alias("a"), F.col("label").alias("la")), to.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         moved = both.join(a, "a").join(b, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
         left = materialise(moved, "edges")
         forget(both)
         both, turn = left, turn + 1
     if not maps:
+        forget(both)
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
     out = maps.pop()
     while maps:  # from the last, smallest map to the first; written now and then, so that the plan stays small
@@ -296,10 +313,13 @@ def components(edges: DataFrame, by_number: int = 2) -> DataFrame:
         out = to.join(nxt, "label", "left").select("node", F.coalesce("after", "label").alias("label"))
         if len(maps) % 8 == 7:
             out = materialise(out, "labels")
-    if turn <= by_number:
-        return out
-    least = out.groupBy("label").agg(F.min("node").alias("least"))
-    return out.join(least, "label").select("node", F.least("least", "label").alias("label"))
+            written.append(out)
+    if turn > by_number:
+        least = out.groupBy("label").agg(F.min("node").alias("least"))
+        out = out.join(least, "label").select("node", F.least("least", "label").alias("label"))
+    result = materialise(out, "labels")
+    forget(both, *written)
+    return result
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -315,13 +335,18 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     class of null keys has a null class_id. Columns besides these two are not
     read. An empty table gives no rows.
     """
-    made = materialise(sketch(docs, key, text, []).withColumn("row", F.monotonically_increasing_id()), "sketch")
-    return groups(made, **how).drop("row", "label")
+    made = sketched(docs, key, text, [], **how)
+    out = groups(made, **how).drop("row", "label")
+    forget(made)
+    return out
+
 
+def sketched(docs: DataFrame, key: str, text: str, keep: list[str], similar: float = SIMILAR, recall: float = RECALL, depth: int = DEPTH, **_: int) -> DataFrame:
+    """The written :func:`sketch` of ``docs`` with a number for each ``row``."""
+    return materialise(sketch(docs, key, text, keep, runs_for(recall, similar, depth)).withColumn("row", F.monotonically_increasing_id()), "sketch")
 
-def groups(
-    made: DataFrame, similar: float = SIMILAR, recall: float = 0.99999, limit: int = LIMIT, block: int = BLOCK, depth: int = DEPTH
-) -> DataFrame:
+
+def groups(made: DataFrame, similar: float = SIMILAR, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
     """``id, row, label, class_id, n_links, group_size`` for the rows of a written :func:`sketch` with numbers ``row``.
 
     ``label`` is the number of a row of the class, the same for all of its rows; unlike ``class_id`` no other class has it.
@@ -329,12 +354,12 @@ def groups(
     full = made.where("n > 0")
     reps = full.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("weight"), F.min("id").alias("least"))
     reps = materialise(reps.join(full.select("row", "sig"), F.col("rep") == F.col("row")).drop("row"), "reps")
-    leaves = materialise(buckets(reps, runs_for(recall, similar), limit, depth), "leaves")
+    leaves = buckets(reps, runs_for(recall, similar, depth), limit, depth)
     hist = leaves.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("hist"))
     members = materialise(leaves.join(hist, "rep").join(reps.select("rep", "weight"), "rep"), "members")
     # A bucket whose members all met before in one other bucket has nothing new.
     earlier = members.select("leaf", "size", F.explode_outer(F.filter("hist", lambda u: u < F.col("leaf"))).alias("u")).where("u is not null")
-    useless = earlier.groupBy("leaf", "u").agg(F.count("*").alias("n"), F.max("size").alias("size")).where("n = size").select("leaf").distinct()
+    useless = materialise(earlier.groupBy("leaf", "u").agg(F.count("*").alias("n"), F.max("size").alias("size")).where("n = size").select("leaf").distinct(), "useless")
     work = members.join(useless, "leaf", "left_anti")
     work = work.withColumn("cut", F.ceil(F.col("size") / block).cast("int"))
     work = work.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cut").cast("bigint")).cast("int"))
@@ -343,6 +368,7 @@ def groups(
     work = work.select("leaf", "rep", "weight", "hist", i, j, (F.col("own") > F.col("with")).cast("int").alias("side"))
     work = work.join(full.select(F.col("row").alias("rep"), "z"), "rep").repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j")
     found = materialise(verify(work, similar), "links")
+    forget(leaves, members, useless)
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
     label = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     marked = reps.drop("sig").join(degree, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
@@ -350,24 +376,32 @@ def groups(
     least = marked.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("weight").alias("group_size"))
     links = (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
     marked = materialise(marked.join(least, "label").select(F.col("digest").alias("d"), "label", "class_id", "group_size", links), "classes")
-    forget(leaves, members, reps, found)
+    forget(reps, found, label)
     some = full.select("id", "row", "digest").join(marked, F.col("digest") == F.col("d")).select("id", "row", "label", "class_id", "n_links", "group_size")
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    return some.unionByName(made.where("n = 0").select("id", "row", F.col("row").alias("label"), F.col("id").alias("class_id"), zero.alias("n_links"), one.alias("group_size")))
+    none = made.where("n = 0").select("id", "row", F.col("row").alias("label"), F.col("id").alias("class_id"), zero.alias("n_links"), one.alias("group_size"))
+    out = materialise(some.unionByName(none), "groups")
+    forget(marked)
+    return out
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_bytes: int = 8 << 20, **how) -> DataFrame:
     """One row of each class of :func:`near_groups`, with its columns as they are: that of the least key (of equal keys, one of them).
 
-    The texts move compressed, and once after it is known which of them stay.
+    The texts are held compressed. Where the list of rows that go is within
+    ``broadcast_bytes`` it goes to every executor and the texts don't move;
+    else they move once.
     """
     names = docs.columns
     other = [n for n in names if n != text]
-    made = materialise(sketch(docs, key, text, other).withColumn("row", F.monotonically_increasing_id()), "sketch")
-    out = groups(made, **how)
-    shared = out.where("group_size > 1 AND id <=> class_id").groupBy("label").agg(F.min("row").alias("row")).select("row")
-    stay = materialise(out.where("group_size = 1").select("row").unionByName(shared), "stay")
-    kept = made.select("row", "z", *[f"c{i}" for i in range(len(other))]).join(stay, "row", "left_semi")
+    made = sketched(docs, key, text, other, **how)
+    every = groups(made, **how)
+    out = every.where("group_size > 1")
+    stay = out.where("id <=> class_id").groupBy("label").agg(F.min("row").alias("stay")).select("stay")
+    gone = materialise(out.join(stay, F.col("row") == F.col("stay"), "left_anti").select(F.col("row").alias("gone")), "gone")
+    forget(every)
+    few = F.broadcast(gone) if gone.count() * 32 <= broadcast_bytes else gone
+    kept = made.select("row", "z", *[f"c{i}" for i in range(len(other))]).join(few, F.col("row") == F.col("gone"), "left_anti")
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,4 +411,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
             columns = {n: batch.column(f"c{i}") for i, n in enumerate(other)} | {text: pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidied(run), schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.bytehash import mixed, prefix_sums, substring_hashes
-from loomtext.llm.common import forget, materialise, release
+from loomtext.llm.common import materialise, tidied
 
 L, K = 50, 20
 PACK = 800_000
@@ -132,7 +132,7 @@ def packs(docs: DataFrame, key: str, text: str) -> DataFrame:
         if parts:
             yield done()
 
-    return rows.mapInArrow(run, "pack bigint, ids binary, ends binary, z binary")
+    return rows.mapInArrow(tidied(run), "pack bigint, ids binary, ends binary, z binary")
 
 
 def opened(batch: pa.RecordBatch, r: int) -> Pack:
@@ -193,7 +193,7 @@ def entries(made: DataFrame, ranges: int) -> DataFrame:
         if held:
             yield flush()
 
-    return made.mapInArrow(run, "range int, keys binary, tails binary, ords binary, ids binary, codes binary, packs binary, pcodes binary")
+    return made.mapInArrow(tidied(run), "range int, keys binary, tails binary, ords binary, ids binary, codes binary, packs binary, pcodes binary")
 
 
 class Levels:
@@ -323,7 +323,7 @@ def scan(rows: DataFrame) -> DataFrame:
         if last is not None:
             yield from close()
 
-    return rows.mapInArrow(run, "pack bigint, covered binary, open binary")
+    return rows.mapInArrow(tidied(run), "pack bigint, covered binary, open binary")
 
 
 def joined(parts: pa.Scalar, kind: type = np.uint32) -> np.ndarray:
@@ -365,7 +365,7 @@ def open_windows(rows: DataFrame, ranges: int) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, "range int, ord binary, n binary, span binary, ids binary, codes binary, packs binary, pcodes binary")
+    return rows.mapInArrow(tidied(run), "range int, ord binary, n binary, span binary, ids binary, codes binary, packs binary, pcodes binary")
 
 
 def judge_windows(rows: DataFrame) -> DataFrame:
@@ -411,7 +411,7 @@ def judge_windows(rows: DataFrame) -> DataFrame:
         if held:
             yield from verdict(held)
 
-    return rows.mapInArrow(run, "pack bigint, ord binary, mask binary")
+    return rows.mapInArrow(tidied(run), "pack bigint, ord binary, mask binary")
 
 
 RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>, kept binary"
@@ -423,7 +423,7 @@ def finish(rows: DataFrame, with_kept: bool) -> DataFrame:
             for r in range(batch.num_rows):
                 yield finished(opened(batch, r), joined(batch.column("covered")[r]), joined(batch.column("ord")[r]), joined(batch.column("mask")[r]), with_kept)
 
-    return rows.mapInArrow(run, RESULT)
+    return rows.mapInArrow(tidied(run), RESULT)
 
 
 def removed_bytes(p: Pack, covered: np.ndarray, ords: np.ndarray, masks: np.ndarray) -> np.ndarray:
@@ -481,19 +481,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ran
     that share an id are compared with rows of smaller ids only, not with each
     other. Columns besides these two are not read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     made = materialise(packs(docs, key, text), "packs")
     total = made.agg(F.sum(F.length("z"))).first()[0] or 0
     ranges = max(1, -(-3 * total // range_bytes))
     found = entries(made, ranges).repartition(ranges, "range").sortWithinPartitions("range")
     replies = materialise(scan(found), "replies")
-    del found
-    release(spark)
     told = replies.groupBy("pack").agg(F.collect_list("covered").alias("covered"), F.collect_list("open").alias("open"))
     asked = open_windows(made.join(told.select("pack", "open"), "pack"), ranges).repartition(ranges, "range").sortWithinPartitions("range")
     masks = materialise(judge_windows(asked), "masks")
-    del asked
-    release(spark)
     parts = masks.groupBy("pack").agg(F.collect_list(F.struct("ord", "mask")).alias("m"))
     parts = parts.select("pack", F.col("m.ord").alias("ord"), F.col("m.mask").alias("mask"))
     both = told.select("pack", "covered").join(parts, "pack", "full_outer")

@@ -155,6 +155,40 @@ def test_near_hard_cases(docs, clashing):
     assert near_dup.near_groups(docs.limit(0)).count() == 0
 
 
+def test_recall_with_every_split():
+    """Pairs at the threshold whose buckets are split as often as can be still meet, with the recall that the runs are made for."""
+    rng = np.random.default_rng(11)
+    runs = near_dup.runs_for(0.999, 0.8)
+    factors = near_dup.hash_factors(runs + near_dup.SPLITS)
+    agree = []
+    for _ in range(1500):
+        both = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+        a, b = (near_dup.minimum(np.concatenate([x, both[:80]]), factors) for x in (both[80:90], both[90:100]))  # 80 of 100 shared
+        agree.append(a == b)
+    agree = np.array(agree)
+    assert abs(agree.mean() - 0.8) < 0.01
+    met = np.zeros(len(agree), bool)
+    for run in range(runs):
+        ok = agree[:, run].copy()
+        for _ in range(near_dup.DEPTH - 1):
+            ok &= agree[:, runs + rng.choice(near_dup.SPLITS, near_dup.PICKS, replace=False)].any(axis=1)
+        met |= ok
+    assert met.mean() >= 0.997
+    assert near_dup.runs_for(0.99999, 0.8) == 8 and near_dup.runs_for(0.99999, 0.3) > 100
+
+
+def test_chain_of_versions(spark):
+    """Each version is near the next, first and last are not: one class, whatever the order of rows."""
+    rng = np.random.default_rng(8)
+    text, rows = [f"w{x}" for x in rng.integers(0, 5000, 200)], []
+    for i in range(300):
+        rows.append((i, " ".join(text)))
+        text = [*text[8:], *[f"w{x}" for x in rng.integers(0, 5000, 8)]]
+    got = near_dup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    links, root = brute_links(rows)
+    assert set(root) == {0} and {r.class_id for r in got} == {0} and {r.id: r.n_links for r in got} == {i: links[i] for i, _ in rows}
+
+
 def test_near_classes_that_share_their_least_id(spark):
     rng = np.random.default_rng(9)
     rows = [(key, t) for keys in ((5, 9), (5, 12), (None, None), (None, None), (None, 3)) for key, t in zip(keys, family(rng, 2, 200, 1), strict=True)]
@@ -422,7 +456,21 @@ def test_exact_groups(docs, clashing):
     assert {r.text_sha256 for r in got if r.id == 2} == {hashlib.sha256(b"").hexdigest()}
     kept = exact_dedup.drop_copies(clashing)
     assert kept.columns == clashing.columns and kept.count() == len(by) and kept.where("kept <> 'mine kept'").count() == 0
-    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
+    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0 and exact_dedup.drop_copies(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [0, 8 << 20])
+def test_repeated_rows_and_one_stays(spark, size):
+    rows = [(1, "a", "p"), (5, "a", "q"), (5, "a", "r"), (5, "a", "q"), (None, "b", "x"), (None, "b", "y"), (2, None, "m"), (3, "", "n"), (4, "c", "o")]
+    kept = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, sha string").repartition(3), broadcast_bytes=size).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "b"), (3, ""), (4, "c"), (5, "a")] and {r.sha for r in kept if r.doc_id == 5} <= {"q", "r"}
+
+
+def test_tables_are_deleted(spark, docs):
+    before = set(common._written)
+    for made in (near_dup.near_groups(docs), exact_dedup.exact_groups(docs)):
+        made.count()
+    assert len(set(common._written) - before) == 2
 
 
 def test_cuts_follow_content():
