@@ -528,6 +528,37 @@ def test_mixing(spark):
     assert abs(sum(r.n_tokens * r.p_a * r.rate for r in fixed) - 500) < 5
 
 
+def test_posteriors_by_hand_and_calibrated(spark):
+    """Posteriors against numpy from the fitted parts; on held-out documents of domains that overlap, calibration lowers the log-loss."""
+    rng = np.random.default_rng(12)
+    vocab = [f"w{i}" for i in range(60)]
+    shares = {d: rng.dirichlet(np.ones(60) * 2) for d in "ab"}
+    rows, truth = [], {}
+    for i in range(1200):
+        d = "ab"[int(rng.random() < 0.3)]
+        # Words come in bursts, so plain Bayes is far too sure.
+        rows.append((i, " ".join(np.repeat(rng.choice(vocab, rng.integers(2, 12), p=shares[d]), 6))))
+        truth[i] = d
+    df = spark.createDataFrame([*rows, (-1, "")], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, truth[i]) for i in range(800)], "doc_id long, domain string")
+    features, _, model = mixing.fit(df, labelled, {"a": 0.5, "b": 0.5})
+    got = {r["__key"]: r.posterior for r in features.collect()}
+    bucket = {w: spark_hash((w, "s")) % mixing.BUCKETS for w in vocab}
+
+    def posterior(text, power, factor):
+        at = [bucket[w] for w in words(text)]
+        z = model.prior + model.weights[:, at].sum(axis=1) * factor / max(1, len(at)) ** power
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    assert all(np.abs(posterior(t, model.power, model.factor) - got[i]).max() < 1e-9 for i, t in rows)
+    assert np.abs(np.exp(model.prior) - got[-1]).max() < 1e-9
+    loss = lambda power, factor: -np.mean([np.log(posterior(t, power, factor)["ab".index(truth[i])] + 1e-300) for i, t in rows[800:]])
+    assert loss(model.power, model.factor) < 0.5 * loss(0, 1) and model.loss < model.plain
+    sure = [max(got[i]) for i in range(800, 1200)]
+    right = np.mean([got[i]["ab".index(truth[i])] > 0.5 for i in range(800, 1200)])
+    assert abs(np.mean(sure) - right) < 0.05
+
+
 def test_rates_against_numpy(spark):
     """The fit against a plain projected gradient descent on the same least squares."""
     rng = np.random.default_rng(2)
