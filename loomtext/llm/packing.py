@@ -16,19 +16,11 @@ bucket, however large, meets in one task.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import materialise
-
-EXACT = 2048
-
-
-def bin_of(length: Column, exact: int = EXACT) -> Column:
-    """The upper edge of the bin of a length, for a histogram with one bin a length up to ``exact`` and steps of 1/64 above."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 6)
-    return F.when(length <= exact, length).otherwise((F.ceil(length / step) * step).cast("long"))
-
+from loomtext.llm.shard_shuffle import salted
 
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int) -> list[int]:
     """Boundaries (ascending, the last is the greatest length) with the least padding.
@@ -68,15 +60,15 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, b
     return sorted(out)
 
 
-def pack(docs: DataFrame, length: str, key: str, buckets: int = 16, budget: int = 32768, exact: int | None = None, cell_rows: int = 200_000, stored: bool = False) -> DataFrame:
+def pack(docs: DataFrame, length: str, key: str, buckets: int = 16, budget: int = 32768, cell_rows: int = 200_000, stored: bool = False) -> DataFrame:
     """Every row with ``bucket, boundary, batch, slot, padding`` (input columns of these names are replaced).
 
     ``batch`` is unique over all buckets as (bucket, batch). A batch holds
     ``budget // boundary`` documents, at least one. ``length`` must not be
-    negative; null counts as 0. Rows are ordered inside a bucket by a hash of
-    the key, then the key; repeated keys each get a slot of their own. An empty
-    table gives no rows. No row is left out or cut. With ``exact`` boundaries
-    of longer documents lie at the greatest lengths of :func:`bin_of` only.
+    negative; null counts as 0. Rows are ordered inside a bucket by cell, then a
+    hash of key and length; repeated keys each get a slot of their own, and
+    where a key has more than a quarter of ``cell_rows`` rows these are dealt to
+    cells by number. An empty table gives no rows. No row is left out or cut.
 
     The rows are read twice, for the histogram and for the places. ``stored``
     says that this is cheap, as for a projection of a stored table; else they
@@ -86,23 +78,32 @@ def pack(docs: DataFrame, length: str, key: str, buckets: int = 16, budget: int
     names = [c for c in docs.columns if c not in made]
     size = F.coalesce(docs[f"`{length}`"].cast("long"), F.lit(0).cast("long"))
     rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)]).alias("__row"), docs[f"`{key}`"].alias("__key"), size.alias("__n"))
-    return number(rows if stored else materialise(rows, "lengths"), names, buckets, budget, exact, cell_rows)
-
-
-def number(rows: DataFrame, names: list[str], buckets: int, budget: int, exact: int | None, cell_rows: int) -> DataFrame:
-    counted = rows.groupBy((F.col("__n") if exact is None else bin_of(F.col("__n"), exact)).alias("edge")).agg(F.count("*").alias("n"), F.sum("__n").alias("sum"), F.max("__n").alias("most"))
-    found = counted.orderBy("edge").collect()  # one row a length
-    most = np.array([r["most"] for r in found], np.int64)
-    bounds = best_boundaries(most, np.array([r["n"] for r in found], float), np.array([r["sum"] for r in found], float), buckets) or [0]
+    rows = rows if stored else materialise(rows, "lengths")
+    often = F.col("n") > max(1, cell_rows // 4)
+    hot = not rows.groupBy(F.xxhash64("__key").alias("k")).agg(F.count("*").alias("n")).where(often).limit(1).isEmpty()
+    mark = F.xxhash64("__key", F.col("__key").isNull(), F.col("__n"))
+    marked = rows.select(mark.alias("mark"), F.struct("__row", "__key", "__n").alias("r"))
+    if hot:
+        marks = marked.groupBy("mark").agg(F.count("*").alias("n")).where(often)
+        marked = materialise(salted(marked, marks, small=False), "salted")
+    else:
+        marked = marked.withColumn("salt", F.lit(0).cast("long"))
+    return number(marked.select("r.__row", "r.__key", "r.__n", "mark", "salt"), names, buckets, budget, cell_rows)
+
+
+def number(rows: DataFrame, names: list[str], buckets: int, budget: int, cell_rows: int) -> DataFrame:
+    counted = rows.groupBy("__n").agg(F.count("*").alias("n"))
+    found = counted.orderBy("__n").collect()  # one row a length
+    lengths, n = np.array([r["__n"] for r in found], np.int64), np.array([r["n"] for r in found], float)
+    bounds = best_boundaries(lengths, n, n * lengths, buckets) or [0]
     cells = max(1, -(-sum(r["n"] for r in found) // cell_rows)) * 8
     index = sum((F.when(F.col("__n") > b, 1).otherwise(0) for b in bounds[:-1]), F.lit(0))
-    mark = F.xxhash64("__key", F.col("__n"))
-    placed = rows.select("*", index.alias("bucket"), F.get(F.array(*[F.lit(b).cast("long") for b in bounds]), index).alias("boundary"), mark.alias("__mark"))
-    placed = placed.withColumn("__cell", F.pmod("__mark", F.lit(cells).cast("long")).cast("int"))
+    placed = rows.select("*", index.alias("bucket"), F.get(F.array(*[F.lit(b).cast("long") for b in bounds]), index).alias("boundary"))
+    placed = placed.withColumn("__cell", F.pmod(F.xxhash64("mark", "salt"), F.lit(cells).cast("long")).cast("int"))
     offsets = placed.groupBy("bucket", "__cell").count()
     before = Window.partitionBy("bucket").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select(F.col("bucket").alias("__b"), F.col("__cell").alias("__c"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    own = Window.partitionBy("bucket", "__cell").orderBy("__mark", "__key")
+    own = Window.partitionBy("bucket", "__cell").orderBy("mark", "__key", "salt")
     ranked = placed.withColumn("__i", F.row_number().over(own) - 1)
     at = F.col("__before") + F.col("__i")
     room = F.greatest(F.lit(1).cast("long"), F.lit(budget).cast("long") / F.greatest(F.col("boundary"), F.lit(1))).cast("long")

@@ -631,8 +631,17 @@ def test_packing(spark, docs):
     partial = collections.Counter(b for (b, _), rows in batches.items() if len(rows) < max(1, 1000 // max(1, rows[0].boundary)))
     assert all(n == 1 for n in partial.values())
     assert packing.pack(df.limit(0), "n_tokens", "doc_id").count() == 0
-    edges = spark.range(1, 100_000, 37).select("id", packing.bin_of(F.col("id")).alias("e"))
-    assert edges.where("e < id OR e > id * 1.02").count() == 0 and edges.select("e").distinct().count() < 600
+
+
+def test_packing_of_a_hot_key(spark):
+    """Rows that share key and length are spread over cells, and still get gapless places."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit(9).cast("long").alias("n_tokens"))
+    got = packing.pack(df, "n_tokens", "doc_id", buckets=3, budget=90, cell_rows=400).collect()
+    assert sorted(r.batch * 10 + r.slot for r in got) == list(range(3000))
+    marked = df.select(F.xxhash64("doc_id").alias("mark"), F.struct("doc_id").alias("r"))
+    hot = marked.groupBy("mark").count().where("count > 100")
+    numbers = [r.salt for r in shard_shuffle.salted(marked.repartition(5), hot, False).where("r.doc_id = 7").collect()]
+    assert sorted(numbers) == list(range(len(numbers))) and len(numbers) >= 2000
 
 
 # --- quality ---
