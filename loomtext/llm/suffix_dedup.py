@@ -4,24 +4,36 @@ A string of ``L`` bytes counts as repeated in a document if it also starts in
 a document with a smaller id. Of the suffixes only a sample is indexed: of the
 ``L - K + 1`` strings of ``K`` bytes inside a window of ``L`` bytes the one
 with the least hash is the window's anchor, so equal windows have equal
-anchors, and each anchor stands for a run of neighbouring windows.
-
-Suffixes are dealt to ranges by the fingerprint of their first ``K`` bytes.
-Each range holds a family of sorted arrays (levels): a batch of suffixes is
-sorted, scanned against every level for suffixes with the same start, and what
-is new becomes a level; levels of about equal size are merged, so that a
-suffix is merged a logarithmic number of times. An entry also has the
-fingerprint of all bytes that its windows span. Equal entries repeat each other
-whole. Where suffixes start alike and their spans differ, the windows
-themselves are compared in a second pass, by the hash of their ``L`` bytes. The
-anchors only decide what is compared, so nothing is missed.
-
-Texts are held in packs of about ``PACK`` bytes, compressed, in a written
-table; fingerprints go to the ranges and short lists of verdicts come back.
+anchors, and each anchor stands for a run of neighbouring windows. An entry of
+the index is such a run: the suffix from the anchor on, as far as its windows
+reach (at most ``L`` bytes), and the bytes before the anchor, read backwards
+(at most ``L - K``).
+
+Three steps, each a shuffle:
+
+1. Sift. Starts (hashes of the first ``K`` bytes) are dealt to ranges. A suffix
+   whose start occurs once in all documents can't match and goes no further.
+2. Index. Each range holds a family of suffix arrays (levels) in byte order.
+   A batch of entries is sorted and merge-scanned against all levels: of equal
+   entries the least document covers the others, and for entries with a common
+   prefix of ``K`` bytes and more the lengths of common prefixes, forward and
+   backward, say which windows they share. What is new becomes a level; levels
+   of equal size are merged, so that an entry is merged a logarithmic number of
+   times. Hashes only propose; bytes decide.
+3. Finish. Each pack of documents gets the windows that are covered.
+
+A start that more than ``HOT`` entries share would be one task's work. Its
+windows are taken one by one instead and grouped by their ``L`` bytes, which
+spreads them; equal ones are counted with partial sums.
+
+:class:`SuffixIndex` keeps packs and levels in a folder, and batches that are
+added later are scanned against the levels there. :func:`remove_repeats` is an
+index of one batch.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -29,28 +41,38 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.bytehash import mixed, prefix_sums, substring_hashes
-from loomtext.llm.common import materialise, tidied
+from loomtext.llm.common import forget, materialise, tidied
 
 L, K = 50, 20
-PACK = 800_000
-#: Long packs (of one long text) are hashed in pieces of so many windows.
-PIECE = 1 << 21
-BATCH = 1 << 18
-#: Entries of so many anchors are dealt to the ranges at once.
-FLUSH = 1 << 19
+BEFORE = L - K
+#: Text bytes of a pack; long texts are hashed in pieces of so many windows.
+PACK, PIECE = 800_000, 1 << 21
+#: Entries in a batch of the index, and for one range of it.
+BATCH, RANGE = 1 << 15, 1 << 17
+#: Text bytes whose starts make up one range of the sift.
+SIFT_BYTES = 16 << 20
+#: Anchors that a task holds before it deals them to the ranges.
+FLUSH = 1 << 18
+#: Entries with the same start above which windows are compared one by one.
+HOT = 4096
+#: Tasks of a shuffle; beyond, a task gets several ranges, one after the other.
+TASKS = 20_000
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 NULL_ID = np.iinfo(np.int64).min
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the documents laid end to end in ``data``: first and last window of each anchor, its fingerprint, that of its span."""
+# --- packs and anchors --------------------------------------------------------------------------
+
+
+def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the documents laid end to end in ``data``: first and last window of each anchor, its place, its start's hash, its span's hash."""
     out = [_anchors(data, ends, at, min(at + PIECE, len(data) - L + 1)) for at in range(0, max(0, len(data) - L + 1), PIECE)]
     if not out:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -73,30 +95,44 @@ def _anchors(data: np.ndarray, ends: np.ndarray, lo: int, hi: int) -> tuple[np.n
         inside[max(0, end - L + 1 - lo) : max(0, end - lo)] = False
     window = np.flatnonzero(inside)
     if not len(window):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
     anchor = (v[window] & LOW).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)]))
     first, last = window[new], window[np.concatenate([new[1:], [len(window)]]) - 1]
     span = mixed(substring_hashes(sums, first, last + L) + (last - first).astype(np.uint64))
-    # Anchors have low hashes, so their fingerprint is a second hash, which spreads them evenly over the ranges.
-    return first + lo, last + lo, mixed(~grams[anchor[new]]), span
+    # Anchors have low hashes, so their start's hash is a second one, which spreads them evenly over the ranges.
+    return first + lo, last + lo, anchor[new] + lo, mixed(~grams[anchor[new]]), span
 
 
 class Pack:
-    """A pack with its anchors. Of equal anchors only the one in the least document stands for all in the index."""
+    """A pack with its anchors. Of anchors with equal spans only the one in the least document (the leader) is in the index."""
 
     def __init__(self, ids: np.ndarray, ends: np.ndarray, z: bytes):
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
         self.ids, self.ends = ids, ends
-        self.first, self.last, self.gram, self.span = anchors(self.data, ends)
+        self.first, self.last, self.at, self.start, span = anchors(self.data, ends)
         self.id = ids[np.searchsorted(ends, self.first, "right")]
-        key = mixed(self.gram + self.span * np.uint64(0x9E3779B97F4A7C15))
+        key = mixed(self.start + span * np.uint64(0x9E3779B97F4A7C15))
         order = np.argsort(self.id, kind="stable")
         order = order[np.argsort(key[order], kind="stable")]
         new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(order) else np.empty(0, bool)
         self.leader = np.empty(len(order), np.int64)
         self.leader[order] = order[new][np.cumsum(new) - 1]
-        self.leaders = np.sort(order[new])
+        led = np.flatnonzero(self.leader != np.arange(len(order)))
+        other = led[~self.equal(led, self.leader[led])]
+        self.leader[other] = other
+        self.leaders = np.flatnonzero(self.leader == np.arange(len(order)))
+
+    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Are the spans of anchors ``a`` and ``b`` equal, byte by byte?"""
+        out = (self.last[a] - self.first[a] == self.last[b] - self.first[b]) & (self.at[a] - self.first[a] == self.at[b] - self.first[b])
+        for j in range(0, len(a), 1 << 14):
+            x, y = a[j : j + (1 << 14)], b[j : j + (1 << 14)]
+            size = self.last[x] - self.first[x] + L
+            for k in range(int(size.max())):
+                inside = np.minimum(k, size - 1)
+                out[j : j + (1 << 14)] &= self.data[self.first[x] + inside] == self.data[np.minimum(self.first[y] + inside, len(self.data) - 1)]
+        return out
 
     def expand(self, marked: np.ndarray) -> np.ndarray:
         """Marks of leaders to all anchors they stand for."""
@@ -106,22 +142,25 @@ class Pack:
         """Anchors with an equal one in a smaller document of this pack."""
         return self.id > self.id[self.leader]
 
+    def windows(self, which: np.ndarray) -> np.ndarray:
+        return self.last[which] - self.first[which] + 1
 
-def packs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``pack, ids, ends, z``: whole documents in packs, as arrays in binary."""
+
+def packs(docs: DataFrame, key: str, text: str, batch: int = 0) -> DataFrame:
+    """``pack, n_bytes, ids, ends, z``: whole documents in packs, as arrays in binary."""
     rows = docs.select(docs[f"`{key}`"].cast("bigint").alias("id"), docs[f"`{text}`"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, parts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        number, ids, parts, size = (batch << 52) + (TaskContext.get().partitionId() << 28), [], [], 0
         squeeze = zstandard.ZstdCompressor(level=3)
 
         def done() -> pa.RecordBatch:
             ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
-            cols = [pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), ends.tobytes(), squeeze.compress(b"".join(parts))))]
-            return pa.RecordBatch.from_arrays(cols, names=["pack", "ids", "ends", "z"])
+            cols = [pa.array([number], pa.int64()), pa.array([size], pa.int64()), *(pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), ends.tobytes(), squeeze.compress(b"".join(parts))))]
+            return pa.RecordBatch.from_arrays(cols, names=["pack", "n_bytes", "ids", "ends", "z"])
 
-        for batch in batches:
-            for i, t in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+        for rows_ in batches:
+            for i, t in zip(rows_.column("id").to_pylist(), rows_.column("text"), strict=True):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
                 if parts and size + len(raw) > PACK:
                     yield done()
@@ -132,7 +171,7 @@ def packs(docs: DataFrame, key: str, text: str) -> DataFrame:
         if parts:
             yield done()
 
-    return rows.mapInArrow(tidied(run), "pack bigint, ids binary, ends binary, z binary")
+    return rows.mapInArrow(tidied(run), "pack bigint, n_bytes bigint, ids binary, ends binary, z binary")
 
 
 def opened(batch: pa.RecordBatch, r: int) -> Pack:
@@ -140,6 +179,9 @@ def opened(batch: pa.RecordBatch, r: int) -> Pack:
     return Pack(np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64), z)
 
 
+# --- arrays as binary columns -------------------------------------------------------------------
+
+
 def coded(values: np.ndarray) -> tuple[bytes, bytes]:
     """The distinct values, and for each value its place among them, in two or four bytes."""
     names, codes = np.unique(values, return_inverse=True)
@@ -158,261 +200,388 @@ def uncoded(names: pa.Buffer, codes: pa.Buffer, n: int) -> np.ndarray:
     return np.frombuffer(names, np.int64)[unsmall(codes, n)]
 
 
-def by_range(gram: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The ranges of fingerprints that occur, each with the rows in it."""
-    to = ((gram >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    order = np.argsort(to, kind="stable")
-    names, cuts = np.unique(to[order], return_index=True)
+def joined(parts: pa.Scalar, kind: type = np.uint32) -> np.ndarray:
+    got = [np.frombuffer(x, kind) for x in parts.as_py() or [] if x]
+    return np.concatenate(got) if got else np.empty(0, kind)
+
+
+def by_range(start: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The ranges of starts that occur, each with the rows in it, ordered by start."""
+    order = np.argsort(start, kind="stable")
+    to = ((start[order] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    names, cuts = np.unique(to, return_index=True)
     yield from zip(names.tolist(), np.split(order, cuts[1:]), strict=False)
 
 
-def entries(made: DataFrame, ranges: int) -> DataFrame:
-    """The index entries for each range, of several packs in a row: ``range, keys, tails, ords`` and ids and packs as codes."""
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def arrow(**kinds: pa.DataType) -> pa.Schema:
+    return pa.schema(list(kinds.items()))
+
+
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"`{f.name}` {dict(int32='int', int64='bigint', binary='binary', bool='boolean').get(str(f.type))}" for f in schema)
+
+
+def dealt(rows: DataFrame, ranges: int) -> DataFrame:
+    """Rows of a range together in a task, ranges one after the other."""
+    tasks = min(ranges, TASKS)
+    return rows.repartitionById(tasks, F.col("range") % tasks).sortWithinPartitions("range")
+
+
+def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[pa.RecordBatch, int]]]]:
+    """Each range with its rows, as they come."""
+    cells = ((b, r, key) for b in batches for r, key in enumerate(b.column("range").to_pylist()))
+    held = next(cells, None)
+
+    def rows(key: int) -> Iterator[tuple[pa.RecordBatch, int]]:
+        nonlocal held
+        while held is not None and held[2] == key:
+            yield held[:2]
+            held = next(cells, None)
+
+    while held is not None:
+        key = held[2]
+        group = rows(key)
+        yield key, group
+        for _ in group:
+            pass
+
+
+# --- 1: sift ------------------------------------------------------------------------------------
+
+STARTS = arrow(range=pa.int32(), fresh=pa.bool_(), starts=pa.binary(), ords=pa.binary(), packs=pa.binary(), pcodes=pa.binary())
+ASKED = arrow(pack=pa.int64(), shared=pa.binary(), hot=pa.binary(), n=pa.int64(), n_hot=pa.int64())
+
+
+def starts_of(made: DataFrame, ranges: int) -> DataFrame:
+    """For each range the starts (32 bits of their hashes) of all leaders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            gram, span, ident, ords, pack = (np.concatenate(x) for x in zip(*held, strict=True))
-            key = (gram & np.uint64(0xFFFFFFFFFFFF0000)) | (span >> np.uint64(48))
-            tail = (span >> np.uint64(16)).astype(np.uint32)
-            rows = [(k, key[o].tobytes(), tail[o].tobytes(), small(ords[o]), *coded(ident[o]), *coded(pack[o])) for k, o in by_range(gram, ranges)]
-            cols = [pa.array([x[0] for x in rows], pa.int32()), *(pa.array([x[i] for x in rows], pa.binary()) for i in range(1, 8))]
-            return pa.RecordBatch.from_arrays(cols, names=["range", "keys", "tails", "ords", "ids", "codes", "packs", "pcodes"])
+            start, ords, pack = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows = [(k, True, (start[o] & LOW).astype(np.uint32).tobytes(), small(ords[o]), *coded(pack[o])) for k, o in by_range(start, ranges)]
+            return table_of(rows, STARTS)
 
         for batch in batches:
             for r, number in enumerate(batch.column("pack").to_pylist()):
                 p = opened(batch, r)
-                lead = p.leaders
-                held.append((p.gram[lead], p.span[lead], p.id[lead], lead, np.full(len(lead), number, np.int64)))
-                size += len(lead)
+                if not len(p.leaders):
+                    continue
+                held.append((p.start[p.leaders], p.leaders, np.full(len(p.leaders), number, np.int64)))
+                size += len(p.leaders)
                 if size >= FLUSH:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    return made.mapInArrow(tidied(run), "range int, keys binary, tails binary, ords binary, ids binary, codes binary, packs binary, pcodes binary")
-
-
-class Levels:
-    """The logarithmic family of one range. Each (key, tail) is in one level only, with its least document."""
-
-    def __init__(self) -> None:
-        self.levels: list[list[np.ndarray]] = []  # key, tail, id, pack, ord; sorted by key, tail
-        self.covered: list[tuple[np.ndarray, np.ndarray]] = []
-        self.twins: list[list[np.ndarray]] = []
-
-    @staticmethod
-    def find(level: list[np.ndarray], key: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        """Where each (key, tail) is in a level, or -1."""
-        at = np.searchsorted(level[0], key)
-        out = np.full(len(key), -1, np.int64)
-        todo = np.arange(len(key))
-        while len(todo):
-            todo = todo[at[todo] < len(level[0])]
-            todo = todo[level[0][at[todo]] == key[todo]]
-            hit = level[1][at[todo]] == tail[todo]
-            out[todo[hit]] = at[todo[hit]]
-            todo = todo[~hit]
-            at[todo] += 1
-        return out
+    return made.mapInArrow(tidied(run), ddl(STARTS))
 
-    def add(self, batch: list[np.ndarray]) -> None:
-        order = np.lexsort((batch[2], batch[1], batch[0]))
-        batch = [x[order] for x in batch]
-        key, tail, ident = batch[:3]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (tail[1:] != tail[:-1])])
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        self.cover(batch, ident > ident[lead])
-        self.twin(batch, ~new & (ident == ident[lead]))
-        batch = [x[new] for x in batch]
-        fresh = np.ones(len(batch[0]), bool)
-        for level in self.levels:
-            at = self.find(level, batch[0], batch[1])
-            hit = np.flatnonzero(at >= 0)
-            fresh[hit] = False
-            was, now = level[2][at[hit]], batch[2][hit]
-            self.cover([x[hit] for x in batch], was < now)
-            self.twin([x[hit] for x in batch], was == now)
-            swap = hit[now < was]
-            self.cover([x[at[swap]] for x in level], np.ones(len(swap), bool))
-            for i in (2, 3, 4):
-                level[i][at[swap]] = batch[i][swap]
-        if fresh.any():
-            self.levels.append([x[fresh] for x in batch])
-        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            self.merge()
 
-    def merge(self) -> None:
-        a, b = self.levels.pop(), self.levels.pop()
-        both = [np.concatenate([x, y]) for x, y in zip(b, a, strict=True)]
-        order = np.lexsort((both[1], both[0]))
-        self.levels.append([x[order] for x in both])
+def sift(rows: DataFrame, hot: int) -> DataFrame:
+    """``pack, shared, hot`` (ordinals of anchors in binary) and their numbers: of ``fresh`` entries those whose start is shared,
+    of older ones those whose start was not shared, or not hot, until now."""
 
-    def cover(self, rows: list[np.ndarray], which: np.ndarray) -> None:
-        if which.any():
-            self.covered.append((rows[3][which], rows[4][which]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in by_group(batches):
+            held = []
+            for batch, r in group:
+                starts, ords, packs_, pcodes = (batch.column(c)[r].as_buffer() for c in ("starts", "ords", "packs", "pcodes"))
+                starts = np.frombuffer(starts, np.uint32)
+                n = len(starts)
+                held.append((starts, unsmall(ords, n).astype(np.uint32), uncoded(packs_, pcodes, n), np.full(n, batch.column("fresh")[r].as_py())))
+            start, ords, pack, fresh = (np.concatenate(x) for x in zip(*held, strict=True))
+            del held
+            order = np.argsort(start)
+            new = np.concatenate([[True], start[order][1:] != start[order][:-1]])
+            group_of = np.empty(len(order), np.int64)
+            group_of[order] = np.cumsum(new) - 1
+            state = lambda n: (n > 1).astype(np.int8) + (n > hot)
+            after = state(np.bincount(group_of))
+            before = state(np.bincount(group_of, weights=~fresh, minlength=len(after)))
+            wanted = np.flatnonzero((after[group_of] > 0) & (fresh | (after != before)[group_of]))
+            wanted = wanted[np.argsort(pack[wanted], kind="stable")]
+            names, cuts = np.unique(pack[wanted], return_index=True)
+            rows_ = []
+            for name, w in zip(names.tolist(), np.split(wanted, cuts[1:]), strict=False):
+                is_hot = after[group_of[w]] == 2
+                rows_.append((name, ords[w[~is_hot]].tobytes(), ords[w[is_hot]].tobytes(), int((~is_hot).sum()), int(is_hot.sum())))
+            if rows_:
+                yield table_of(rows_, ASKED)
 
-    def twin(self, rows: list[np.ndarray], which: np.ndarray) -> None:
-        if which.any():
-            self.twins.append([x[which] for x in rows])
+    return rows.mapInArrow(tidied(run), ddl(ASKED))
 
-    def close(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """(pack, ord) of covered entries, and of those whose start is shared by another span."""
-        while len(self.levels) > 1:
-            self.merge()
-        empty = np.empty(0, np.int64)
-        open_: list[tuple[np.ndarray, np.ndarray]] = [(empty, empty)]
-        if self.levels:
-            level = self.levels[0]
-            start = level[0] >> np.uint64(16)
-            same = np.concatenate([[False], start[1:] == start[:-1], [False]])
-            shared = same[1:] | same[:-1]
-            open_.append((level[3][shared], level[4][shared]))
-            for t in self.twins:  # entries of equal ids, which don't cover each other
-                at = self.find(level, t[0], t[1])
-                self.cover(t, level[2][at] < t[2])
-                like = (level[2][at] == t[2]) & shared[at]
-                open_.append((t[3][like], t[4][like]))
-        join = lambda parts: tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-        return join(self.covered or [(empty, empty)]), join(open_)
-
-
-def scan(rows: DataFrame) -> DataFrame:
-    """``pack, covered, open`` (ordinals of anchors in binary) from the entries, which lie together by range."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, levels, held, size = None, Levels(), [], 0
+# --- 2: index -----------------------------------------------------------------------------------
 
-        def flush() -> None:
-            nonlocal held, size
-            if held:
-                levels.add([np.concatenate(x) for x in zip(*held, strict=True)])
-            held, size = [], 0
-
-        def close() -> Iterator[pa.RecordBatch]:
-            flush()
-            covered, open_ = levels.close()
-            cut = []
-            for pack, ords in (covered, open_):
-                order = np.argsort(pack, kind="stable")
-                names, at = np.unique(pack[order], return_index=True)
-                cut.append(dict(zip(names.tolist(), np.split(ords[order].astype(np.uint32), at[1:]), strict=False)))
-            names = sorted(set(cut[0]) | set(cut[1]))
-            if names:
-                none = np.empty(0, np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64()), *(pa.array([c.get(n, none).tobytes() for n in names], pa.binary()) for c in cut)], names=["pack", "covered", "open"]
-                )
+ENTRIES = arrow(
+    range=pa.int32(), fixed=pa.bool_(), spans=pa.binary(), n=pa.binary(), x=pa.binary(), ords=pa.binary(), ids=pa.binary(), codes=pa.binary(), packs=pa.binary(), pcodes=pa.binary()
+)
+FOUND = arrow(range=pa.int32(), pack=pa.int64(), ord=pa.binary(), mask=pa.binary(), **{f.name: f.type for f in ENTRIES if f.name not in ("range", "fixed")})
 
-        for batch in batches:
-            for r, key in enumerate(batch.column("range").to_pylist()):
-                if key != last:
-                    if last is not None:
-                        yield from close()
-                    last, levels = key, Levels()
-                keys, tails, ords, ids, codes, packs_, pcodes = (batch.column(c)[r].as_buffer() for c in ("keys", "tails", "ords", "ids", "codes", "packs", "pcodes"))
-                keys = np.frombuffer(keys, np.uint64)
-                n = len(keys)
-                held.append((keys, np.frombuffer(tails, np.uint32), uncoded(ids, codes, n), uncoded(packs_, pcodes, n), unsmall(ords, n).astype(np.int64)))
-                size += n
-                if size >= BATCH:
-                    flush()
-        if last is not None:
-            yield from close()
 
-    return rows.mapInArrow(tidied(run), "pack bigint, covered binary, open binary")
+def gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The strings of ``size`` bytes at ``begin``, one after the other."""
+    return data[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
 
-def joined(parts: pa.Scalar, kind: type = np.uint32) -> np.ndarray:
-    got = [np.frombuffer(x, kind) for x in parts.as_py() or []]
-    return np.concatenate(got) if got else np.empty(0, kind)
+def packed(spans: np.ndarray, n: np.ndarray, x: np.ndarray, ident: np.ndarray, pack: np.ndarray, ords: np.ndarray) -> tuple[bytes, ...]:
+    squeezed = zstandard.ZstdCompressor(level=1).compress(spans.tobytes())
+    return squeezed, n.astype(np.uint8).tobytes(), x.astype(np.uint8).tobytes(), small(ords), *coded(ident), *coded(pack)
 
 
-def open_windows(rows: DataFrame, ranges: int) -> DataFrame:
-    """The spans of anchors that are to be compared window by window: ``range, ord, n, span`` and ids and packs as codes."""
+def suffixes(asked: DataFrame, ranges: int) -> DataFrame:
+    """The entries for each range: spans of the anchors asked for, number of windows ``n``, bytes before the anchor ``x``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            gram, ident, ords, pack, length = (np.concatenate([h[i] for h in held]) for i in range(5))
-            data = np.concatenate([h[5] for h in held])
-            begin = np.cumsum(length) - length
-            rows_ = []
-            for k, o in by_range(gram, ranges):
-                at = np.repeat(begin[o], length[o]) + np.arange(length[o].sum()) - np.repeat(np.cumsum(length[o]) - length[o], length[o])
-                rows_.append((k, ords[o].astype(np.uint32).tobytes(), (length[o] - L + 1).astype(np.uint8).tobytes(), data[at].tobytes(), *coded(ident[o]), *coded(pack[o])))
-            cols = [pa.array([x[0] for x in rows_], pa.int32()), *(pa.array([x[i] for x in rows_], pa.binary()) for i in range(1, 8))]
-            return pa.RecordBatch.from_arrays(cols, names=["range", "ord", "n", "span", "ids", "codes", "packs", "pcodes"])
+            start, n, x, ident, pack, ords = (np.concatenate([h[i] for h in held]) for i in range(6))
+            data = np.concatenate([h[6] for h in held])
+            begin = np.cumsum(n + L - 1) - (n + L - 1)
+            rows = [(k, False, *packed(gather(data, begin[o], n[o] + L - 1), n[o], x[o], ident[o], pack[o], ords[o])) for k, o in by_range(start, ranges)]
+            return table_of(rows, ENTRIES)
 
         for batch in batches:
             for r, number in enumerate(batch.column("pack").to_pylist()):
-                ords = np.sort(joined(batch.column("open")[r]))
+                ords = np.sort(joined(batch.column("shared")[r]))
                 if not len(ords):
                     continue
                 p = opened(batch, r)
-                length = p.last[ords] - p.first[ords] + L
-                at = np.repeat(p.first[ords] - np.cumsum(length) + length, length) + np.arange(length.sum())
-                held.append((p.gram[ords], p.id[ords], ords, np.full(len(ords), number, np.int64), length, p.data[at]))
+                n = p.windows(ords)
+                held.append((p.start[ords], n, p.at[ords] - p.first[ords], p.id[ords], np.full(len(ords), number, np.int64), ords, gather(p.data, p.first[ords], n + L - 1)))
                 size += len(ords)
-                if size >= FLUSH // 4:
+                if size >= FLUSH // 2:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    return rows.mapInArrow(tidied(run), "range int, ord binary, n binary, span binary, ids binary, codes binary, packs binary, pcodes binary")
-
-
-def judge_windows(rows: DataFrame) -> DataFrame:
-    """``pack, ord, mask``: for open anchors the windows (bits) that also start in a smaller document."""
-
-    def verdict(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ords, n, ident, pack = (np.concatenate([h[i] for h in held]) for i in range(4))
-        n = n.astype(np.int64)
-        hashes = []
-        for _, m, _, _, span in held:
-            size = m.astype(np.int64)
-            at = np.repeat(np.cumsum(size + L - 1) - np.cumsum(size) - (L - 1), size) + np.arange(size.sum())
-            hashes.append(substring_hashes(prefix_sums(span), at, at + L))
-        windows = np.concatenate(hashes)
-        owner = np.repeat(np.arange(len(n)), n)
-        bit = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        order = np.lexsort((ident[owner], windows))
-        w = windows[order]
-        new = np.concatenate([[True], w[1:] != w[:-1]])
-        least = ident[owner[order]][new][np.cumsum(new) - 1]
-        hit = order[least < ident[owner[order]]]
-        mask = np.zeros(len(n), np.uint32)
-        np.bitwise_or.at(mask, owner[hit], np.uint32(1) << bit[hit].astype(np.uint32))
-        some = np.flatnonzero(mask)
-        some = some[np.argsort(pack[some], kind="stable")]
-        names, cuts = np.unique(pack[some], return_index=True)
-        parts = np.split(some, cuts[1:]) if len(names) else []
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.int64()), pa.array([ords[o].tobytes() for o in parts], pa.binary()), pa.array([mask[o].tobytes() for o in parts], pa.binary())], names=["pack", "ord", "mask"]
-        )
+    return asked.mapInArrow(tidied(run), ddl(ENTRIES))
+
+
+class Entries:
+    """Entries as arrays: ``ahead`` (bytes from the anchor on) and ``back`` (bytes before it, backwards), both filled up with zeros."""
+
+    FIELDS = ("ahead", "back", "n", "x", "id", "pack", "ord")
+
+    def __init__(self, *arrays: np.ndarray):
+        self.ahead, self.back, self.n, self.x, self.id, self.pack, self.ord = arrays
+
+    @staticmethod
+    def read(batch: pa.RecordBatch, r: int) -> Entries:
+        raw = {c: batch.column(c)[r].as_buffer() for c in ("spans", "n", "x", "ords", "ids", "codes", "packs", "pcodes")}
+        n, x = (np.frombuffer(raw[c], np.uint8).astype(np.int64) for c in ("n", "x"))
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw["spans"]), np.uint8)
+        size, count = n + L - 1, len(n)
+        begin = np.cumsum(size) - size
+        ahead, back = np.zeros((count, L), np.uint8), np.zeros((count, BEFORE), np.uint8)
+        for k in range(L):
+            some = np.flatnonzero(x + k < size)
+            ahead[some, k] = data[begin[some] + x[some] + k]
+        for k in range(BEFORE):
+            some = np.flatnonzero(k < x)
+            back[some, k] = data[begin[some] + x[some] - 1 - k]
+        return Entries(ahead, back, n, x, uncoded(raw["ids"], raw["codes"], count), uncoded(raw["packs"], raw["pcodes"], count), unsmall(raw["ords"], count).astype(np.int64))
+
+    def __len__(self) -> int:
+        return len(self.n)
+
+    def take(self, which: np.ndarray) -> Entries:
+        return Entries(*(getattr(self, f)[which] for f in self.FIELDS))
+
+    @staticmethod
+    def concat(parts: list[Entries]) -> Entries:
+        return Entries(*(np.concatenate([getattr(p, f) for p in parts]) for f in Entries.FIELDS))
+
+    def order(self) -> np.ndarray:
+        """Suffix order: by the bytes ahead, then those behind. Two sorted arrays one after the other are merged."""
+        return np.argsort(strings(np.concatenate([self.ahead, self.back], axis=1)), kind="stable")
+
+    def spans(self) -> np.ndarray:
+        """The spans one after the other, as :meth:`read` takes them."""
+        whole = np.concatenate([self.back[:, ::-1], self.ahead], axis=1)
+        at = np.arange(BEFORE + L)[None, :]
+        return whole[(at >= (BEFORE - self.x)[:, None]) & (at < (BEFORE - self.x + self.n + L - 1)[:, None])]
+
+
+def strings(rows: np.ndarray) -> np.ndarray:
+    rows = np.ascontiguousarray(rows)
+    return rows.view(f"S{rows.shape[1]}").ravel()
+
+
+def common(rows: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of neighbouring rows."""
+    other = rows[1:] != rows[:-1]
+    return np.where(other.any(axis=1), other.argmax(axis=1), rows.shape[1])
+
+
+class Levels:
+    """The logarithmic family of one range: sorted arrays, each about twice as large as the next at least. ``fixed`` ones are scanned, but not merged."""
+
+    def __init__(self, fixed: list[Entries], levels: list[Entries]):
+        self.fixed, self.levels = fixed, levels
+        self.masks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, batch: Entries) -> None:
+        batch = batch.take(batch.order())
+        own = [batch, *(x.take(shares_start(x, batch)) for x in (*self.fixed, *self.levels))]
+        fresh = np.concatenate([np.full(len(x), i == 0) for i, x in enumerate(own)])
+        merged = Entries.concat(own)
+        order = merged.order()
+        merged, fresh = merged.take(order), fresh[order]
+        keep = self.equals(merged)
+        self.shared(merged.take(keep))
+        batch = merged.take(keep & fresh)
+        if len(batch):
+            self.levels.append(batch)
+        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
+            self.merge()
+
+    def merge(self) -> None:
+        a, b = self.levels.pop(), self.levels.pop()
+        both = Entries.concat([b, a])
+        self.levels.append(both.take(both.order()))
+
+    def equals(self, e: Entries) -> np.ndarray:
+        """Of equal entries the least document covers the others, which are not kept."""
+        if not len(e):
+            return np.empty(0, bool)
+        same = (common(e.ahead) == L) & (common(e.back) == BEFORE) & (e.n[1:] == e.n[:-1]) & (e.x[1:] == e.x[:-1])
+        new = np.concatenate([[True], ~same])
+        keep = e.id == np.minimum.reduceat(e.id, np.flatnonzero(new))[np.cumsum(new) - 1]
+        self.found(e.take(~keep), (np.uint32(1) << e.n[~keep].astype(np.uint32)) - np.uint32(1))
+        return keep
+
+    def shared(self, e: Entries) -> None:
+        """Windows of entries that a smaller document has too: those for which the common bytes ahead and behind reach far enough."""
+        if len(e) < 2:
+            return
+        ahead = common(e.ahead)
+        some = np.concatenate([[False], ahead >= K, [False]])
+        some = np.flatnonzero(some[1:] | some[:-1])
+        if not len(some):
+            return
+        e = e.take(some)
+        ahead, by_back = common(e.ahead), np.argsort(strings(e.back), kind="stable")
+        back = common(e.back[by_back])
+        by_id = np.argsort(e.id, kind="stable")
+        mask = np.zeros(len(e), np.uint32)
+        for x in range(BEFORE + 1):  # the window that begins x bytes before the anchor
+            near = np.zeros(len(e), np.int64)
+            near[1:] = np.cumsum(ahead < L - x)
+            far = np.zeros(len(e), np.int64)
+            far[by_back[1:]] = np.cumsum(back < x)
+            has = by_id[((e.x >= x) & (e.x - x < e.n))[by_id]]
+            key = near[has] * len(e) + far[has]
+            order = np.argsort(key, kind="stable")
+            key, who = key[order], has[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+            covered = who[e.id[who] > e.id[who[new]][np.cumsum(new) - 1]] if len(who) else who
+            mask[covered] |= np.uint32(1) << (e.x[covered] - x).astype(np.uint32)
+        hit = np.flatnonzero(mask)
+        self.found(e.take(hit), mask[hit])
+
+    def found(self, e: Entries, mask: np.ndarray) -> None:
+        if len(e):
+            self.masks.append((e.pack, e.ord, mask))
+
+    def verdicts(self) -> list[tuple[int, bytes, bytes]]:
+        """Pack, ordinals and masks (bit k for the k-th window of the anchor)."""
+        if not self.masks:
+            return []
+        pack, ords, mask = (np.concatenate(x) for x in zip(*self.masks, strict=True))
+        order = np.argsort(pack, kind="stable")
+        names, cuts = np.unique(pack[order], return_index=True)
+        return [(int(n), ords[o].astype(np.uint32).tobytes(), mask[o].tobytes()) for n, o in zip(names, np.split(order, cuts[1:]), strict=False)]
+
+
+def shares_start(level: Entries, batch: Entries) -> np.ndarray:
+    """Which entries of a level begin like one of the sorted batch."""
+    if not len(level) or not len(batch):
+        return np.zeros(len(level), bool)
+    have, want = strings(batch.ahead[:, :K]), strings(level.ahead[:, :K])
+    return have[np.minimum(np.searchsorted(have, want), len(have) - 1)] == want
+
+
+def scan(rows: DataFrame, keep: bool) -> DataFrame:
+    """Verdicts (``pack, ord, mask``) from the entries, which lie together by range, and with ``keep`` the level that they became, as entries.
+
+    Rows that are ``fixed`` are levels that stay as they are; other rows are a
+    batch of new entries, or a level that is merged with it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group in by_group(batches):
+            levels, held, size = Levels([], []), [], 0
+            for batch, r in group:
+                fixed, e = batch.column("fixed")[r].as_py(), Entries.read(batch, r)
+                if fixed is not None and fixed:
+                    levels.fixed.append(e.take(e.order()))
+                    continue
+                held.append(e)
+                size += len(e)
+                if size >= BATCH:
+                    levels.add(Entries.concat(held))
+                    held, size = [], 0
+            if held:
+                levels.add(Entries.concat(held))
+            none = (None,) * 8
+            out = [(key, *v, *none) for v in levels.verdicts()]
+            if keep:
+                while len(levels.levels) > 1:
+                    levels.merge()
+                for x in levels.levels:
+                    out.append((key, None, None, None, *packed(x.spans(), x.n, x.x, x.id, x.pack, x.ord)))
+            if out:
+                yield table_of(out, FOUND)
+
+    return rows.mapInArrow(tidied(run), ddl(FOUND))
+
+
+# --- hot starts ---------------------------------------------------------------------------------
+
+WINDOWS = arrow(window=pa.binary(), id=pa.int64(), pack=pa.int64(), ord=pa.int64(), bit=pa.int32())
+
+
+def hot_windows(asked: DataFrame) -> DataFrame:
+    """``window`` (its bytes), ``id, pack, ord, bit`` for the anchors whose start is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
         for batch in batches:
-            for r, key in enumerate(batch.column("range").to_pylist()):
-                if key != last and held:
-                    yield from verdict(held)
-                    held = []
-                last = key
-                ords, n, span, ids, codes, packs_, pcodes = (batch.column(c)[r].as_buffer() for c in ("ord", "n", "span", "ids", "codes", "packs", "pcodes"))
-                ords = np.frombuffer(ords, np.uint32)
-                held.append((ords, np.frombuffer(n, np.uint8), uncoded(ids, codes, len(ords)), uncoded(packs_, pcodes, len(ords)), np.frombuffer(span, np.uint8)))
-        if held:
-            yield from verdict(held)
+            for r, number in enumerate(batch.column("pack").to_pylist()):
+                ords = np.sort(joined(batch.column("hot")[r])).astype(np.int64)
+                if not len(ords):
+                    continue
+                p = opened(batch, r)
+                n = p.windows(ords)
+                bit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                own = np.repeat(ords, n)
+                data = gather(p.data, p.first[own] + bit, np.full(len(own), L))
+                column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(L), len(own), [None, pa.py_buffer(data)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([column, pa.array(p.id[own]), pa.array(np.full(len(own), number)), pa.array(own), pa.array(bit.astype(np.int32))], schema=WINDOWS)
+
+    return asked.mapInArrow(tidied(run), ddl(WINDOWS))
 
-    return rows.mapInArrow(tidied(run), "pack bigint, ord binary, mask binary")
 
+def judge_windows(windows: DataFrame) -> DataFrame:
+    """``pack, ord, mask``: windows that a smaller document has too. The least document of a window is found with partial sums."""
+    least = materialise(windows.groupBy(F.col("window").alias("w")).agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
+    hit = windows.join(least, F.col("window") == F.col("w")).where("id > least")
+    out = materialise(hit.groupBy("pack", "ord").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("bit"))).alias("mask")), "masks")
+    forget(least)
+    return out
+
+
+# --- 3: finish ----------------------------------------------------------------------------------
 
 RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>, kept binary"
 
@@ -421,31 +590,34 @@ def finish(rows: DataFrame, with_kept: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                yield finished(opened(batch, r), joined(batch.column("covered")[r]), joined(batch.column("ord")[r]), joined(batch.column("mask")[r]), with_kept)
+                p = opened(batch, r)
+                bits = np.zeros(len(p.first), np.uint32)
+                np.bitwise_or.at(bits, joined(batch.column("ord")[r]), joined(batch.column("mask")[r]))
+                for x in batch.column("hot")[r].as_py() or []:
+                    bits[x["ord"]] |= np.uint32(x["mask"])
+                yield finished(p, bits, with_kept)
 
     return rows.mapInArrow(tidied(run), RESULT)
 
 
-def removed_bytes(p: Pack, covered: np.ndarray, ords: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    whole = np.zeros(len(p.first), bool)
-    whole[covered] = True
-    whole = p.expand(whole) | p.later()
-    bits = np.zeros(len(p.first), np.uint32)
-    bits[ords] = masks
+def removed_bytes(p: Pack, bits: np.ndarray) -> np.ndarray:
+    """Which bytes go, from the covered windows of the leaders."""
+    every = np.arange(len(p.first))
+    whole = p.later() | (p.expand(bits) == (np.uint32(1) << p.windows(every).astype(np.uint32)) - np.uint32(1))
     bits = np.where(whole, 0, p.expand(bits))
     change = np.zeros(len(p.data) + 1, np.int32)
     np.add.at(change, p.first[whole], 1)
     np.add.at(change, p.last[whole] + L, -1)
     some = np.flatnonzero(bits)
-    for k in range(L - K + 1):
+    for k in range(BEFORE + 1):
         at = p.first[some[(bits[some] >> np.uint32(k)) & np.uint32(1) > 0]] + k
         np.add.at(change, at, 1)
         np.add.at(change, at + L, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def finished(p: Pack, covered: np.ndarray, ords: np.ndarray, masks: np.ndarray, with_kept: bool) -> pa.RecordBatch:
-    gone = removed_bytes(p, covered, ords, masks)
+def finished(p: Pack, bits: np.ndarray, with_kept: bool) -> pa.RecordBatch:
+    gone = removed_bytes(p, bits)
     begins = np.concatenate([[0], p.ends[:-1]])
     sums = np.concatenate([[0], np.cumsum(gone)])
     removed = sums[p.ends] - sums[begins]
@@ -472,7 +644,79 @@ def finished(p: Pack, covered: np.ndarray, ords: np.ndarray, masks: np.ndarray,
     )
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", range_bytes: int = 8 << 20, with_kept: bool = False) -> DataFrame:
+# --- the index as a whole -----------------------------------------------------------------------
+
+
+class SuffixIndex:
+    """Batches of documents with their levels. :meth:`add` a batch, or several one after the other; :meth:`results` are those of all documents so far.
+
+    After ``n`` batches there is a level for each bit of ``n``: a new batch is
+    merged with the levels of the last 1, 2, 4... batches, as a carry goes
+    through a binary number, so that each level holds as many batches as it is
+    made of equal ones. The other levels stay as they are and are only scanned.
+    With ``last`` no further batch is to come, and no level is written.
+    """
+
+    def __init__(self, spark: SparkSession, ranges: int | None = None, sift_ranges: int | None = None, hot: int = HOT):
+        self.spark, self.ranges, self.sift_ranges, self.hot = spark, ranges, sift_ranges, hot
+        self.batches = 0
+        self.packs: list[DataFrame] = []
+        self.starts: list[DataFrame] = []
+        self.levels: list[tuple[int, DataFrame]] = []  # number of batches, table
+        self.windows: list[DataFrame] = []
+        self.verdicts: list[DataFrame] = []
+        self.masks: list[DataFrame] = []
+
+    def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text", last: bool = False) -> None:
+        self.batches += 1
+        made = materialise(packs(docs, key, text, self.batches), "packs")
+        self.packs.append(made)
+        total = made.agg(F.sum("n_bytes")).first()[0] or 0
+        if self.sift_ranges is None:  # the ranges of an index stay, so that later batches meet their like
+            self.sift_ranges = max(1, -(-total // SIFT_BYTES))
+        starts = starts_of(made, self.sift_ranges)
+        if not last:
+            starts = materialise(starts, "starts")
+        every = functools.reduce(DataFrame.unionByName, [x.withColumn("fresh", F.lit(False)) for x in self.starts], starts)
+        self.starts.append(starts)
+        asked = materialise(sift(dealt(every, self.sift_ranges), self.hot), "asked")
+        n = asked.agg(F.sum("n").alias("n"), F.sum("n_hot").alias("hot")).first()
+        if self.ranges is None:
+            self.ranges = max(1, -(-(n["n"] or 0) // RANGE))
+        told = asked.groupBy("pack").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))
+        held = functools.reduce(DataFrame.unionByName, self.packs).join(told, "pack")
+        merged = [size for size, _ in self.levels]
+        carry, size = [], 1
+        while merged and merged[-1] == size:
+            carry.append(merged.pop())
+            size *= 2
+        fixed, carried = self.levels[: len(merged)], self.levels[len(merged) :]
+        entries = suffixes(held, self.ranges)
+        for tables, stays in ((fixed, True), (carried, False)):
+            for _, x in tables:
+                entries = entries.unionByName(x.where("spans IS NOT NULL").select("range", F.lit(stays).alias("fixed"), *[f.name for f in ENTRIES if f.name not in ("range", "fixed")]))
+        found = materialise(scan(dealt(entries, self.ranges), keep=not last), "index")
+        self.verdicts.append(found)
+        self.levels = [*fixed, (size, found)]
+        if n["hot"]:
+            windows = materialise(hot_windows(held), "windows")
+            self.windows.append(windows)
+            self.masks.append(judge_windows(functools.reduce(DataFrame.unionByName, self.windows)))
+        forget(asked)
+
+    def results(self, with_kept: bool = False) -> DataFrame:
+        verdicts = functools.reduce(DataFrame.unionByName, [x.where("pack IS NOT NULL").select("pack", "ord", "mask") for x in self.verdicts])
+        parts = verdicts.groupBy("pack").agg(F.collect_list("ord").alias("ord"), F.collect_list("mask").alias("mask"))
+        masks = functools.reduce(DataFrame.unionByName, self.masks) if self.masks else self.spark.createDataFrame([], "pack bigint, ord bigint, mask int")
+        hot = masks.groupBy("pack").agg(F.collect_list(F.struct("ord", "mask")).alias("hot"))
+        return finish(functools.reduce(DataFrame.unionByName, self.packs).join(parts, "pack", "left").join(hot, "pack", "left"), with_kept)
+
+    def drop(self) -> None:
+        """Delete the tables of the index."""
+        forget(*self.packs, *self.starts, *self.windows, *self.verdicts, *self.masks)
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept: bool = False, **how: int) -> DataFrame:
     """One row per row: ``id, n_bytes, n_removed, n_spans, kept_sha256, spans`` (removed runs, byte offsets) and ``kept`` (bytes, on demand).
 
     A byte goes if a string of 50 bytes over it also starts in a row with a
@@ -481,15 +725,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ran
     that share an id are compared with rows of smaller ids only, not with each
     other. Columns besides these two are not read. An empty table gives no rows.
     """
-    made = materialise(packs(docs, key, text), "packs")
-    total = made.agg(F.sum(F.length("z"))).first()[0] or 0
-    ranges = max(1, -(-3 * total // range_bytes))
-    found = entries(made, ranges).repartition(ranges, "range").sortWithinPartitions("range")
-    replies = materialise(scan(found), "replies")
-    told = replies.groupBy("pack").agg(F.collect_list("covered").alias("covered"), F.collect_list("open").alias("open"))
-    asked = open_windows(made.join(told.select("pack", "open"), "pack"), ranges).repartition(ranges, "range").sortWithinPartitions("range")
-    masks = materialise(judge_windows(asked), "masks")
-    parts = masks.groupBy("pack").agg(F.collect_list(F.struct("ord", "mask")).alias("m"))
-    parts = parts.select("pack", F.col("m.ord").alias("ord"), F.col("m.mask").alias("mask"))
-    both = told.select("pack", "covered").join(parts, "pack", "full_outer")
-    return finish(made.join(both, "pack", "left"), with_kept)
+    index = SuffixIndex(docs.sparkSession, **how)
+    index.add(docs, key, text, last=True)
+    out = materialise(index.results(with_kept), "repeats")
+    index.drop()
+    return out

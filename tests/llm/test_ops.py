@@ -406,23 +406,55 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize(("pack", "piece", "batch"), [(800_000, 1 << 21, 1 << 18), (900, 333, 64)])
-def test_repeats_against_brute_force(spark, monkeypatch, pack, piece, batch):
-    monkeypatch.setattr(suffix_dedup, "PACK", pack)
-    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
-    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+def repeating_rows():
     rng = np.random.default_rng(5)
     random = lambda n: "".join(rng.choice(list("abcdé 😀"), n))
     passage, edge = random(120), random(50)
     rows = [(i, random(rng.integers(0, 200)) + (passage if i % 3 else "") + random(60) + (edge if i % 4 == 0 else edge[:49]) + random(30)) for i in range(60)]
     rows += [(200, rows[3][1]), (201, rows[3][1][:100] + "#" + rows[3][1][100:]), (150, "z" * 400), (151, "z" * 60), (202, "ab" * 100), (203, "ba" * 90), (204, None), (205, ""), (206, "z" * 49), (None, "z" * 55), (7, passage), (7, passage)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"pack": F.lit("x"), "id": F.lit(1)}).repartition(3)
+    rows += [(300 + i, passage[i : i + 60] + "\0" * i + passage[:55]) for i in range(20)] + [(5, "\0" * 70), (400, "\0" * 51 + "a" + "\0" * 50)]
+    return rows
+
+
+def removed(frame):
     got = collections.defaultdict(list)
-    for r in suffix_dedup.remove_repeats(df, with_kept=True, range_bytes=4000).collect():
+    for r in frame.collect():
         assert sum(s.stop - s.start for s in r.spans) == r.n_removed and len(r.spans) == r.n_spans
         got[r.id].append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)))
-    want = brute_repeats(rows)
-    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    return {k: sorted(v) for k, v in got.items()}
+
+
+@pytest.mark.parametrize(("pack", "batch", "how"), [(800_000, 1 << 15, {}), (900, 64, {"ranges": 3, "sift_ranges": 2}), (900, 64, {"ranges": 5, "hot": 4}), (400, 1 << 15, {"hot": 1})])
+def test_repeats_against_brute_force(spark, monkeypatch, pack, batch, how):
+    monkeypatch.setattr(suffix_dedup, "PACK", pack)
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+    rows = repeating_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"pack": F.lit("x"), "id": F.lit(1)}).repartition(3)
+    want = {k: sorted(v) for k, v in brute_repeats(rows).items()}
+    assert removed(suffix_dedup.remove_repeats(df, with_kept=True, **how)) == want
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 6])
+def test_batches_meet_stored_levels(spark, monkeypatch, hot):
+    """Five batches, in an order that isn't that of ids: after each the results are those of all rows so far, and levels are those of a binary counter."""
+    monkeypatch.setattr(suffix_dedup, "PACK", 900)
+    rows = repeating_rows()
+    index, so_far = suffix_dedup.SuffixIndex(spark, ranges=3, sift_ranges=2, hot=hot), []
+    for n, at in enumerate((3, 0, 4, 1, 2), 1):
+        so_far += rows[at::5]
+        index.add(spark.createDataFrame(rows[at::5], "doc_id long, text string").repartition(2))
+        assert [size for size, _ in index.levels] == [1 << b for b in range(3, -1, -1) if n >> b & 1]
+        assert removed(index.results(with_kept=True)) == {k: sorted(v) for k, v in brute_repeats(so_far).items()}
+    index.drop()
+
+
+def test_anchors_in_pieces(monkeypatch):
+    data, ends = np.random.default_rng(3).integers(97, 101, 3000, dtype=np.uint8), np.array([700, 730, 2000, 3000])
+    windows = lambda a: {(w, at) for f, last, at in zip(*(x.tolist() for x in a[:3]), strict=True) for w in range(f, last + 1)}
+    whole = windows(suffix_dedup.anchors(data, ends))
+    monkeypatch.setattr(suffix_dedup, "PIECE", 333)
+    assert windows(suffix_dedup.anchors(data, ends)) == whole
+    assert {w for w, _ in whole} == {w for lo, hi in zip([0, *ends], ends) for w in range(lo, hi - 49)}
 
 
 def test_repeats_of_nothing(docs):
@@ -431,13 +463,57 @@ def test_repeats_of_nothing(docs):
     assert len(got) == len(BASE) and {r.n_bytes for r in got if r.id in (2, 3)} == {0}
 
 
-def test_levels_stay_few():
-    levels = suffix_dedup.Levels()
-    rng = np.random.default_rng(1)
+def entries_of(rng, n, ident, letters=b"ab"):
+    ahead = rng.choice(np.frombuffer(letters, np.uint8), (n, suffix_dedup.L))
+    back = rng.choice(np.frombuffer(letters, np.uint8), (n, suffix_dedup.BEFORE))
+    x = rng.integers(0, suffix_dedup.BEFORE + 1, n)
+    windows = rng.integers(1, x + 2)
+    for i in range(n):  # as they are read: nothing beyond the windows
+        ahead[i, suffix_dedup.L - (x[i] - windows[i] + 1) :], back[i, x[i] :] = 0, 0
+    return suffix_dedup.Entries(ahead, back, windows, x, np.full(n, ident), np.full(n, ident), np.arange(n))
+
+
+def test_levels_stay_few_and_sorted():
+    rng, levels = np.random.default_rng(1), suffix_dedup.Levels([], [])
     for i in range(64):
-        k = rng.integers(0, 1 << 60, 100).astype(np.uint64)
-        levels.add([k, np.zeros(100, np.uint32), np.full(100, i), np.full(100, i), np.arange(100)])
-    assert len(levels.levels) <= 8 and sum(len(x[0]) for x in levels.levels) == 6400
+        levels.add(entries_of(rng, 100, i, bytes(range(256))))
+    assert len(levels.levels) <= 8 and sum(len(x) for x in levels.levels) == 6400
+    for x in levels.levels:
+        whole = [a.tobytes() + b.tobytes() for a, b in zip(x.ahead, x.back)]
+        assert whole == sorted(whole)
+
+
+def test_windows_by_common_prefixes():
+    """What the levels say of each window against the windows themselves, with few letters so that much is common."""
+    rng = np.random.default_rng(4)
+    base = entries_of(rng, 1, 0)
+    parts = []
+    for i in range(60):
+        e = entries_of(rng, 4, 60 - i)
+        for j in range(4):
+            a, b = rng.integers(15, suffix_dedup.L + 1), rng.integers(0, suffix_dedup.BEFORE + 1)
+            e.ahead[j, :a], e.back[j, :b] = np.resize(np.frombuffer(b"xyz", np.uint8), a), np.resize(np.frombuffer(b"uvw", np.uint8), b)
+            e.ahead[j, suffix_dedup.L - (e.x[j] - e.n[j] + 1) :], e.back[j, e.x[j] :] = 0, 0
+        parts.append(e)
+    levels = suffix_dedup.Levels([], [])
+    for e in parts:
+        levels.add(e)
+    got = collections.Counter()
+    for pack, ords, mask in levels.verdicts():
+        for o, m in zip(np.frombuffer(ords, np.uint32).tolist(), np.frombuffer(mask, np.uint32).tolist()):
+            got[pack, o] |= m
+    where, windows = collections.defaultdict(list), []
+    for e in [base, *parts]:
+        for j in range(len(e)):
+            whole = e.back[j, : e.x[j]][::-1].tobytes() + e.ahead[j].tobytes()
+            for k in range(e.n[j]):
+                windows.append((whole[k : k + 50], int(e.x[j]) - k, int(e.id[j]), j, k))
+                where[windows[-1][:2]].append(int(e.id[j]))
+    want = collections.Counter()
+    for w, x, i, j, k in windows[base.n[0] :]:
+        if min(where[w, x]) < i:
+            want[i, j] |= 1 << k
+    assert +got == +want and len(want) > 30
 
 
 # --- exact dedup ---
