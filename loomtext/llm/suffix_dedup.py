@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.bytehash import mixed, prefix_sums, substring_hashes
+from loomtext.llm.bytehash import BYTES, mixed, powers, prefix_sums, substring_hashes
 from loomtext.llm.common import forget, materialise, tidied
 
 L, K = 50, 20
@@ -57,8 +57,8 @@ BATCH, RANGE = 1 << 15, 1 << 17
 SIFT_BYTES = 16 << 20
 #: Anchors that a task holds before it deals them to the ranges.
 FLUSH = 1 << 18
-#: Entries with the same start above which windows are compared one by one.
-HOT = 4096
+#: Entries with the same start above which windows are compared one by one: half of what a task's range holds on average.
+HOT = RANGE // 2
 #: Tasks of a shuffle; beyond, a task gets several ranges, one after the other.
 TASKS = 20_000
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -105,35 +105,65 @@ def _anchors(data: np.ndarray, ends: np.ndarray, lo: int, hi: int) -> tuple[np.n
 
 
 class Pack:
-    """A pack with its anchors. Of anchors with equal spans only the one in the least document (the leader) is in the index."""
+    """A pack with its anchors: first window, number of windows, bytes before the anchor.
 
-    def __init__(self, ids: np.ndarray, ends: np.ndarray, z: bytes):
-        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
-        self.ids, self.ends = ids, ends
-        self.first, self.last, self.at, self.start, span = anchors(self.data, ends)
+    Of anchors with equal spans only the one in the least document (the leader)
+    is in the index. Anchors are looked for once, when a pack is made, and kept
+    with it as :meth:`marks`.
+    """
+
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, data: np.ndarray, marks: bytes | None = None):
+        self.ids, self.ends, self.data = ids, ends, data
+        if marks is None:
+            self.first, last, at, start, span = anchors(data, ends)
+            self.n, self.x = last - self.first + 1, at - self.first
+        else:
+            raw = zstandard.ZstdDecompressor().decompress(marks)
+            m, led = np.frombuffer(raw, np.uint64, 2).tolist()
+            parts = np.split(np.frombuffer(raw, np.uint8, offset=16), np.cumsum([4 * m, m, m, 4 * led]))
+            self.first = np.cumsum(parts[0].view(np.uint32), dtype=np.int64)
+            self.n, self.x = parts[1].astype(np.int64), parts[2].astype(np.int64)
         self.id = ids[np.searchsorted(ends, self.first, "right")]
-        key = mixed(self.start + span * np.uint64(0x9E3779B97F4A7C15))
+        self.leader = np.arange(len(self.first))
+        if marks is None:
+            self.lead(mixed(start + span * np.uint64(0x9E3779B97F4A7C15)))
+        else:
+            self.leader[parts[3].view(np.uint32)] = parts[4].view(np.uint32)
+        self.leaders = np.flatnonzero(self.leader == np.arange(len(self.leader)))
+
+    def lead(self, key: np.ndarray) -> None:
+        """Find the leaders. Keys propose, bytes decide: an anchor that differs from its leader stands for itself."""
         order = np.argsort(self.id, kind="stable")
         order = order[np.argsort(key[order], kind="stable")]
-        new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(order) else np.empty(0, bool)
-        self.leader = np.empty(len(order), np.int64)
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])[: len(order)]
         self.leader[order] = order[new][np.cumsum(new) - 1]
         led = np.flatnonzero(self.leader != np.arange(len(order)))
         other = led[~self.equal(led, self.leader[led])]
         self.leader[other] = other
-        self.leaders = np.flatnonzero(self.leader == np.arange(len(order)))
 
     def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Are the spans of anchors ``a`` and ``b`` equal, byte by byte?"""
-        out = (self.last[a] - self.first[a] == self.last[b] - self.first[b]) & (self.at[a] - self.first[a] == self.at[b] - self.first[b])
-        for j in range(0, len(a), 1 << 14):
-            x, y = a[j : j + (1 << 14)], b[j : j + (1 << 14)]
-            size = self.last[x] - self.first[x] + L
-            for k in range(int(size.max())):
-                inside = np.minimum(k, size - 1)
-                out[j : j + (1 << 14)] &= self.data[self.first[x] + inside] == self.data[np.minimum(self.first[y] + inside, len(self.data) - 1)]
+        out = (self.n[a] == self.n[b]) & (self.x[a] == self.x[b])
+        for j in range(0, len(a), 1 << 13):
+            x, y, at = a[j : j + (1 << 13)], b[j : j + (1 << 13)], np.arange(L + BEFORE)[None, :]
+            beyond = at >= self.n[x][:, None] + L - 1
+            left, right = (self.data[np.minimum(self.first[o][:, None] + at, len(self.data) - 1)] for o in (x, y))
+            out[j : j + (1 << 13)] &= ((left == right) | beyond).all(axis=1)
         return out
 
+    def marks(self) -> bytes:
+        led = np.flatnonzero(self.leader != np.arange(len(self.leader)))
+        gaps = np.diff(self.first, prepend=0).astype(np.uint32)
+        parts = [np.array([len(self.first), len(led)], np.uint64), gaps, self.n.astype(np.uint8), self.x.astype(np.uint8), led.astype(np.uint32), self.leader[led].astype(np.uint32)]
+        return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in parts))
+
+    def start(self, which: np.ndarray) -> np.ndarray:
+        """The hash of the first ``K`` bytes from an anchor on; the same that :func:`anchors` gives."""
+        at, power, h = self.first[which] + self.x[which], powers(K)[0], np.zeros(len(which), np.uint64)
+        for k in range(K):
+            h += BYTES[self.data[at + k]] * power[k]
+        return mixed(~mixed(h))
+
     def expand(self, marked: np.ndarray) -> np.ndarray:
         """Marks of leaders to all anchors they stand for."""
         return marked[self.leader]
@@ -142,12 +172,9 @@ class Pack:
         """Anchors with an equal one in a smaller document of this pack."""
         return self.id > self.id[self.leader]
 
-    def windows(self, which: np.ndarray) -> np.ndarray:
-        return self.last[which] - self.first[which] + 1
-
 
 def packs(docs: DataFrame, key: str, text: str, batch: int = 0) -> DataFrame:
-    """``pack, n_bytes, ids, ends, z``: whole documents in packs, as arrays in binary."""
+    """``pack, n_bytes, ids, ends, marks, z``: whole documents in packs, as arrays in binary."""
     rows = docs.select(docs[f"`{key}`"].cast("bigint").alias("id"), docs[f"`{text}`"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +182,9 @@ def packs(docs: DataFrame, key: str, text: str, batch: int = 0) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=3)
 
         def done() -> pa.RecordBatch:
-            ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
-            cols = [pa.array([number], pa.int64()), pa.array([size], pa.int64()), *(pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), ends.tobytes(), squeeze.compress(b"".join(parts))))]
-            return pa.RecordBatch.from_arrays(cols, names=["pack", "n_bytes", "ids", "ends", "z"])
+            ends, raw = np.cumsum([len(p) for p in parts], dtype=np.int64), b"".join(parts)
+            p = Pack(np.array(ids, np.int64), ends, np.frombuffer(raw, np.uint8))
+            return table_of([(number, size, p.ids.tobytes(), ends.tobytes(), p.marks(), squeeze.compress(raw))], PACKS)
 
         for rows_ in batches:
             for i, t in zip(rows_.column("id").to_pylist(), rows_.column("text"), strict=True):
@@ -171,12 +198,13 @@ def packs(docs: DataFrame, key: str, text: str, batch: int = 0) -> DataFrame:
         if parts:
             yield done()
 
-    return rows.mapInArrow(tidied(run), "pack bigint, n_bytes bigint, ids binary, ends binary, z binary")
+    return rows.mapInArrow(tidied(run), ddl(PACKS))
 
 
 def opened(batch: pa.RecordBatch, r: int) -> Pack:
-    ids, ends, z = (batch.column(c)[r].as_py() for c in ("ids", "ends", "z"))
-    return Pack(np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64), z)
+    ids, ends, marks, z = (batch.column(c)[r].as_py() for c in ("ids", "ends", "marks", "z"))
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
+    return Pack(np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64), data, marks)
 
 
 # --- arrays as binary columns -------------------------------------------------------------------
@@ -250,6 +278,9 @@ def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[
             pass
 
 
+PACKS = arrow(pack=pa.int64(), n_bytes=pa.int64(), ids=pa.binary(), ends=pa.binary(), marks=pa.binary(), z=pa.binary())
+
+
 # --- 1: sift ------------------------------------------------------------------------------------
 
 STARTS = arrow(range=pa.int32(), fresh=pa.bool_(), starts=pa.binary(), ords=pa.binary(), packs=pa.binary(), pcodes=pa.binary())
@@ -273,7 +304,7 @@ def starts_of(made: DataFrame, ranges: int) -> DataFrame:
                 p = opened(batch, r)
                 if not len(p.leaders):
                     continue
-                held.append((p.start[p.leaders], p.leaders, np.full(len(p.leaders), number, np.int64)))
+                held.append((p.start(p.leaders), p.leaders, np.full(len(p.leaders), number, np.int64)))
                 size += len(p.leaders)
                 if size >= FLUSH:
                     yield flush()
@@ -356,8 +387,8 @@ def suffixes(asked: DataFrame, ranges: int) -> DataFrame:
                 if not len(ords):
                     continue
                 p = opened(batch, r)
-                n = p.windows(ords)
-                held.append((p.start[ords], n, p.at[ords] - p.first[ords], p.id[ords], np.full(len(ords), number, np.int64), ords, gather(p.data, p.first[ords], n + L - 1)))
+                n = p.n[ords]
+                held.append((p.start(ords), n, p.x[ords], p.id[ords], np.full(len(ords), number, np.int64), ords, gather(p.data, p.first[ords], n + L - 1)))
                 size += len(ords)
                 if size >= FLUSH // 2:
                     yield flush()
@@ -382,14 +413,11 @@ class Entries:
         n, x = (np.frombuffer(raw[c], np.uint8).astype(np.int64) for c in ("n", "x"))
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw["spans"]), np.uint8)
         size, count = n + L - 1, len(n)
-        begin = np.cumsum(size) - size
-        ahead, back = np.zeros((count, L), np.uint8), np.zeros((count, BEFORE), np.uint8)
-        for k in range(L):
-            some = np.flatnonzero(x + k < size)
-            ahead[some, k] = data[begin[some] + x[some] + k]
-        for k in range(BEFORE):
-            some = np.flatnonzero(k < x)
-            back[some, k] = data[begin[some] + x[some] - 1 - k]
+        anchor = (np.cumsum(size) - size + x)[:, None]
+        k = np.arange(L)[None, :]
+        ahead = np.where(k < (size - x)[:, None], data[np.minimum(anchor + k, len(data) - 1)], 0).astype(np.uint8)
+        k = k[:, :BEFORE]
+        back = np.where(k < x[:, None], data[np.maximum(anchor - 1 - k, 0)], 0).astype(np.uint8)
         return Entries(ahead, back, n, x, uncoded(raw["ids"], raw["codes"], count), uncoded(raw["packs"], raw["pcodes"], count), unsmall(raw["ords"], count).astype(np.int64))
 
     def __len__(self) -> int:
@@ -562,7 +590,7 @@ def hot_windows(asked: DataFrame) -> DataFrame:
                 if not len(ords):
                     continue
                 p = opened(batch, r)
-                n = p.windows(ords)
+                n = p.n[ords]
                 bit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 own = np.repeat(ords, n)
                 data = gather(p.data, p.first[own] + bit, np.full(len(own), L))
@@ -602,12 +630,11 @@ def finish(rows: DataFrame, with_kept: bool) -> DataFrame:
 
 def removed_bytes(p: Pack, bits: np.ndarray) -> np.ndarray:
     """Which bytes go, from the covered windows of the leaders."""
-    every = np.arange(len(p.first))
-    whole = p.later() | (p.expand(bits) == (np.uint32(1) << p.windows(every).astype(np.uint32)) - np.uint32(1))
+    whole = p.later() | (p.expand(bits) == (np.uint32(1) << p.n.astype(np.uint32)) - np.uint32(1))
     bits = np.where(whole, 0, p.expand(bits))
     change = np.zeros(len(p.data) + 1, np.int32)
     np.add.at(change, p.first[whole], 1)
-    np.add.at(change, p.last[whole] + L, -1)
+    np.add.at(change, p.first[whole] + p.n[whole] - 1 + L, -1)
     some = np.flatnonzero(bits)
     for k in range(BEFORE + 1):
         at = p.first[some[(bits[some] >> np.uint32(k)) & np.uint32(1) > 0]] + k

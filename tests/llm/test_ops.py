@@ -463,6 +463,20 @@ def test_repeats_of_nothing(docs):
     assert len(got) == len(BASE) and {r.n_bytes for r in got if r.id in (2, 3)} == {0}
 
 
+def test_pack_is_read_as_it_was_made():
+    rng = np.random.default_rng(6)
+    ids, ends = np.array([5, 3, 9, 3]), np.array([400, 430, 1200, 1500])
+    data = np.concatenate([x := rng.integers(97, 100, 400, dtype=np.uint8), x[:30], x, x[:370], x[:300]])
+    made = suffix_dedup.Pack(ids, ends, data)
+    read = suffix_dedup.Pack(ids, ends, data, made.marks())
+    assert all((getattr(made, f) == getattr(read, f)).all() for f in ("first", "n", "x", "id", "leader", "leaders")) and len(made.leaders) < len(made.first)
+    assert (made.start(np.arange(len(made.first))) == suffix_dedup.anchors(data, ends)[3]).all()
+    made.leader[:] = np.arange(len(made.first))
+    made.lead(np.zeros(len(made.first), np.uint64))  # keys that all collide: only equal bytes share a leader
+    span = lambda i: (int(made.x[i]), data[made.first[i] : made.first[i] + made.n[i] + 49].tobytes())
+    assert all(span(i) == span(made.leader[i]) for i in range(len(made.first)))
+
+
 def entries_of(rng, n, ident, letters=b"ab"):
     ahead = rng.choice(np.frombuffer(letters, np.uint8), (n, suffix_dedup.L))
     back = rng.choice(np.frombuffer(letters, np.uint8), (n, suffix_dedup.BEFORE))
