@@ -67,6 +67,14 @@ INJECTIONS = {
     "path_traversal": r"(?:\.\./){2,}|/etc/(?:passwd|shadow)\b",
 }
 
+# The query for guidance on prose.
+GUIDANCE = "sentence rhythm breath group pace emphasis noun stacking"
+
+# How the corpus says that evidence is weak, and the mark of a definition that names its ground.
+WEAK_EVIDENCE = ("no universal words-per-minute target", "not universal facts", "there is no universal")
+GROUNDED = "**Grounded in:**"
+LEAST_DEFINITION = 600
+
 # Corpus lint.
 STATUSES = ("approved", "quarantined", "refused", "deferred")
 PRIMARY_TYPES = ("approved_example", "style_rule")
