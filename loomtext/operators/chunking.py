@@ -21,7 +21,7 @@ from loomtext.functions.text import heading, strip
 from loomtext.settings import HARD_MAX, PROFILES, SAFE_TARGET, Profile
 
 
-CHUNKS = ArrayType(StructType([StructField("text", StringType()), StructField("index", IntegerType()), StructField("token_count", IntegerType()), StructField("heading", StringType())]))
+CHUNKS = ArrayType(StructType([StructField("text", StringType()), StructField("index", IntegerType()), StructField("token_count", IntegerType()), StructField("heading", StringType()), StructField("error", StringType())]))
 
 
 class ChunkingError(ValueError):
@@ -174,16 +174,25 @@ def chunk_column(name: str, profiles: dict[str, Profile] = PROFILES):
 
     @pandas_udf(CHUNKS)
     def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunk_text(t, name, profiles))
+        return texts.map(one)
+
+    def one(text: str | None) -> list[dict]:
+        try:
+            return chunk_text(text, name, profiles)
+        except ChunkingError as e:
+            return [{"index": 0, "error": str(e)}]
 
     return chunks
 
 
 def chunk(docs: DataFrame, text: str, name: str, profiles: dict[str, Profile] = PROFILES) -> DataFrame:
-    """One row a chunk: the columns of ``docs`` but the text, and ``text, chunk_index, token_count, section_heading, chunk_profile``."""
+    """One row a chunk: the columns of ``docs`` but the text, and ``text, chunk_index, token_count, section_heading, chunk_profile, chunk_error``.
+
+    A document that can't be cut has one row without a text, which says why.
+    """
     rest = [c for c in docs.columns if c != text]
     made = docs.select(*rest, F.explode(chunk_column(name, profiles)(F.col(text))).alias("c"))
     return made.select(
         *rest, F.col("c.text").alias("text"), F.col("c.index").cast("long").alias("chunk_index"), F.col("c.token_count").cast("long").alias("token_count"),
-        F.col("c.heading").alias("section_heading"), F.lit(name).alias("chunk_profile"),
+        F.col("c.heading").alias("section_heading"), F.lit(name).alias("chunk_profile"), F.col("c.error").alias("chunk_error"),
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,12 @@ def validate(chunks: DataFrame) -> DataFrame:
 
 
 def link_neighbors(chunks: DataFrame) -> DataFrame:
-    """``chunk_prev_id`` and ``chunk_next_id`` by position inside one file."""
+    """``chunk_prev_id`` and ``chunk_next_id`` by position inside one file. Only keys are sorted by file; texts meet their links by id.
+
+    Rows that repeat source, path, position and id are one record and have its links.
+    """
+    place = ["source_id", "source_path", "chunk_index", "id"]
     w = Window.partitionBy("source_id", "source_path").orderBy("chunk_index", "id")
-    return chunks.withColumn("chunk_prev_id", F.lag("id").over(w)).withColumn("chunk_next_id", F.lead("id").over(w))
+    links = chunks.select(*place).distinct().select(*[F.col(c).alias(f"__{c}") for c in place], F.lag("id").over(w).alias("chunk_prev_id"), F.lead("id").over(w).alias("chunk_next_id"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in place]
+    return chunks.drop("chunk_prev_id", "chunk_next_id").join(links, functools.reduce(operator.and_, same)).drop(*[f"__{c}" for c in place])

@@ -13,6 +13,7 @@ from loomtext.settings import Settings, WriteRefused, allowed_collection, check_
 # Limits and verdicts.
 MOST_STALE, SHOWN_TO_ADD, MOST_NOTE = 200, 50, 500
 VERDICTS = ("helpful", "unhelpful", "incorrect", "unsafe")
+MOST_DELTAS = 16
 CHUNK_ID = re.compile(r"^[a-f0-9]{16}_\d+$")
 
 
@@ -42,8 +43,12 @@ def guard(n_stale: int, delete_stale: bool, partial: bool) -> None:
 
 
 def upsert(target: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """``target`` with ``rows`` in place of rows of the same key. The last of repeated keys in ``rows`` by all its columns."""
-    return target.join(rows.select(key), key, "left_anti").unionByName(rows.dropDuplicates([key]), allowMissingColumns=True)
+    """``target`` with ``rows`` in place of rows of the same key. Of repeated keys in ``rows`` the greatest row counts, by its columns in order (maps aside)."""
+    names = [c for c in rows.columns if c != key]
+    by = [F.col(f"`{f.name}`") for f in rows.schema.fields if f.name != key and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]) if names else F.struct(F.lit(1).alias("none"))
+    last = rows.groupBy(key).agg(F.max_by(whole, F.struct(*by) if by else F.lit(1)).alias("__r")).select(key, *[F.col(f"__r.c{i}").alias(c) for i, c in enumerate(names)])
+    return target.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def delete(target: DataFrame, ids: list[str]) -> DataFrame:
@@ -58,7 +63,12 @@ def delete(target: DataFrame, ids: list[str]) -> DataFrame:
 
 
 class Store:
-    """Collections as versioned Parquet folders: a write makes a new version, then moves the pointer."""
+    """Collections as versioned Parquet folders: a write makes a new version, then moves the pointer.
+
+    :meth:`delta` adds rows without rewriting the collection; a read takes, of
+    each id, the rows of the last write. After MOST_DELTAS deltas the next one
+    writes a version that holds all.
+    """
 
     def __init__(self, spark: SparkSession, path: str, settings: Settings):
         self.spark, self.path, self.settings = spark, path.rstrip("/"), settings
@@ -67,12 +77,12 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self, name: str) -> list[int]:
+    def versions(self, name: str, kind: str = "v") -> list[int]:
         p, fs = self._fs(f"{self.path}/{allowed_collection(self.settings, name)}")
         if not fs.exists(p):
             return []
         names = [x.getPath().getName() for x in fs.listStatus(p)]
-        done = [int(n[1:]) for n in names if re.fullmatch(r"v\d+", n) and fs.exists(self._fs(f"{self.path}/{name}/{n}/_SUCCESS")[0])]
+        done = [int(n[1:]) for n in names if re.fullmatch(rf"{kind}\d+", n) and fs.exists(self._fs(f"{self.path}/{name}/{n}/_SUCCESS")[0])]
         return sorted(done)
 
     def exists(self, name: str) -> bool:
@@ -82,7 +92,15 @@ class Store:
         have = self.versions(name)
         if not have:
             raise LookupError("COLLECTION_UNAVAILABLE")
-        return self.spark.read.parquet(f"{self.path}/{name}/v{version or have[-1]}")
+        base = self.spark.read.parquet(f"{self.path}/{name}/v{version or have[-1]}")
+        deltas = [n for n in self.versions(name, "d") if n > have[-1]] if version is None else []
+        if not deltas:
+            return base
+        rows = base.withColumn("__at", F.lit(0))
+        for n in deltas:
+            rows = rows.unionByName(self.spark.read.parquet(f"{self.path}/{name}/d{n}").withColumn("__at", F.lit(n)), allowMissingColumns=True)
+        last = rows.groupBy("id").agg(F.max("__at").alias("__last"))
+        return rows.join(last, "id").where("__at = __last").drop("__at", "__last")
 
     def create(self, name: str, rows: DataFrame) -> None:
         if self.exists(name):
@@ -91,13 +109,25 @@ class Store:
 
     def write(self, name: str, rows: DataFrame, confirm: bool = True) -> int:
         check_write(self.settings, confirm)
-        number = (self.versions(name) or [0])[-1] + 1
+        number = max([0, *self.versions(name), *self.versions(name, "d")]) + 1
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}/v{number}")
         return number
 
     def add(self, name: str, rows: DataFrame, confirm: bool = True) -> int:
         return self.write(name, upsert(self.read(name), rows) if self.exists(name) else rows, confirm)
 
+    def delta(self, name: str, rows: DataFrame, confirm: bool = True) -> int:
+        """Rows by id on top of the collection. What was there is neither read nor written."""
+        check_write(self.settings, confirm)
+        if not self.exists(name):
+            return self.write(name, upsert(rows.limit(0), rows), confirm)
+        deltas = [n for n in self.versions(name, "d") if n > self.versions(name)[-1]]
+        if len(deltas) >= MOST_DELTAS:
+            return self.add(name, rows, confirm)
+        number = max([*self.versions(name), *deltas]) + 1
+        upsert(rows.limit(0), rows).write.mode("overwrite").parquet(f"{self.path}/{name}/d{number}")
+        return number
+
     def remove(self, name: str, ids: list[str], confirm: bool = True) -> int:
         check_write(self.settings, confirm)
         return self.write(name, delete(self.read(name), ids), confirm)

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as tx
-from loomtext.operators import flow, lexical, lifecycle, preservation
+from loomtext.functions import values as v
+from loomtext.operators import citations, flow, lexical, lifecycle, preservation, security
+from loomtext.operators.embed import Embedder, checked
 from loomtext.operators.filters import FilterError
+from loomtext.plans.commit import Committed, commit
+from loomtext.plans.ingest import write_manifest
 from loomtext.plans.search import SearchResult, search
 from loomtext.settings import Settings, WriteRefused, check_write
 
@@ -24,22 +28,44 @@ class ToolError(Exception):
         self.code = code
 
 
+@dataclass(frozen=True)
+class Guidance:
+    """Passages about prose for the measures of texts: quoted material, never instructions."""
+
+    context: DataFrame  # query_id, context, refused
+    citations: DataFrame
+    kinds: DataFrame  # query_id, kinds: families of injected instructions in the passages
+
+
+@dataclass(frozen=True)
+class Analysis:
+    measures: DataFrame
+    guidance: Guidance
+
+
 @dataclass
 class Engine:
+    """``index`` may be None, with ``lexical_error``: search then runs on vectors alone. Commits need ``store``, ``embedder`` and ``folder``."""
+
     spark: SparkSession
     chunks: DataFrame
     vectors: DataFrame
-    index: lexical.LexicalIndex
+    index: lexical.LexicalIndex | None
     settings: Settings
+    store: lifecycle.Store | None = None
+    embedder: Embedder | None = None
+    folder: str | None = None
+    lexical_error: str | None = None
 
     def search(self, queries: DataFrame, k: int = 5, where: dict | None = None) -> SearchResult:
         from dataclasses import replace
 
         k = max(LEAST_K, min(MOST_K, k))
-        return search(queries, self.chunks, self.vectors, self.index, where, replace(self.settings.retrieval, final_k=k))
+        return search(queries, self.chunks, self.vectors, self.index, where, replace(self.settings.retrieval, final_k=k), lexical_error=self.lexical_error)
 
     def health(self) -> DataFrame:
-        return lifecycle.health(self.chunks, self.index.doc_stats, self.vectors, self.settings.dimension)
+        indexed = self.chunks.limit(0).select(F.col("id").alias("chunk_id")) if self.index is None else self.index.doc_stats
+        return lifecycle.health(self.chunks, indexed, self.vectors, self.settings.dimension)
 
     def inspect(self, chunk_id: str, include_neighbors: bool = True) -> DataFrame:
         if not lifecycle.CHUNK_ID.match(chunk_id):
@@ -47,8 +73,25 @@ class Engine:
         ids = self.spark.createDataFrame([(chunk_id,)], "id string")
         return lifecycle.inspect(self.chunks, ids, include_neighbors)
 
-    def analyze(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """Measures of each text; ``error`` for texts that are blank or too long."""
+    def guidance(self, register: str | None = None) -> Guidance:
+        """Search the corpus for guidance on prose, for a register if one is named."""
+        if self.embedder is None:
+            raise ToolError("EMBEDDER_UNAVAILABLE")
+        asked = f"{register} {v.GUIDANCE}" if register else v.GUIDANCE
+        vector = checked(self.embedder([asked]), [asked], self.settings.dimension)[0].tolist()
+        queries = self.spark.createDataFrame([(0, asked, vector)], "query_id long, query string, embedding array<double>")
+        hits = self.search(queries).results.join(self.chunks.withColumnRenamed("id", "chunk_id"), "chunk_id")
+        for c in ("source_title", "license", "section_heading"):
+            hits = hits if c in hits.columns else hits.withColumn(c, F.lit(None).cast("string"))
+        for c in ("chunk_index", "chunk_total"):
+            hits = hits if c in hits.columns else hits.withColumn(c, F.lit(None).cast("long"))
+        kinds = hits.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(tx.injection_kinds(F.coalesce("text", F.lit(""))))))).alias("kinds"))
+        return Guidance(security.fence(hits), citations.build(hits), kinds)
+
+    def analyze(self, docs: DataFrame, text: str = "text", guidance: bool = False, register: str | None = None) -> DataFrame | Analysis:
+        """Measures of each text; ``error`` for texts that are blank or too long. With ``guidance`` also passages about prose."""
+        if guidance:
+            return Analysis(self.analyze(docs, text), self.guidance(register))
         n = F.length(F.col(text))
         error = F.when(F.coalesce(tx.strip(F.col(text)) == "", F.lit(True)), "INVALID_PARAMS").when(n > MOST_TEXT, "TEXT_TOO_LONG")
         return flow.analyze(docs.withColumn("error", error), text)
@@ -60,17 +103,23 @@ class Engine:
         check_write(self.settings, confirm)
         return lifecycle.feedback(requests, self.chunks)
 
-    def reindex(self, wanted: DataFrame, dry_run: bool = True, partial: bool = False, delete_stale: bool = False, confirm: bool = False) -> DataFrame:
-        """The plan of a re-index; when it is no dry run, the gates are checked and the new chunks returned."""
-        changes = lifecycle.diff(wanted, self.chunks)
+    def reindex(self, wanted: DataFrame, dry_run: bool = True, partial: bool = False, delete_stale: bool = False, confirm: bool = False, stamp: str | None = None) -> DataFrame | Committed:
+        """The plan of a re-index; when it is no dry run, it is committed to the store, and the engine then reads what is stored.
+
+        With a folder and a ``stamp`` the manifest of the run is written first, whatever the gates say.
+        """
+        if self.folder and stamp:
+            write_manifest(wanted, self.folder, stamp, dry_run)
         if dry_run:
-            return lifecycle.plan(changes)
+            return lifecycle.plan(lifecycle.diff(wanted, self.chunks))
         check_write(self.settings, confirm)
-        lifecycle.guard(changes.where("action = 'stale'").count(), delete_stale, partial)
-        kept = self.chunks
-        if delete_stale:
-            kept = kept.join(changes.where("action = 'stale'").select("id"), "id", "left_anti")
-        return lifecycle.upsert(kept, wanted)
+        if self.store is None or self.embedder is None or self.folder is None:
+            raise ToolError("COLLECTION_UNAVAILABLE", "a commit needs a store, an embedder and a folder")
+        done = commit(self.store, wanted, self.settings, self.embedder, self.folder, delete_stale=delete_stale, partial=partial, confirm=confirm)
+        self.chunks = self.store.read("chunks", done.version)
+        self.vectors = self.chunks.select(F.col("id").alias("chunk_id"), "embedding", *[c for c in ("doc_type",) if c in self.chunks.columns])
+        self.index, self.lexical_error = lexical.open_index(self.spark, done.index_path)
+        return done
 
 
 TOOLS = ("search", "health", "inspect", "analyze", "rewrite", "feedback", "reindex")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,3 +76,26 @@ def approved(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
 def write_report(df: DataFrame, path: str) -> None:
     """A small report as one JSON file."""
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+# The kinds of reports.
+REPORTS = ("evaluation", "smoke", "session", "lint")
+
+
+def write_named_report(df: DataFrame, folder: str, kind: str, stamp: str) -> str:
+    """A report of one of the known kinds under its own name. Returns the path."""
+    if kind not in REPORTS:
+        raise ValueError(f"no report is called {kind!r}")
+    path = f"{folder.rstrip('/')}/{kind}-{stamp}"
+    write_report(df, path)
+    return path
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a local session without it uses a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/loomtext-{os.getpid()}"
+    return base.rstrip("/")

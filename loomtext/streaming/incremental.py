@@ -10,11 +10,11 @@ from loomtext.operators.lifecycle import Store
 
 
 def upsert_stream(chunks: DataFrame, store: Store, collection: str, checkpoint: str) -> StreamingQuery:
-    """Write each micro-batch of ``chunks`` into the store by id; a batch that runs twice changes nothing."""
+    """Write each micro-batch of ``chunks`` into the store by id, as a delta; a batch that runs twice changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            store.add(collection, batch)
+            store.delta(collection, batch)
 
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
