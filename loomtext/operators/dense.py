@@ -30,22 +30,27 @@ def check_dimension(vectors: DataFrame, dimension: int, column: str = "embedding
     return vectors.where(ok.isNull())
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 24, admissible: Column | None = None) -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 24, admissible: Column | None = None, when: str | None = None) -> DataFrame:
     """``query_id, chunk_id, distance, dense_rank`` of the k nearest chunks of each query.
 
     ``queries`` (query_id, embedding) are collected in blocks of bounded size;
     each block meets every partition of ``vectors`` (chunk_id, embedding) as
     one matrix product, which keeps k candidates a query and partition. So the
-    corpus is read once a block and only candidates are shuffled. Ties go by
-    chunk id. Distances are rounded to 6 places before they are ranked.
+    corpus is read once a block and only candidates are shuffled. Chunks that
+    are not ``admissible`` are no candidates; with ``when``, a column of
+    ``queries``, for the queries in which it is true. Ties go by chunk id.
+    Distances are rounded to 6 places before they are ranked.
     """
-    rows = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
-    corpus = vectors if admissible is None else vectors.where(admissible)
-    corpus = corpus.select("chunk_id", "embedding").where(F.col("embedding").isNotNull())
+    flag = F.lit(True) if when is None else F.coalesce(F.col(when), F.lit(False))
+    rows = queries.select("query_id", "embedding", flag.alias("strict")).where(F.col("embedding").isNotNull())
+    fits = F.lit(True) if admissible is None else F.coalesce(admissible, F.lit(False))
+    corpus = vectors.select("chunk_id", "embedding", fits.alias("fits")).where(F.col("embedding").isNotNull())
+    if when is None:
+        corpus = corpus.where("fits")
     kinds = [to_arrow_type(x.schema[c].dataType) for x, c in ((rows, "query_id"), (corpus, "chunk_id"))]
     found = None
-    for ids, matrix in _blocks(rows):
-        part = corpus.mapInArrow(_scan(ids, matrix, k, kinds), f"query_id {dict(rows.dtypes)['query_id']}, chunk_id {dict(corpus.dtypes)['chunk_id']}, distance double")
+    for ids, strict, matrix in _blocks(rows):
+        part = corpus.mapInArrow(_scan(ids, strict, matrix, k, kinds), f"query_id {dict(rows.dtypes)['query_id']}, chunk_id {dict(corpus.dtypes)['chunk_id']}, distance double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = rows.join(corpus.limit(0), F.lit(False)).select("query_id", "chunk_id", F.lit(0.0).alias("distance"))
@@ -53,20 +58,21 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 24, admissible:
     return found.withColumn("dense_rank", F.row_number().over(w).cast("long")).where(F.col("dense_rank") <= k)
 
 
-def _blocks(rows: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    ids, vecs, size = [], [], 0
+def _blocks(rows: DataFrame) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    ids, strict, vecs, size = [], [], [], 0
     for r in rows.orderBy("query_id").toLocalIterator():
         ids.append(r[0])
         vecs.append(np.asarray(r[1], np.float64))
+        strict.append(r[2])
         size += 8 * len(vecs[-1])
         if size >= QUERY_BYTES:
-            yield ids, np.stack(vecs)
-            ids, vecs, size = [], [], 0
+            yield ids, np.array(strict), np.stack(vecs)
+            ids, strict, vecs, size = [], [], [], 0
     if ids:
-        yield ids, np.stack(vecs)
+        yield ids, np.array(strict), np.stack(vecs)
 
 
-def _scan(ids: list, matrix: np.ndarray, k: int, kinds: list[pa.DataType]):
+def _scan(ids: list, strict: np.ndarray, matrix: np.ndarray, k: int, kinds: list[pa.DataType]):
     unit = matrix / np.maximum(np.sqrt((matrix**2).sum(axis=1, keepdims=True)), 1e-300)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,6 +85,8 @@ def _scan(ids: list, matrix: np.ndarray, k: int, kinds: list[pa.DataType]):
             flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             length = np.maximum(np.sqrt((flat**2).sum(axis=1)), 1e-300)
             d = np.round(1 - unit @ (flat / length[:, None]).T, 6) + 0.0
+            fits = batch.column("fits").to_numpy(zero_copy_only=False).astype(bool)
+            d[np.ix_(strict, ~fits)] = np.inf
             names = np.broadcast_to(np.array(batch.column("chunk_id").to_pylist(), object), d.shape)
             d, names = np.concatenate([best_d, d], axis=1), np.concatenate([best_i, names], axis=1)
             keep_d, keep_i = [], []
@@ -90,10 +98,9 @@ def _scan(ids: list, matrix: np.ndarray, k: int, kinds: list[pa.DataType]):
                 keep_d.append(row)
                 keep_i.append(name)
             best_d, best_i = np.stack(keep_d), np.stack(keep_i)
-        n = best_d.shape[1]
-        if n:
-            q = [i for i in ids for _ in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(q, kinds[0]), pa.array(best_i.ravel().tolist(), kinds[1]), pa.array(best_d.ravel())], names=["query_id", "chunk_id", "distance"])
+        row, col = np.nonzero(best_d < np.inf)
+        if len(row):
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in row], kinds[0]), pa.array(best_i[row, col].tolist(), kinds[1]), pa.array(best_d[row, col])], names=["query_id", "chunk_id", "distance"])
 
     return run
 

@@ -59,10 +59,25 @@ def save_index(index: LexicalIndex, path: str) -> None:
     """Write the index; an empty one is refused."""
     if index.doc_stats.isEmpty():
         raise LexicalIndexError("refusing to save an empty index")
-    for name in ("postings", "doc_stats", "term_stats", "corpus_stats"):
+    # Postings lie together by term, so that those of a few terms are few row groups.
+    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    for name in ("doc_stats", "term_stats", "corpus_stats"):
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def open_index(spark: SparkSession, path: str) -> tuple[LexicalIndex | None, str | None]:
+    """The index, or None and what is wrong with it: search then goes on with the dense arm alone."""
+    try:
+        return load_index(spark, path), None
+    except LexicalIndexError as e:
+        return None, str(e)
+
+
+def no_hits(queries: DataFrame) -> DataFrame:
+    """What :func:`bm25_topk` gives without an index."""
+    return queries.limit(0).select("query_id", F.lit("").alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("lexical_rank"))
+
+
 def load_index(spark: SparkSession, path: str) -> LexicalIndex:
     try:
         index = LexicalIndex(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "doc_stats", "term_stats", "corpus_stats")))

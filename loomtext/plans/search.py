@@ -18,6 +18,7 @@ class SearchResult:
     results: DataFrame
     stats: DataFrame
     rejected: DataFrame
+    lexical_error: str | None = None
 
 
 #: Chunk columns that the chain after fusion uses; the text joins last.
@@ -31,14 +32,17 @@ def split_queries(queries: DataFrame, most_chars: int) -> tuple[DataFrame, DataF
 
 
 def search(
-    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index: lexical.LexicalIndex,
-    where: dict | None = None, config: Retrieval | None = None, compat_where: bool = False,
+    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index: lexical.LexicalIndex | None,
+    where: dict | None = None, config: Retrieval | None = None, compat_where: bool = False, lexical_error: str | None = None,
 ) -> SearchResult:
     """Search for every query (query_id, query, embedding).
 
     ``where`` holds for both arms and for neighbours; with ``compat_where`` for
     the dense arm only. Without ``where``, queries that don't ask for a contrast
     get no chunks of the excluded types. The number of queries is not bounded.
+    ``vectors`` may have ``doc_type`` beside the vector, as stored collections
+    do; else it is joined from the chunks. Without an ``index`` (see
+    :func:`lexical.open_index`) the lexical arm is empty and the result says why.
     """
     c = config or Retrieval()
     good, rejected = split_queries(queries, c.most_query_chars)
@@ -46,13 +50,14 @@ def search(
     light = chunks.select(*LIGHT, *[k for k in ("dialect", "register", "license") if k in chunks.columns])
     keep = compile_filter(where)
     bad = F.coalesce(F.col("doc_type").isin(list(c.excluded_types)), F.lit(False))
-    corpus = vectors.join(light.where(keep).select(F.col("id").alias("chunk_id"), "doc_type"), "chunk_id")
-    arms = []
-    for flag in (True, False):
-        asked = flagged.where(F.col("exclude") == flag)
-        arms.append(dense.dense_topk(asked, corpus, c.dense_k, ~bad if flag else None))
-    near = dense.similarity_floor(arms[0].unionByName(arms[1]), c.similarity_floor)
-    words = lexical.bm25_topk(good, index, c.lexical_k, c.k1, c.b)
+    if where is None and "doc_type" in vectors.columns:
+        corpus = vectors
+    else:
+        corpus = vectors.drop("doc_type").join(light.where(keep).select(F.col("id").alias("chunk_id"), "doc_type"), "chunk_id")
+    near = dense.similarity_floor(dense.dense_topk(flagged, corpus, c.dense_k, ~bad, "exclude"), c.similarity_floor)
+    words = lexical.no_hits(good) if index is None else lexical.bm25_topk(good, index, c.lexical_k, c.k1, c.b)
+    if index is None:
+        lexical_error = lexical_error or "no lexical index"
     fused = fusion.fuse(near, words, c.rrf_k)
     hits, _ = fusion.resolve(fused, light)
     hits = hits.join(flagged.select("query_id", "exclude"), "query_id")
@@ -70,7 +75,7 @@ def search(
     hits = policy.trim_budget(hits.drop("exclude"), c.token_budget)
     cols = ("query_id", "position", "chunk_id", "score", "rank", "found_by", "dense_rank", "lexical_rank", "is_neighbor")
     stats = search_stats(flagged, near, words, fused, hits)
-    return SearchResult(hits.select(*cols, "spent"), stats, rejected)
+    return SearchResult(hits.select(*cols, "spent"), stats, rejected, lexical_error)
 
 
 def search_stats(queries: DataFrame, near: DataFrame, words: DataFrame, fused: DataFrame, hits: DataFrame) -> DataFrame:

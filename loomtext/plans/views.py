@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as tx
 from loomtext.functions import values as v
+from loomtext.operators import lexical
+from loomtext.sources.files import shared_folder
 
 
 def quoted(pattern: str) -> str:
@@ -25,9 +30,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("source").alias("source_id"), F.concat("source", F.lit("/"), "lang").alias("source_path"), kind.alias("doc_type"), F.col("lang").alias("dialect"))
     bench = table(spark, sf_dir, "benchmark")
     b = bench.select(F.col("item_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit("benchmark").alias("source_id"), F.lit("benchmark/items").alias("source_path"), F.lit("evaluation_case").alias("doc_type"), F.lit("en").alias("dialect"))
-    rows = a.unionByName(b)
-    w = Window.partitionBy("source_path").orderBy("doc_id")
-    rows = rows.withColumn("chunk_index", (F.row_number().over(w) - 1).cast("long"))
+    rows = a.unionByName(b).withColumn("__sha", F.sha2("text", 256))
+    w = Window.partitionBy("source_path").orderBy("doc_id", "__sha")  # over keys only; texts meet their places by key
+    keys = rows.select("source_id", "source_path", "doc_id", "__sha").withColumn("chunk_index", (F.row_number().over(w) - 1).cast("long"))
+    ident = F.concat(F.substring(F.sha2(F.concat_ws(":", "source_id", "__sha"), 256), 1, 16), F.lit("_"), F.col("chunk_index").cast("string"))
+    link = Window.partitionBy("source_path").orderBy("chunk_index")
+    keys = keys.withColumn("id", ident).withColumns({"chunk_prev_id": F.lag("id").over(link), "chunk_next_id": F.lead("id").over(link)})
+    rows = rows.drop("__sha").join(keys.drop("source_id", "__sha"), ["source_path", "doc_id"])
     sizes = rows.groupBy("source_path").agg(F.count("*").alias("chunk_total"))
     before = Window.orderBy("source_path").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     sizes = sizes.withColumn("__before", F.coalesce(F.sum("chunk_total").over(before), F.lit(0)))
@@ -35,7 +44,6 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rows.join(sizes, "source_path").withColumns(
         {
             "ord": (F.col("__before") + F.col("chunk_index")).cast("long"),
-            "id": tx.chunk_id(F.col("source_id"), F.col("text"), F.col("chunk_index")),
             "token_count": tx.token_count(F.col("text")),
             "fingerprint": tx.fingerprint(F.col("text")),
             "license": lic,
@@ -43,14 +51,39 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
             "section_heading": F.lit(None).cast("string"),
         }
     )
-    link = Window.partitionBy("source_path").orderBy("chunk_index")
-    return out.drop("__before").withColumns({"chunk_prev_id": F.lag("id").over(link), "chunk_next_id": F.lead("id").over(link)})
+    return out.drop("__before")
 
 
 def vectors(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    """``chunk_id, embedding, doc_id`` of documents that have a vector."""
+    """``chunk_id, embedding, doc_id, doc_type`` of documents that have a vector."""
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return rows.where("source_id <> 'benchmark'").select("doc_id", F.col("id").alias("chunk_id")).join(emb, "doc_id")
+    return rows.where("source_id <> 'benchmark'").select("doc_id", F.col("id").alias("chunk_id"), "doc_type").join(emb, "doc_id")
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """A corpus as it is stored: chunks, their vectors with the type beside them, and the lexical index."""
+
+    chunks: DataFrame
+    vectors: DataFrame
+    index: lexical.LexicalIndex
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The corpus of the driver's tables. It is built and written once in a program, in the shared folder; all searches read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+        chunks(spark, sf_dir).write.parquet(f"{folder}/chunks")
+        rows = spark.read.parquet(f"{folder}/chunks")
+        vectors(spark, sf_dir, rows).write.parquet(f"{folder}/vectors")
+        lexical.save_index(lexical.build_index(rows.select(F.col("id").alias("chunk_id"), "ord", "text")), f"{folder}/index")
+        _stored[key] = folder
+    folder = _stored[key]
+    return Corpus(spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/vectors"), lexical.load_index(spark, f"{folder}/index"))
 
 
 def queries(vecs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -72,6 +72,15 @@ def test_dense_matches_numpy(spark, parts):
         dense.check_dimension(vec, 9).collect()
 
 
+def test_dense_with_exclusion_for_some_queries(spark):
+    vec = spark.createDataFrame([("a", [1.0, 0.0], "bad"), ("b", [0.9, 0.1], "ok"), ("c", [0.0, 1.0], None)], "chunk_id string, embedding array<double>, doc_type string")
+    qs = spark.createDataFrame([(1, [1.0, 0.0], True), (2, [1.0, 0.0], False), (3, [1.0, 0.0], None)], "query_id int, embedding array<double>, exclude boolean")
+    ok = F.coalesce(F.col("doc_type") != "bad", F.lit(True))
+    got = {q: [r.chunk_id for r in sorted(rows, key=lambda r: r.dense_rank)] for q in (1, 2, 3) if (rows := [r for r in dense.dense_topk(qs, vec, 2, ok, "exclude").collect() if r.query_id == q])}
+    assert got == {1: ["b", "c"], 2: ["a", "b"], 3: ["a", "b"]}
+    assert {r.chunk_id for r in dense.dense_topk(qs, vec, 5, F.lit(False)).collect()} == set()
+
+
 def hits(spark, rows):
     return spark.createDataFrame(rows, "query_id int, chunk_id string, rank long, doc_type string, source_path string, source_id string, fingerprint string, token_count long")
 
