@@ -114,17 +114,17 @@ def tail(text: str, tokens: int) -> str:
 def pack(parts: list[str], profile: Profile) -> list[str]:
     """Parts joined up to the target; each chunk opens with the last tokens of the one before."""
     out: list[str] = []
-    held = ""
+    held, n_held = "", 0  # parts are joined by a line end, which no token spans, so counts add up
     for p in parts:
-        both = f"{held.rstrip()}\n{p}" if held else p
-        if held and count_tokens(both) > profile.target:
+        n = count_tokens(p)
+        if held and n_held + n > profile.target:
             out.append(held.strip())
             over = tail(held.strip(), profile.overlap)
-            held = f"{over}\n{p}" if over else p
+            held, n_held = (f"{over}\n{p}", min(profile.overlap, n_held) + n) if over else (p, n)
         else:
-            held = both
+            held, n_held = f"{held.rstrip()}\n{p}" if held else p, n_held + n
     if held.strip():
-        if out and profile.least and count_tokens(held) < profile.least:
+        if out and profile.least and n_held < profile.least:
             out[-1] = f"{out[-1]}\n{held.strip()}"
         else:
             out.append(held.strip())

@@ -27,7 +27,11 @@ def build_index(chunks: DataFrame, epsilon: float = 0.25) -> LexicalIndex:
     tokens = chunks.select("chunk_id", "ord", tx.terms(F.coalesce("text", F.lit(""))).alias("terms"))
     doc_stats = tokens.select("chunk_id", F.col("ord").cast("long").alias("ord"), F.size("terms").cast("long").alias("dl"))
     exploded = tokens.select("chunk_id", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
-    postings = exploded.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    return with_statistics(exploded.groupBy("term", "chunk_id").agg(F.count("*").alias("tf")), doc_stats, epsilon)
+
+
+def with_statistics(postings: DataFrame, doc_stats: DataFrame, epsilon: float = 0.25) -> LexicalIndex:
+    """The index of these postings and document lengths: statistics of terms and corpus are sums over them."""
     sizes = doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     freq = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = freq.crossJoin(F.broadcast(sizes)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -46,23 +50,30 @@ def bm25_topk(queries: DataFrame, index: LexicalIndex, k: int = 24, k1: float =
     """
     asked = queries.select("query_id", F.explode_outer(tx.terms(F.coalesce("query", F.lit("")))).alias("term")).where(F.col("term").isNotNull())
     asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighted = asked.join(index.term_stats, "term")
-    hits = weighted.join(index.postings, "term").join(index.doc_stats, "chunk_id").crossJoin(F.broadcast(index.corpus_stats))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"), F.min("ord").alias("ord"))
+    weighted = asked.join(index.term_stats, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
+    # What a posting gives doesn't depend on the query, so it is worked out once for each posting, before queries multiply them.
+    needed = index.postings.join(weighted.select("term").distinct(), "term", "left_semi")
+    sized = needed.join(index.doc_stats, "chunk_id").crossJoin(F.broadcast(index.corpus_stats))
+    impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    hits = sized.select("term", "chunk_id", "ord", impact.alias("impact")).join(weighted, "term")
+    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("impact")), 6).alias("score"), F.min("ord").alias("ord"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("ord"))
     ranked = scored.where("score > 0").withColumn("lexical_rank", F.row_number().over(w).cast("long"))
     return ranked.where(F.col("lexical_rank") <= max(1, k)).drop("ord")
 
 
-def save_index(index: LexicalIndex, path: str) -> None:
-    """Write the index; an empty one is refused."""
+def save_index(index: LexicalIndex, path: str, epsilon: float = 0.25) -> None:
+    """Write the index; an empty one is refused. Statistics are taken from the postings as written, so that texts are read once."""
+    spark = index.postings.sparkSession
     if index.doc_stats.isEmpty():
         raise LexicalIndexError("refusing to save an empty index")
     # Postings lie together by term, so that those of a few terms are few row groups.
-    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    for name in ("doc_stats", "term_stats", "corpus_stats"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index.postings.repartition(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+    written = with_statistics(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"), epsilon)
+    for name in ("term_stats", "corpus_stats"):
+        getattr(written, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def open_index(spark: SparkSession, path: str) -> tuple[LexicalIndex | None, str | None]:

@@ -113,17 +113,17 @@ TERM_STATS = w.INDEX.replace("toks AS (", "toks AS MATERIALIZED (").replace("pos
 
 @query(w.with_(w.CHUNKS, TERM_STATS) + "SELECT term, df, idf FROM term_stats")
 def bm25_term_stats(spark, d):
-    return index_of(w.chunks(spark, d)).term_stats
+    return index_of(w.stored(spark, d).chunks).term_stats
 
 
 @query(w.with_(w.CHUNKS, w.INDEX) + "SELECT chunk_id, CAST(ord AS BIGINT) AS ord, dl FROM doc_stats")
 def bm25_doc_stats(spark, d):
-    return index_of(w.chunks(spark, d)).doc_stats
+    return index_of(w.stored(spark, d).chunks).doc_stats
 
 
 @query(w.with_(w.CHUNKS, w.INDEX) + "SELECT n, round(avgdl, 9) AS avgdl, round((SELECT avg(r) FROM raws), 9) AS avg_idf FROM sizes")
 def bm25_corpus_stats(spark, d):
-    return index_of(w.chunks(spark, d)).corpus_stats.select("n", F.round("avgdl", 9).alias("avgdl"), F.round("avg_idf", 9).alias("avg_idf"))
+    return index_of(w.stored(spark, d).chunks).corpus_stats.select("n", F.round("avgdl", 9).alias("avgdl"), F.round("avg_idf", 9).alias("avg_idf"))
 
 
 @query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dimension, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 9) AS norm, abs(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1) < 1e-3 AS is_unit FROM embeddings")

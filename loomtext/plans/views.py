@@ -77,7 +77,8 @@ def stored(spark: SparkSession, sf_dir: str) -> Corpus:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
         folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-        chunks(spark, sf_dir).write.parquet(f"{folder}/chunks")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        chunks(spark, sf_dir).repartition(parts, "id").write.parquet(f"{folder}/chunks")
         rows = spark.read.parquet(f"{folder}/chunks")
         vectors(spark, sf_dir, rows).write.parquet(f"{folder}/vectors")
         lexical.save_index(lexical.build_index(rows.select(F.col("id").alias("chunk_id"), "ord", "text")), f"{folder}/index")
