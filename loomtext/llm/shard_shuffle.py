@@ -95,17 +95,20 @@ def external_shuffle(
     else:
         rows = rows.withColumn("salt", F.lit(0).cast("long"))
     before = numbered_before(rows.select(bucket).groupBy("bucket").agg(F.count("*").alias("n")))
-    if n * 16 <= broadcast_bytes:  # at most n rows of two longs
-        before = F.broadcast(before)
+    few = n * 16 <= broadcast_bytes  # at most n rows of two longs
     tasks = max(partitions(docs.sparkSession), -(-total // task_bytes))
-    scattered = rows.select(bucket, F.struct(F.col("mark").alias("mark"), F.col("r").alias("r")).alias("x")).repartition(tasks, "bucket")
-    gathered = scattered.groupBy("bucket").agg(F.collect_list("x").alias("xs"))
+    scattered = rows.select(bucket, F.struct(F.col("mark").alias("mark"), F.col("r").alias("r")).alias("x"))
+    if few:  # buckets are dealt to tasks in turn, which a hash of their number would do unevenly
+        scattered, by = scattered.withColumn("task", (F.col("bucket") % tasks).cast("int")).repartitionById(tasks, F.col("task")), ("task", "bucket")
+    else:  # by hash, as their offsets are, so that the join moves no record again
+        scattered, by = scattered.repartition(tasks, "bucket"), ("bucket",)
+    gathered = scattered.groupBy(*by).agg(F.collect_list("x").alias("xs"))
     # Records go by mark first; equal marks are equal records, whose order is no matter.
     sorted_by = F.array_sort(F.transform("xs", lambda x, i: F.struct(x["mark"].alias("mark"), i.alias("i"))))
     ordered = gathered.select("bucket", "xs", F.transform(sorted_by, lambda x: x["i"]).alias("order"))
     dealt = ordered.select("bucket", "xs", fisher_yates(F.col("order"), seed, F.col("bucket")).alias("order"))
     at = F.col("before") + F.col("i")
-    placed = dealt.join(before, F.col("bucket") == F.col("b")).select("xs", "before", F.posexplode("order").alias("i", "j"))
+    placed = dealt.join(F.broadcast(before) if few else before, F.col("bucket") == F.col("b")).select("xs", "before", F.posexplode("order").alias("i", "j"))
     return placed.select(F.get("xs", F.col("j"))["r"].alias("r"), at.alias("at")).select(
         *[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)],
         F.col("r.size").alias("size"),
