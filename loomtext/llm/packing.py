@@ -10,7 +10,8 @@ documents as the token budget allows.
 
 Documents are numbered inside a bucket in cells: cells are dealt by hash, each
 numbers its own rows, and the counts of cells before it give the offset. So no
-bucket, however large, meets in one task.
+bucket, however large, meets in one task. There are as many cells as rows and
+tokens ask for, so a task's work stays the same as the input grows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import materialise
-from loomtext.llm.shard_shuffle import salted
+from loomtext.llm.shard_shuffle import numbered_before, salted
+
 
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int) -> list[int]:
     """Boundaries (ascending, the last is the greatest length) with the least padding.
@@ -60,7 +62,7 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, b
     return sorted(out)
 
 
-def pack(docs: DataFrame, length: str, key: str, buckets: int = 16, budget: int = 32768, cell_rows: int = 200_000, stored: bool = False) -> DataFrame:
+def pack(docs: DataFrame, length: str, key: str, buckets: int = 16, budget: int = 32768, cell_rows: int = 200_000, cell_tokens: int = 8 << 20, stored: bool = False) -> DataFrame:
     """Every row with ``bucket, boundary, batch, slot, padding`` (input columns of these names are replaced).
 
     ``batch`` is unique over all buckets as (bucket, batch). A batch holds
@@ -68,7 +70,9 @@ def pack(docs: DataFrame, length: str, key: str, buckets: int = 16, budget: int
     negative; null counts as 0. Rows are ordered inside a bucket by cell, then a
     hash of key and length; repeated keys each get a slot of their own, and
     where a key has more than a quarter of ``cell_rows`` rows these are dealt to
-    cells by number. An empty table gives no rows. No row is left out or cut.
+    cells by number. Every ``cell_rows`` rows or ``cell_tokens`` tokens, whichever
+    are reached first, make eight cells. An empty table gives no rows. No row is
+    left out or cut.
 
     The rows are read twice, for the histogram and for the places. ``stored``
     says that this is cheap, as for a projection of a stored table; else they
@@ -88,26 +92,26 @@ def pack(docs: DataFrame, length: str, key: str, buckets: int = 16, budget: int
         marked = materialise(salted(marked, marks, small=False), "salted")
     else:
         marked = marked.withColumn("salt", F.lit(0).cast("long"))
-    return number(marked.select("r.__row", "r.__key", "r.__n", "mark", "salt"), names, buckets, budget, cell_rows)
+    return number(marked.select("r.__row", "r.__key", "r.__n", "mark", "salt"), names, buckets, budget, cell_rows, cell_tokens)
 
 
-def number(rows: DataFrame, names: list[str], buckets: int, budget: int, cell_rows: int) -> DataFrame:
+def number(rows: DataFrame, names: list[str], buckets: int, budget: int, cell_rows: int, cell_tokens: int) -> DataFrame:
     counted = rows.groupBy("__n").agg(F.count("*").alias("n"))
     found = counted.orderBy("__n").collect()  # one row a length
     lengths, n = np.array([r["__n"] for r in found], np.int64), np.array([r["n"] for r in found], float)
     bounds = best_boundaries(lengths, n, n * lengths, buckets) or [0]
-    cells = max(1, -(-sum(r["n"] for r in found) // cell_rows)) * 8
+    cells = 8 * max(1, -(-sum(r["n"] for r in found) // cell_rows), -(-sum(r["n"] * r["__n"] for r in found) // cell_tokens))
+    starts = [int(n[lengths <= b].sum()) for b in [-1, *bounds[:-1]]]  # documents in smaller buckets
     index = sum((F.when(F.col("__n") > b, 1).otherwise(0) for b in bounds[:-1]), F.lit(0))
     placed = rows.select("*", index.alias("bucket"), F.get(F.array(*[F.lit(b).cast("long") for b in bounds]), index).alias("boundary"))
-    placed = placed.withColumn("__cell", F.pmod(F.xxhash64("mark", "salt"), F.lit(cells).cast("long")).cast("int"))
-    offsets = placed.groupBy("bucket", "__cell").count()
-    before = Window.partitionBy("bucket").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select(F.col("bucket").alias("__b"), F.col("__cell").alias("__c"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    own = Window.partitionBy("bucket", "__cell").orderBy("mark", "__key", "salt")
+    cell = F.pmod(F.xxhash64("mark", "salt"), F.lit(cells).cast("long"))
+    placed = placed.withColumn("__cell", F.col("bucket") * F.lit(cells).cast("long") + cell)
+    before = numbered_before(placed.groupBy(F.col("__cell").alias("bucket")).agg(F.count("*").alias("n")))
+    own = Window.partitionBy("__cell").orderBy("mark", "__key", "salt")
     ranked = placed.withColumn("__i", F.row_number().over(own) - 1)
-    at = F.col("__before") + F.col("__i")
+    at = F.col("before") - F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("bucket")) + F.col("__i")
     room = F.greatest(F.lit(1).cast("long"), F.lit(budget).cast("long") / F.greatest(F.col("boundary"), F.lit(1))).cast("long")
-    out = ranked.join(offsets, (F.col("bucket") == F.col("__b")) & (F.col("__cell") == F.col("__c")))
+    out = ranked.join(before, F.col("__cell") == F.col("b"))
     return out.select(
         *[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(names)],
         "bucket", "boundary", F.floor(at / room).cast("long").alias("batch"), F.pmod(at, room).cast("long").alias("slot"),
