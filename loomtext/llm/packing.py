@@ -89,7 +89,7 @@ def pack(docs: DataFrame, length: str, key: str, buckets: int = 16, budget: int
     marked = rows.select(mark.alias("mark"), F.struct("__row", "__key", "__n").alias("r"))
     if hot:
         marks = marked.groupBy("mark").agg(F.count("*").alias("n")).where(often)
-        marked = materialise(salted(marked, marks, small=False), "salted")
+        marked = salted(marked, marks, small=False)
     else:
         marked = marked.withColumn("salt", F.lit(0).cast("long"))
     return number(marked.select("r.__row", "r.__key", "r.__n", "mark", "salt"), names, buckets, budget, cell_rows, cell_tokens)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialise, partitions
+from loomtext.llm.common import forget, materialise, partitions
 
 #: Bucket numbers are summed up in blocks of so many, so that no task sees all of them.
 BLOCK = 4096
@@ -51,17 +51,25 @@ def numbered_before(counts: DataFrame) -> DataFrame:
 
 
 def salted(rows: DataFrame, hot: DataFrame, small: bool) -> DataFrame:
-    """``rows`` with ``salt``: 0, and for marks in ``hot`` the number of the row among those of its mark."""
+    """``rows`` (mark, r) with ``salt``: 0, and for marks in ``hot`` the number of the row among those of its mark.
+
+    The rows of hot marks are written with the partition they were in; their
+    numbers and the counts both come from that one table. A partition number
+    worked out twice need not be the same, for adaptive execution may cut each
+    branch of a plan differently, and a lost task may come back elsewhere.
+    """
     hot = hot.select(F.col("mark").alias("h"))
     hot = F.broadcast(hot) if small else hot
     light = rows.join(hot, F.col("mark") == F.col("h"), "left_anti").withColumn("salt", F.lit(0).cast("long"))
-    many = rows.join(hot, F.col("mark") == F.col("h"), "left_semi").withColumn("part", F.spark_partition_id())
+    many = materialise(rows.join(hot, F.col("mark") == F.col("h"), "left_semi").withColumn("part", F.spark_partition_id()), "hot")
     own = many.withColumn("own", F.row_number().over(Window.partitionBy("mark", "part").orderBy("part")))
     counts = many.groupBy(F.col("mark").alias("m"), F.col("part").alias("p")).agg(F.count("*").alias("n"))
     upto = Window.partitionBy("m").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("m", "p", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("upto"))
-    many = own.join(counts, (F.col("mark") == F.col("m")) & (F.col("part") == F.col("p")))
-    return light.unionByName(many.select("mark", "r", (F.col("own") - 1 + F.col("upto")).alias("salt")))
+    numbered = own.join(counts, (F.col("mark") == F.col("m")) & (F.col("part") == F.col("p")))
+    out = materialise(light.unionByName(numbered.select("mark", "r", (F.col("own") - 1 + F.col("upto")).alias("salt"))), "salted")
+    forget(many)
+    return out
 
 
 def external_shuffle(
@@ -91,7 +99,7 @@ def external_shuffle(
     rows = docs.select(mark.alias("mark"), F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)], size.alias("size")).alias("r"))
     bucket = F.pmod(F.when(F.col("salt") == 0, F.col("mark")).otherwise(F.xxhash64("mark", "salt")), F.lit(n).cast("long")).alias("bucket")
     if found["hot"]:
-        rows = materialise(salted(rows, marks.where(hot), found["hot"] * 16 <= broadcast_bytes), "salted")
+        rows = salted(rows, marks.where(hot), found["hot"] * 16 <= broadcast_bytes)
     else:
         rows = rows.withColumn("salt", F.lit(0).cast("long"))
     before = numbered_before(rows.select(bucket).groupBy("bucket").agg(F.count("*").alias("n")))

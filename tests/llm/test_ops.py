@@ -867,3 +867,42 @@ def test_shards_are_shuffled(spark):
     r = entries.op10_shard_shuffle(spark, "/root/testdata/sf0.001").collect()
     texts = {x.doc_id: x.text or "" for x in common.table(spark, "/root/testdata/sf0.001", "documents").collect()}
     assert all(x.text_crc32 == zlib.crc32(texts[x.doc_id].encode()) for x in r)
+
+
+#: Shuffle partitions, adaptive execution, broadcast threshold, and where the rows come from.
+PLANS = [("200", "true", "10m", "parquet"), ("100", "true", "-1", "group"), ("4", "false", "-1", "repartition")]
+
+
+@pytest.fixture
+def planned(spark, tmp_path):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n) for n in names]
+
+    def rows(df, *how):
+        for n, v in zip(names, how, strict=False):
+            spark.conf.set(n, v)
+        if how[3] == "parquet":
+            df.write.parquet(f"file://{tmp_path}/rows")
+            return spark.read.parquet(f"file://{tmp_path}/rows")
+        return df.repartition(11) if how[3] == "repartition" else df.groupBy(*df.columns, F.col("id") % 97).count().drop("count", "(id % 97)").select(*df.columns)
+
+    yield rows
+    for n, v in zip(names, before, strict=True):
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("how", PLANS)
+def test_hot_keys_lose_no_row_in_packing(spark, planned, how):
+    df = spark.range(240_000).select("id", F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-(F.col("id") % 3)).alias("doc_id"), F.lit(9).cast("long").alias("n_tokens"))
+    got = packing.pack(planned(df, *how), "n_tokens", "doc_id", buckets=3, budget=90, stored=how[3] == "parquet")
+    n, ids, places, top = got.agg(F.count("*"), F.count_distinct("id"), F.count_distinct(F.col("batch") * 10 + F.col("slot")), F.max(F.col("batch") * 10 + F.col("slot"))).first()
+    assert (n, ids, places, top) == (240_000, 240_000, 240_000, 239_999)
+
+
+@pytest.mark.parametrize("how", PLANS)
+def test_hot_keys_lose_no_row_in_shards(spark, planned, how):
+    third = F.col("id") % 3
+    df = spark.range(120_000).select("id", F.when(third == 0, F.col("id")).otherwise(-third).alias("doc_id"), F.when(third == 0, F.concat(F.lit("t"), "id")).otherwise("hot").alias("text"))
+    got = shard_shuffle.external_shuffle(planned(df, *how), 8, broadcast_bytes=0 if how[3] == "repartition" else 8 << 20)
+    n, ids, places, top = got.agg(F.count("*"), F.count_distinct("id"), F.count_distinct(F.col("slot") * 8 + F.col("shard")), F.max(F.col("slot") * 8 + F.col("shard"))).first()
+    assert (n, ids, places, top) == (120_000, 120_000, 120_000, 119_999)
