@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import chat_format, exact_dedup, html_extract, mixing, near_dup, packing, quality, shard_shuffle, suffix_dedup, url_filter
+from loomtext.llm import chat_format, exact_dedup, html_extract, mixing, near_dup, packing, quality, shard_shuffle, suffix_dedup, turn_repair, url_filter
 from loomtext.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,6 +172,69 @@ def op10_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- 11: conversation structure repair ----------------------------------------------------------
+
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turn_repair.report(turns, turn_repair.repair(turn_repair.damage(turns)))
+
+
+#: DuckDB has no crc32: its table follows from the polynomial, and a checksum from that table, byte by byte.
+CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t)"
+CRC = "xor(list_reduce(list_prepend(4294967295, {bytes}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+OP11_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {CRC.format(bytes="list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 20 AS code
+  FROM conversations, crc),
+d AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM k, range(2) x(i) WHERE code <> 0 AND (i = 0 OR code = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+r AS (
+  SELECT *, substr(role, 1, 1) AS ini, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN regexp_matches(text, '[.!?][ 	-]*\z') THEN 'clean' ELSE 'truncated' END AS fault FROM o),
+f AS (SELECT *, fault IN ('clean', 'truncated') AS ok, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM r),
+n AS (SELECT conv_id, count(*) AS n FROM r GROUP BY conv_id),
+v AS (
+  SELECT conv_id, n AS i, 0 AS v0, 10 AS v1, 5 AS v2, 0 AS v3 FROM n
+  UNION ALL
+  SELECT conv_id, i, least(b0, 5 + b2, 10 + b3), least(b1, 5 + b2, 10 + b3), least(b2, 5 + b3), least(b3, 5 + b2) FROM (
+    SELECT v.conv_id, v.i - 1 AS i,
+      least(2 + v0, CASE WHEN ok THEN more + least(1 + v2, CASE ini WHEN 's' THEN v1 WHEN 'u' THEN v2 ELSE 999999 END) ELSE 999999 END) AS b0,
+      least(2 + v1, CASE WHEN ok THEN more + v2 + CASE WHEN ini = 'u' THEN 0 ELSE 1 END ELSE 999999 END) AS b1,
+      least(2 + v2, CASE WHEN ok THEN more + v3 + CASE WHEN ini = 'a' THEN 0 ELSE 1 END ELSE 999999 END) AS b2,
+      least(2 + v3, CASE WHEN ok THEN more + v2 + CASE WHEN ini = 'u' THEN 0 ELSE 1 END ELSE 999999 END) AS b3
+    FROM v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i)),
+s AS (
+  SELECT v.conv_id, v.i, [v.v0, v.v1, v.v2, v.v3] AS v, [w.v0, w.v1, w.v2, w.v3] AS w, role, text, ini, coalesce(ok, false) AS ok, more
+  FROM v LEFT JOIN v w ON w.conv_id IS NOT DISTINCT FROM v.conv_id AND w.i = v.i + 1 LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i + 1),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM n
+  UNION ALL
+  SELECT conv_id, i + CASE WHEN e = 'I' THEN 0 ELSE 1 END, CASE e WHEN 'D' THEN q WHEN 'K' THEN kq ELSE nq END, audit || e,
+    CASE e WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text) WHEN 'I' THEN list_append(said, letter || ':') ELSE list_append(said, letter || ':' || text) END
+  FROM (
+    SELECT *, CASE WHEN w IS NULL THEN 'I' WHEN 2 + w[q + 1] = v[q + 1] THEN 'D' WHEN 5 + v[nq + 1] = v[q + 1] THEN 'I' WHEN kq IS NOT NULL AND more + w[kq + 1] = v[q + 1] THEN 'K' ELSE 'R' END AS e
+    FROM (
+      SELECT walk.*, s.v, CASE WHEN s.i < n.n THEN s.w END AS w, s.role, s.text, s.more, CASE q WHEN 2 THEN 3 ELSE 2 END AS nq, CASE q WHEN 2 THEN 'assistant' ELSE 'user' END AS letter,
+        CASE WHEN NOT ok THEN NULL WHEN ini = 's' AND q = 0 THEN 1 WHEN ini = 'u' AND q <> 2 THEN 2 WHEN ini = 'a' AND q = 2 THEN 3 END AS kq
+      FROM walk JOIN s ON s.conv_id IS NOT DISTINCT FROM walk.conv_id AND s.i = walk.i JOIN n ON n.conv_id IS NOT DISTINCT FROM walk.conv_id
+      WHERE walk.i < n.n OR q IN (1, 2)))),
+done AS (SELECT walk.* FROM walk JOIN n ON n.conv_id IS NOT DISTINCT FROM walk.conv_id WHERE walk.i = n.n AND q IN (0, 3)),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(v0, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM a.conv_id AND v.i = 0
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_near_dup": op2_near_dup,
@@ -183,5 +246,6 @@ QUERIES: dict[str, Query] = {
     "op8_pack_buckets": op8_pack_buckets,
     "op9_quality_llr": op9_quality_llr,
     "op10_shard_shuffle": op10_shard_shuffle,
+    "op11_turn_repair": op11_turn_repair,
 }
-SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_url_filter": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_url_filter": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op11_turn_repair": OP11_SQL}
