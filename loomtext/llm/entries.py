@@ -196,8 +196,8 @@ d AS (
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
 r AS (
   SELECT *, substr(role, 1, 1) AS ini, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
-      WHEN regexp_matches(text, '[.!?][ 	-]*\z') THEN 'clean' ELSE 'truncated' END AS fault FROM o),
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'clean' ELSE 'truncated' END AS fault FROM o),
 f AS (SELECT *, fault IN ('clean', 'truncated') AS ok, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM r),
 n AS (SELECT conv_id, count(*) AS n FROM r GROUP BY conv_id),
 v AS (
