@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import chat_format, exact_dedup, html_extract, mixing, near_dup, packing, quality, shard_shuffle, suffix_dedup, turn_repair, url_filter
+from loomtext.llm import chat_format, exact_dedup, html_extract, importance, mixing, near_dup, packing, quality, shard_shuffle, suffix_dedup, turn_repair, url_filter
 from loomtext.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,8 +181,8 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: DuckDB has no crc32: its table follows from the polynomial, and a checksum from that table, byte by byte.
-CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t)"
-CRC = "xor(list_reduce(list_prepend(4294967295, {bytes}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab)"
+CRC = "xor(list_reduce(list_prepend(4294967295, {bytes}), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
 
 OP11_SQL = rf"""
 WITH RECURSIVE {CRC_TABLE},
@@ -235,6 +235,32 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS
 LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM a.conv_id AND v.i = 0
 """
 
+# --- 12: target-distribution importance resampling ---------------------------------------------
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=1, buckets=10_000, seed=2024, least_words=20, percent=10)
+
+
+OP12_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP12_SQL = f"""
+WITH {CRC_TABLE},
+dw AS (SELECT doc_id, unnest({OP12_WORDS}) AS word FROM documents),
+c AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM dw GROUP BY ALL),
+bw AS (SELECT unnest({OP12_WORDS}) AS word FROM benchmark),
+w AS (SELECT word, sum(s) AS s, sum(t) AS t, hex(encode(word)) AS h FROM (SELECT word, n AS s, 0 AS t FROM c UNION ALL SELECT word, 0, 1 FROM bw) GROUP BY word),
+k AS MATERIALIZED (SELECT word, s, t, {CRC.format(bytes="list_transform(range(0, length(h), 2), lambda i: CAST('0x' || substr(h, i + 1, 2) AS BIGINT))")} % 10000 AS bucket FROM w, crc),
+b AS (SELECT bucket, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM k GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM b),
+d AS (SELECT doc_id, sum(n) AS n, sum(n * gain) AS weight FROM c JOIN k USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+e AS (
+  SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296e0))) AS BIGINT) AS score
+  FROM documents LEFT JOIN d USING (doc_id)),
+p AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, 10 * count(*) OVER (PARTITION BY n_features >= 20) // 100 AS draw FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= draw THEN r END AS rank FROM p
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_near_dup": op2_near_dup,
@@ -247,5 +273,6 @@ QUERIES: dict[str, Query] = {
     "op9_quality_llr": op9_quality_llr,
     "op10_shard_shuffle": op10_shard_shuffle,
     "op11_turn_repair": op11_turn_repair,
+    "op12_importance": op12_importance,
 }
-SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_url_filter": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op11_turn_repair": OP11_SQL}
+SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_url_filter": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op11_turn_repair": OP11_SQL, "op12_importance": OP12_SQL}
