@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import chat_format, exact_dedup, html_extract, importance, mixing, near_dup, packing, quality, shard_shuffle, suffix_dedup, turn_repair, url_filter
+from loomtext.llm import chat_format, exact_dedup, html_extract, importance, mixing, near_dup, packing, quality, shard_shuffle, simhash, suffix_dedup, turn_repair, url_filter
 from loomtext.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -261,6 +261,14 @@ p AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= draw THEN r END AS rank FROM p
 """
 
+# --- 13: SimHash near-dedup ---------------------------------------------------------------------
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_groups(table(spark, sf_dir, "documents"), words=3, seed=42, most=3)
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_near_dup": op2_near_dup,
@@ -274,5 +282,6 @@ QUERIES: dict[str, Query] = {
     "op10_shard_shuffle": op10_shard_shuffle,
     "op11_turn_repair": op11_turn_repair,
     "op12_importance": op12_importance,
+    "op13_simhash": op13_simhash,
 }
 SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_url_filter": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op11_turn_repair": OP11_SQL, "op12_importance": OP12_SQL}
