@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Queries are sent to the executors in blocks of so many bytes of vectors at most.
-QUERY_BYTES = 16 << 20
+#: Vectors in a block of queries and in one of the corpus; distances held at a time; a distance (in millionths) that no pair has.
+QUERY_BYTES, CORPUS_BYTES, TILE_BYTES, FAR = 16 << 20, 64 << 20, 32 << 20, 1 << 40
 
 
 def norm(c: Column) -> Column:
@@ -30,15 +31,21 @@ def check_dimension(vectors: DataFrame, dimension: int, column: str = "embedding
     return vectors.where(ok.isNull())
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 24, admissible: Column | None = None, when: str | None = None) -> DataFrame:
+def dense_topk(
+    queries: DataFrame, vectors: DataFrame, k: int = 24, admissible: Column | None = None, when: str | None = None,
+    query_bytes: int = QUERY_BYTES, corpus_bytes: int = CORPUS_BYTES,
+) -> DataFrame:
     """``query_id, chunk_id, distance, dense_rank`` of the k nearest chunks of each query.
 
-    ``queries`` (query_id, embedding) are collected in blocks of bounded size;
-    each block meets every partition of ``vectors`` (chunk_id, embedding) as
-    one matrix product, which keeps k candidates a query and partition. So the
-    corpus is read once a block and only candidates are shuffled. Chunks that
-    are not ``admissible`` are no candidates; with ``when``, a column of
-    ``queries``, for the queries in which it is true. Ties go by chunk id.
+    Vectors of all ``queries`` (query_id, embedding) up to ``query_bytes``, by
+    their counted size, go to every task, and each partition of ``vectors``
+    (chunk_id, embedding) is read where it lies. More queries never reach the
+    driver: queries and corpus are dealt to a grid of blocks, each of a bounded
+    size, and every pair of blocks meets in one group. The corpus is scanned
+    once either way, and only candidates are shuffled for the last ranking.
+
+    Chunks that are not ``admissible`` are no candidates; with ``when``, a column
+    of ``queries``, for the queries in which it is true. Ties go by chunk id.
     Distances are rounded to 6 places before they are ranked.
     """
     flag = F.lit(True) if when is None else F.coalesce(F.col(when), F.lit(False))
@@ -47,64 +54,95 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 24, admissible:
     corpus = vectors.select("chunk_id", "embedding", fits.alias("fits")).where(F.col("embedding").isNotNull())
     if when is None:
         corpus = corpus.where("fits")
-    kinds = [to_arrow_type(x.schema[c].dataType) for x, c in ((rows, "query_id"), (corpus, "chunk_id"))]
-    found = None
-    for ids, strict, matrix in _blocks(rows):
-        part = corpus.mapInArrow(_scan(ids, strict, matrix, k, kinds), f"query_id {dict(rows.dtypes)['query_id']}, chunk_id {dict(corpus.dtypes)['chunk_id']}, distance double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = rows.join(corpus.limit(0), F.lit(False)).select("query_id", "chunk_id", F.lit(0.0).alias("distance"))
+    size = rows.agg(F.coalesce(F.sum(F.size("embedding").cast("long") * 8), F.lit(0))).first()[0]
+    types, schema = candidate_types(rows, corpus)
+    if size <= query_bytes:
+        table = rows.toArrow() if size else None
+        found = corpus.mapInArrow(_scan(table, k, types), schema) if size else _none(rows, corpus)
+    else:
+        n_rows = corpus.agg(F.coalesce(F.sum(F.size("embedding").cast("long") * 8), F.lit(0))).first()[0]
+        q_blocks, c_blocks = -(-size // query_bytes), max(1, -(-n_rows // corpus_bytes))
+        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n).cast("long")).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+        left = rows.withColumn("__q", block("query_id", q_blocks)).withColumn("__c", every(c_blocks))
+        right = corpus.withColumn("__c", block("chunk_id", c_blocks)).withColumn("__q", every(q_blocks))
+        found = meet(left, right, ["__q", "__c"], k, types, schema)
+    return top(found, k)
+
+
+def top(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return found.withColumn("dense_rank", F.row_number().over(w).cast("long")).where(F.col("dense_rank") <= k)
 
 
-def _blocks(rows: DataFrame) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    ids, strict, vecs, size = [], [], [], 0
-    for r in rows.orderBy("query_id").toLocalIterator():
-        ids.append(r[0])
-        vecs.append(np.asarray(r[1], np.float64))
-        strict.append(r[2])
-        size += 8 * len(vecs[-1])
-        if size >= QUERY_BYTES:
-            yield ids, np.array(strict), np.stack(vecs)
-            ids, strict, vecs, size = [], [], [], 0
-    if ids:
-        yield ids, np.array(strict), np.stack(vecs)
+def candidate_types(queries: DataFrame, corpus: DataFrame) -> tuple[list[pa.DataType], str]:
+    """Types of query and chunk ids, and the schema of candidates."""
+    kinds = [to_arrow_type(x.schema[c].dataType) for x, c in ((queries, "query_id"), (corpus, "chunk_id"))]
+    return kinds, f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(corpus.dtypes)['chunk_id']}, distance double"
+
+
+def _none(rows: DataFrame, corpus: DataFrame) -> DataFrame:
+    return rows.join(corpus.limit(0), F.lit(False)).select("query_id", "chunk_id", F.lit(0.0).alias("distance"))
+
+
+def meet(left: DataFrame, right: DataFrame, by: list[str], k: int, types: list[pa.DataType], schema: str) -> DataFrame:
+    """Candidates of every group of queries and of chunks that agree in ``by``."""
 
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        if not queries.num_rows or not rows.num_rows:
+            return table_of([])
+        asked = Asked(queries, k, types[0])
+        return table_of(list(asked.candidates(rows.select(["chunk_id", "embedding", "fits"]))))
 
-def _scan(ids: list, strict: np.ndarray, matrix: np.ndarray, k: int, kinds: list[pa.DataType]):
-    unit = matrix / np.maximum(np.sqrt((matrix**2).sum(axis=1, keepdims=True)), 1e-300)
+    def table_of(parts: list[pa.RecordBatch]) -> pa.Table:
+        return pa.Table.from_batches(parts, pa.schema(list(zip(("query_id", "chunk_id", "distance"), (*types, pa.float64()), strict=True))))
 
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema)
+
+
+def _scan(queries: pa.Table, k: int, types: list[pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_d = np.full((len(ids), 0), 0.0)
-        best_i = np.empty((len(ids), 0), object)
+        asked = Asked(queries, k, types[0])
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            col = batch.column("embedding")
-            flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            length = np.maximum(np.sqrt((flat**2).sum(axis=1)), 1e-300)
-            d = np.round(1 - unit @ (flat / length[:, None]).T, 6) + 0.0
-            fits = batch.column("fits").to_numpy(zero_copy_only=False).astype(bool)
-            d[np.ix_(strict, ~fits)] = np.inf
-            names = np.broadcast_to(np.array(batch.column("chunk_id").to_pylist(), object), d.shape)
-            d, names = np.concatenate([best_d, d], axis=1), np.concatenate([best_i, names], axis=1)
-            keep_d, keep_i = [], []
-            for row, name in zip(d, names, strict=True):
-                if len(row) > k:
-                    at = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
-                    at = np.array(sorted(at, key=lambda i: (row[i], name[i]))[:k])
-                    row, name = row[at], name[at]
-                keep_d.append(row)
-                keep_i.append(name)
-            best_d, best_i = np.stack(keep_d), np.stack(keep_i)
-        row, col = np.nonzero(best_d < np.inf)
-        if len(row):
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in row], kinds[0]), pa.array(best_i[row, col].tolist(), kinds[1]), pa.array(best_d[row, col])], names=["query_id", "chunk_id", "distance"])
+            yield from asked.candidates(pa.Table.from_batches([batch]))
 
     return run
 
 
+def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a list column, of length 1."""
+    flat = pc.list_flatten(column).to_numpy().astype(np.float64).reshape(len(column), -1)
+    return flat / np.maximum(np.sqrt((flat**2).sum(axis=1, keepdims=True)), 1e-300)
+
+
+class Asked:
+    """Queries that meet corpus rows part by part. It remembers the k least distances of each query, so that later parts give fewer candidates."""
+
+    def __init__(self, queries: pa.Table, k: int, kind: pa.DataType) -> None:
+        self.ids, self.k = queries.column("query_id").combine_chunks().cast(kind), k
+        self.unit, self.strict = unit_rows(queries.column("embedding")), queries.column("strict").to_numpy().astype(bool)
+        self.best = np.full((len(self.unit), k), FAR)
+
+    def candidates(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Every row that may be among the k nearest of a query: ordered by millionths of distance, then id."""
+        if not rows.num_rows:
+            return
+        rows = rows.take(pc.sort_indices(rows.column("chunk_id")))
+        unit, out = unit_rows(rows.column("embedding")), ~rows.column("fits").to_numpy().astype(bool)
+        names, n = rows.column("chunk_id").combine_chunks(), rows.num_rows
+        k, step = min(self.k, n), max(1, TILE_BYTES // (8 * n))
+        for lo in range(0, len(self.unit), step):
+            here = slice(lo, lo + step)
+            far = np.rint((1 - self.unit[here] @ unit.T) * 1e6).astype(np.int64)
+            far[np.ix_(self.strict[here], out)] = FAR
+            near = np.partition(far * n + np.arange(n), k - 1, axis=1)[:, :k]
+            distance = near // n
+            self.best[here] = np.partition(np.concatenate([self.best[here], distance], axis=1), self.k - 1, axis=1)[:, : self.k]
+            q, c = np.nonzero((distance < FAR) & (distance <= self.best[here].max(axis=1)[:, None]))
+            if len(q):
+                yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(q + lo)), names.take(pa.array(near[q, c] % n)), pa.array(distance[q, c] / 1e6)], names=["query_id", "chunk_id", "distance"])
+
+
 def similarity_floor(hits: DataFrame, floor: float | None) -> DataFrame:
     """Hits of similarity ``floor`` and more; None keeps all. Ranks stay right, for it cuts a tail off."""
     return hits if floor is None else hits.where(F.lit(1.0) - F.col("distance") >= floor)
