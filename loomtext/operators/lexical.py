@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as tx
 
+if TYPE_CHECKING:
+    from loomtext.operators.segments import Segments
+
 
 class LexicalIndexError(RuntimeError):
     """The index is empty or missing."""
@@ -41,13 +45,16 @@ def with_statistics(postings: DataFrame, doc_stats: DataFrame, epsilon: float =
     return LexicalIndex(postings, doc_stats, term_stats, sizes.crossJoin(F.broadcast(means)))
 
 
-def bm25_topk(queries: DataFrame, index: LexicalIndex, k: int = 24, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25_topk(queries: DataFrame, index: LexicalIndex | Segments, k: int = 24, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``query_id, chunk_id, score, lexical_rank``: the k best chunks with a score above zero.
 
     A term counts as often as the query has it. Scores are rounded to 6 places
     before they are ranked; ties go by corpus order. Only postings of terms
-    that some query has are read into the join.
+    that some query has are read into the join; of an index of segments, only
+    those that may matter.
     """
+    if not isinstance(index, LexicalIndex):
+        return index.topk(queries, k, k1, b)
     asked = queries.select("query_id", F.explode_outer(tx.terms(F.coalesce("query", F.lit("")))).alias("term")).where(F.col("term").isNotNull())
     asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
     weighted = asked.join(index.term_stats, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
