@@ -50,6 +50,13 @@ def pieces(raw: bytes, most: int) -> Iterator[tuple[int, list[bytes]]]:
         yield 0, []
 
 
+def unpacked(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
+    """``row, id`` and the text's bytes, a few rows at a time, so that a batch is not held twice."""
+    for lo in range(0, batch.num_rows, step):
+        part = batch.slice(lo, step)
+        yield from zip(part.column("row").to_pylist(), part.column("id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True)
+
+
 def counted(rows: DataFrame, most: int, block: int) -> DataFrame:
     """From ``row, id, text``: a row for each document's piece (``codes`` and ``counts`` of its features), and rows with the ``names`` of each block's codes."""
 
@@ -90,7 +97,7 @@ def counted(rows: DataFrame, most: int, block: int) -> DataFrame:
         for b in batches:
             kind = b.schema.field("id").type
             held = 0
-            for row, key, raw in zip(b.column("row").to_pylist(), b.column("id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            for row, key, raw in unpacked(b):
                 for words, features in pieces(raw or b"", most):
                     found = Counter(features)
                     own = np.fromiter((codes.setdefault(f, len(codes)) for f in found), np.int64, len(found))
@@ -103,7 +110,7 @@ def counted(rows: DataFrame, most: int, block: int) -> DataFrame:
                     if len(codes) >= block:
                         yield from emit(True)
                         held = 0
-                    elif held > 1 << 20:
+                    elif held > 1 << 18:
                         yield from emit(False)
                         held = 0
             yield from emit(False)
