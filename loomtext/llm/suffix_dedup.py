@@ -26,8 +26,8 @@ A start that more than ``HOT`` entries share would be one task's work. Its
 windows are taken one by one instead and grouped by their ``L`` bytes, which
 spreads them; equal ones are counted with partial sums.
 
-:class:`SuffixIndex` keeps packs and levels in a folder, and batches that are
-added later are scanned against the levels there. :func:`remove_repeats` is an
+:class:`SuffixIndex` keeps packs and levels, in a folder if one is given, and
+batches that are added later are scanned against the levels there. :func:`remove_repeats` is an
 index of one batch.
 """
 
@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.bytehash import BYTES, mixed, powers, prefix_sums, substring_hashes
-from loomtext.llm.common import forget, materialise, tidied
+from loomtext.llm.common import forget, materialise, tidied, with_cleanup
+from loomtext.sources.ledger import Ledger
 
 L, K = 50, 20
 BEFORE = L - K
@@ -233,12 +235,22 @@ def joined(parts: pa.Scalar, kind: type = np.uint32) -> np.ndarray:
     return np.concatenate(got) if got else np.empty(0, kind)
 
 
-def by_range(start: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The ranges of starts that occur, each with the rows in it, ordered by start."""
+def by_range(start: np.ndarray, ranges: int, splits: int = 1) -> Iterator[tuple[int, np.ndarray]]:
+    """The ranges of starts that occur, each with the rows in it, ordered by start. The upper half of a start's bits names one of ``ranges``, the lower half one of its ``splits``."""
     order = np.argsort(start, kind="stable")
     to = ((start[order] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    names, cuts = np.unique(to, return_index=True)
-    yield from zip(names.tolist(), np.split(order, cuts[1:]), strict=False)
+    yield from runs_of(to * np.uint64(splits) + part_of(start[order] & LOW, splits), order)
+
+
+def part_of(low: np.ndarray, splits: int) -> np.ndarray:
+    return (low.astype(np.uint64) * np.uint64(splits)) >> np.uint64(32)
+
+
+def runs_of(to: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number in ``to`` with its rows, in the order given."""
+    again = np.argsort(to, kind="stable")
+    names, cuts = np.unique(to[again], return_index=True)
+    yield from zip(names.tolist(), np.split(order[again], cuts[1:]), strict=False)
 
 
 def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -287,7 +299,7 @@ STARTS = arrow(range=pa.int32(), fresh=pa.bool_(), starts=pa.binary(), ords=pa.b
 ASKED = arrow(pack=pa.int64(), shared=pa.binary(), hot=pa.binary(), n=pa.int64(), n_hot=pa.int64())
 
 
-def starts_of(made: DataFrame, ranges: int) -> DataFrame:
+def starts_of(made: DataFrame, ranges: int, splits: int = 1) -> DataFrame:
     """For each range the starts (32 bits of their hashes) of all leaders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +308,7 @@ def starts_of(made: DataFrame, ranges: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             start, ords, pack = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows = [(k, True, (start[o] & LOW).astype(np.uint32).tobytes(), small(ords[o]), *coded(pack[o])) for k, o in by_range(start, ranges)]
+            rows = [(k, True, (start[o] & LOW).astype(np.uint32).tobytes(), small(ords[o]), *coded(pack[o])) for k, o in by_range(start, ranges, splits)]
             return table_of(rows, STARTS)
 
         for batch in batches:
@@ -367,7 +379,7 @@ def packed(spans: np.ndarray, n: np.ndarray, x: np.ndarray, ident: np.ndarray, p
     return squeezed, n.astype(np.uint8).tobytes(), x.astype(np.uint8).tobytes(), small(ords), *coded(ident), *coded(pack)
 
 
-def suffixes(asked: DataFrame, ranges: int) -> DataFrame:
+def suffixes(asked: DataFrame, ranges: int, splits: int = 1) -> DataFrame:
     """The entries for each range: spans of the anchors asked for, number of windows ``n``, bytes before the anchor ``x``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +390,7 @@ def suffixes(asked: DataFrame, ranges: int) -> DataFrame:
             start, n, x, ident, pack, ords = (np.concatenate([h[i] for h in held]) for i in range(6))
             data = np.concatenate([h[6] for h in held])
             begin = np.cumsum(n + L - 1) - (n + L - 1)
-            rows = [(k, False, *packed(gather(data, begin[o], n[o] + L - 1), n[o], x[o], ident[o], pack[o], ords[o])) for k, o in by_range(start, ranges)]
+            rows = [(k, False, *packed(gather(data, begin[o], n[o] + L - 1), n[o], x[o], ident[o], pack[o], ords[o])) for k, o in by_range(start, ranges, splits)]
             return table_of(rows, ENTRIES)
 
         for batch in batches:
@@ -399,6 +411,45 @@ def suffixes(asked: DataFrame, ranges: int) -> DataFrame:
     return asked.mapInArrow(tidied(run), ddl(ENTRIES))
 
 
+# --- ranges that fill ---------------------------------------------------------------------------
+
+
+def split_starts(rows: DataFrame, before: int, after: int) -> DataFrame:
+    """Rows of :func:`starts_of` in ``after`` splits of each range in place of ``before``; each old one falls apart into new ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                starts, ords, packs_, pcodes = (batch.column(c)[r].as_buffer() for c in ("starts", "ords", "packs", "pcodes"))
+                starts = np.frombuffer(starts, np.uint32)
+                n, base = len(starts), batch.column("range")[r].as_py() // before
+                ords, pack = unsmall(ords, n), uncoded(packs_, pcodes, n)
+                out = [(base * after + k, True, starts[o].tobytes(), small(ords[o]), *coded(pack[o])) for k, o in runs_of(part_of(starts, after), np.arange(n))]
+                if out:
+                    yield table_of(out, STARTS)
+
+    return rows.mapInArrow(tidied(run), ddl(STARTS))
+
+
+def split_level(rows: DataFrame, before: int, after: int) -> DataFrame:
+    """A stored level in ``after`` splits of each range. Entries keep their order; verdicts, which belong to no range, stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = [batch.column(c)[r].as_py() for c in FOUND.names]
+                if row[FOUND.names.index("spans")] is None:
+                    yield table_of([tuple(row)], FOUND)
+                    continue
+                e = Entries.read(batch, r)
+                to = part_of(e.starts() & LOW, after)
+                for k, o in runs_of(to, np.arange(len(e.n))):
+                    part = e.take(o)
+                    yield table_of([(row[0] // before * after + k, None, None, None, *packed(part.spans(), part.n, part.x, part.id, part.pack, part.ord))], FOUND)
+
+    return rows.mapInArrow(tidied(run), ddl(FOUND))
+
+
 class Entries:
     """Entries as arrays: ``ahead`` (bytes from the anchor on) and ``back`` (bytes before it, backwards), both filled up with zeros."""
 
@@ -434,6 +485,13 @@ class Entries:
         """Suffix order: by the bytes ahead, then those behind. Two sorted arrays one after the other are merged."""
         return np.argsort(strings(np.concatenate([self.ahead, self.back], axis=1)), kind="stable")
 
+    def starts(self) -> np.ndarray:
+        """The hash of the first ``K`` bytes ahead, as :meth:`Pack.start` gives it."""
+        h = np.zeros(len(self.n), np.uint64)
+        for k in range(K):
+            h += BYTES[self.ahead[:, k]] * powers(K)[0][k]
+        return mixed(~mixed(h))
+
     def spans(self) -> np.ndarray:
         """The spans one after the other, as :meth:`read` takes them."""
         whole = np.concatenate([self.back[:, ::-1], self.ahead], axis=1)
@@ -682,11 +740,23 @@ class SuffixIndex:
     through a binary number, so that each level holds as many batches as it is
     made of equal ones. The other levels stay as they are and are only scanned.
     With ``last`` no further batch is to come, and no level is written.
+
+    Ranges are set by the first batch and split as they fill: when they hold
+    twice what a task should, each falls into as many parts as it takes, and so
+    do the stored levels. That happens a logarithmic number of times.
+
+    With a ``folder`` the tables and the index's state are kept there, a version
+    for each batch, and another program goes on with :meth:`open`. Without one
+    they are deleted when the program ends.
     """
 
-    def __init__(self, spark: SparkSession, ranges: int | None = None, sift_ranges: int | None = None, hot: int = HOT):
-        self.spark, self.ranges, self.sift_ranges, self.hot = spark, ranges, sift_ranges, hot
-        self.batches = 0
+    TABLES = ("packs", "starts", "windows", "verdicts", "masks")
+
+    def __init__(self, spark: SparkSession, ranges: int | None = None, sift_ranges: int | None = None, hot: int = HOT, folder: str | None = None, range_entries: int = RANGE, sift_bytes: int = SIFT_BYTES):
+        self.spark, self.ranges, self.sift_ranges, self.hot, self.folder = spark, ranges, sift_ranges, hot, folder
+        self.range_entries, self.sift_bytes = range_entries, sift_bytes
+        self.splits = self.sift_splits = 1
+        self.batches = self.entries = self.bytes = 0
         self.packs: list[DataFrame] = []
         self.starts: list[DataFrame] = []
         self.levels: list[tuple[int, DataFrame]] = []  # number of batches, table
@@ -694,22 +764,74 @@ class SuffixIndex:
         self.verdicts: list[DataFrame] = []
         self.masks: list[DataFrame] = []
 
+    STATE = ("ranges", "sift_ranges", "hot", "range_entries", "sift_bytes", "splits", "sift_splits", "batches", "entries", "bytes")
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> SuffixIndex:
+        """The index that was kept in a folder, after its last whole batch."""
+        version, state = Ledger(spark, folder).read()
+        if not version:
+            raise LookupError(f"no index in {folder}")
+        index = cls(spark, folder=folder)
+        for name in cls.STATE:
+            setattr(index, name, state[name])
+        for name in cls.TABLES:
+            setattr(index, name, [index._read(p) for p in state[name]])
+        index.levels = [(size, index._read(p)) for size, p in state["levels"]]
+        return index
+
+    def _read(self, path: str) -> DataFrame:
+        out = self.spark.read.parquet(path)
+        out._loomtext_path = path
+        return out
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        if self.folder is None:
+            return materialise(df, name)
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        with_cleanup(self.spark, lambda: df.write.parquet(path))
+        return self._read(path)
+
+    def _save(self) -> None:
+        if self.folder is not None:
+            path = lambda df: df._loomtext_path
+            state = {n: getattr(self, n) for n in self.STATE} | {n: [path(x) for x in getattr(self, n)] for n in self.TABLES} | {"levels": [(n, path(x)) for n, x in self.levels]}
+            Ledger(self.spark, self.folder).commit(lambda version, before: state)
+
+    def _grow(self) -> None:
+        """Split ranges that hold twice what they should."""
+        need = lambda total, each: 1 << max(0, -(-total // each) - 1).bit_length()
+        if self.bytes > 2 * self.sift_bytes * self.sift_ranges * self.sift_splits:
+            after = need(-(-self.bytes // self.sift_ranges), self.sift_bytes)
+            self.starts = [self._keep(split_starts(x, self.sift_splits, after), "starts") for x in self.starts]
+            self.sift_splits = after
+        if self.entries > 2 * self.range_entries * self.ranges * self.splits:
+            after = need(-(-self.entries // self.ranges), self.range_entries)
+            old = {id(x): self._keep(split_level(x, self.splits, after), "index") for _, x in self.levels}
+            self.verdicts = [old.get(id(x), x) for x in self.verdicts]
+            self.levels = [(size, old[id(x)]) for size, x in self.levels]
+            self.splits = after
+
     def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text", last: bool = False) -> None:
         self.batches += 1
-        made = materialise(packs(docs, key, text, self.batches), "packs")
+        made = self._keep(packs(docs, key, text, self.batches), "packs")
         self.packs.append(made)
-        total = made.agg(F.sum("n_bytes")).first()[0] or 0
-        if self.sift_ranges is None:  # the ranges of an index stay, so that later batches meet their like
-            self.sift_ranges = max(1, -(-total // SIFT_BYTES))
-        starts = starts_of(made, self.sift_ranges)
+        self.bytes += made.agg(F.sum("n_bytes")).first()[0] or 0
+        if self.sift_ranges is None:
+            self.sift_ranges = max(1, -(-self.bytes // self.sift_bytes))
+        if self.ranges is not None:
+            self._grow()
+        starts = starts_of(made, self.sift_ranges, self.sift_splits)
         if not last:
-            starts = materialise(starts, "starts")
+            starts = self._keep(starts, "starts")
         every = functools.reduce(DataFrame.unionByName, [x.withColumn("fresh", F.lit(False)) for x in self.starts], starts)
         self.starts.append(starts)
-        asked = materialise(sift(dealt(every, self.sift_ranges), self.hot), "asked")
+        asked = materialise(sift(dealt(every, self.sift_ranges * self.sift_splits), self.hot), "asked")
         n = asked.agg(F.sum("n").alias("n"), F.sum("n_hot").alias("hot")).first()
+        self.entries += n["n"] or 0
         if self.ranges is None:
-            self.ranges = max(1, -(-(n["n"] or 0) // RANGE))
+            self.ranges = max(1, -(-(n["n"] or 0) // self.range_entries))
+        self._grow()
         told = asked.groupBy("pack").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))
         held = functools.reduce(DataFrame.unionByName, self.packs).join(told, "pack")
         merged = [size for size, _ in self.levels]
@@ -718,18 +840,21 @@ class SuffixIndex:
             carry.append(merged.pop())
             size *= 2
         fixed, carried = self.levels[: len(merged)], self.levels[len(merged) :]
-        entries = suffixes(held, self.ranges)
+        entries = suffixes(held, self.ranges, self.splits)
         for tables, stays in ((fixed, True), (carried, False)):
             for _, x in tables:
                 entries = entries.unionByName(x.where("spans IS NOT NULL").select("range", F.lit(stays).alias("fixed"), *[f.name for f in ENTRIES if f.name not in ("range", "fixed")]))
-        found = materialise(scan(dealt(entries, self.ranges), keep=not last), "index")
+        found = self._keep(scan(dealt(entries, self.ranges * self.splits), keep=not last), "index")
         self.verdicts.append(found)
         self.levels = [*fixed, (size, found)]
         if n["hot"]:
-            windows = materialise(hot_windows(held), "windows")
+            windows = self._keep(hot_windows(held), "windows")
             self.windows.append(windows)
-            self.masks.append(judge_windows(functools.reduce(DataFrame.unionByName, self.windows)))
+            masks = judge_windows(functools.reduce(DataFrame.unionByName, self.windows))
+            self.masks.append(masks if self.folder is None else self._keep(masks, "masks"))
         forget(asked)
+        if not last:
+            self._save()
 
     def results(self, with_kept: bool = False) -> DataFrame:
         verdicts = functools.reduce(DataFrame.unionByName, [x.where("pack IS NOT NULL").select("pack", "ord", "mask") for x in self.verdicts])
