@@ -10,8 +10,8 @@ and is left whole. Runs are repeated until a pair at the threshold has met with
 the target recall, all splits on its way counted.
 
 Buckets are then compared by brute force on the true sets. Large buckets are
-cut into blocks, and each pair of blocks is a task's work, so no bucket meets
-in one task. A pair that meets in several buckets counts in the first only, so
+cut into blocks of bounded rows and shingles, and each pair of blocks is a
+group's work, so no bucket meets in one task. A pair that meets in several buckets counts in the first only, so
 links are counted once. A bucket returns sums and a spanning forest, never its
 pairs. Components come from contracting the forests, round by round, on the
 cluster.
@@ -36,6 +36,8 @@ from loomtext.llm.common import forget, materialise, tidied
 WORDS = 5
 SIMILAR, RECALL = 0.8, 0.99999
 LIMIT, BLOCK, DEPTH = 200, 1024, 4
+#: Shingles in a block: a task holds those of two blocks.
+SHINGLES = 2 << 20
 #: Hash functions for splits, of which a bucket picks some (the number is prime, so that picks differ).
 SPLITS, PICKS = 23, 3
 
@@ -243,9 +245,10 @@ def verify(rows: DataFrame, similar: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         cache: dict[int, np.ndarray] = {}
+        cached = 0
 
         def done(key: tuple, held: list[tuple]) -> list[tuple[int, int, int]]:
-            if len(held) < 2:
+            if len(held) < 2 or (key[1] != key[2] and len({h[2] for h in held}) < 2):  # pairs within one block meet in its own group
                 return []
             rep = np.array([h[0] for h in held], np.int64)
             links, root = links_of(key[0], rep, np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held]), [h[3] for h in held], [h[4] for h in held], similar)
@@ -262,9 +265,11 @@ def verify(rows: DataFrame, similar: float) -> DataFrame:
                     out += done(last, held) if held else []
                     last, held = key, []
                 if reps[r] not in cache:
-                    if len(cache) > 256:
+                    if cached > SHINGLES:
                         cache.clear()
+                        cached = 0
                     cache[reps[r]] = shingles(unpack.decompress(cols["z"][r].as_py()))
+                    cached += len(cache[reps[r]])
                 held.append((reps[r], weights[r], sides[r], flat[offsets[r] : offsets[r + 1]], cache[reps[r]]))
             if len(out) > 50_000:
                 yield table_of(out)
@@ -346,22 +351,25 @@ def sketched(docs: DataFrame, key: str, text: str, keep: list[str], similar: flo
     return materialise(sketch(docs, key, text, keep, runs_for(recall, similar, depth)).withColumn("row", F.monotonically_increasing_id()), "sketch")
 
 
-def groups(made: DataFrame, similar: float = SIMILAR, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
+def groups(made: DataFrame, similar: float = SIMILAR, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK, depth: int = DEPTH, shingle_block: int = SHINGLES) -> DataFrame:
     """``id, row, label, class_id, n_links, group_size`` for the rows of a written :func:`sketch` with numbers ``row``.
 
     ``label`` is the number of a row of the class, the same for all of its rows; unlike ``class_id`` no other class has it.
     """
     full = made.where("n > 0")
     reps = full.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("weight"), F.min("id").alias("least"))
-    reps = materialise(reps.join(full.select("row", "sig"), F.col("rep") == F.col("row")).drop("row"), "reps")
+    reps = materialise(reps.join(full.select("row", "sig", "n"), F.col("rep") == F.col("row")).drop("row"), "reps")
     leaves = buckets(reps, runs_for(recall, similar, depth), limit, depth)
     hist = leaves.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("hist"))
-    members = materialise(leaves.join(hist, "rep").join(reps.select("rep", "weight"), "rep"), "members")
+    members = materialise(leaves.join(hist, "rep").join(reps.select("rep", "weight", "n"), "rep"), "members")
     # A bucket whose members all met before in one other bucket has nothing new.
     earlier = members.select("leaf", "size", F.explode_outer(F.filter("hist", lambda u: u < F.col("leaf"))).alias("u")).where("u is not null")
     useless = materialise(earlier.groupBy("leaf", "u").agg(F.count("*").alias("n"), F.max("size").alias("size")).where("n = size").select("leaf").distinct(), "useless")
     work = members.join(useless, "leaf", "left_anti")
-    work = work.withColumn("cut", F.ceil(F.col("size") / block).cast("int"))
+    # Blocks follow rows and shingles, so that a few long texts don't make a block that is too large to hold.
+    large = work.groupBy(F.col("leaf").alias("l")).agg(F.sum("n").alias("all")).where(F.col("all") > shingle_block)
+    work = work.join(large, F.col("leaf") == F.col("l"), "left")
+    work = work.withColumn("cut", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.coalesce("all", F.lit(0)) / shingle_block)).cast("int"))
     work = work.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cut").cast("bigint")).cast("int"))
     work = work.select("leaf", "rep", "weight", "hist", "own", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("with"))
     i, j = F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")
@@ -371,7 +379,7 @@ def groups(made: DataFrame, similar: float = SIMILAR, recall: float = RECALL, li
     forget(leaves, members, useless)
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
     label = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    marked = reps.drop("sig").join(degree, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    marked = reps.drop("sig", "n").join(degree, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     marked = marked.withColumn("label", F.coalesce("label", "rep"))
     least = marked.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("weight").alias("group_size"))
     links = (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")

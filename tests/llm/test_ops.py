@@ -126,15 +126,15 @@ def family(rng, n, size, edits):
     return out
 
 
-@pytest.mark.parametrize(("limit", "block"), [(200, 1024), (4, 7)])
-def test_near_groups_against_brute_force(spark, limit, block):
+@pytest.mark.parametrize(("limit", "block", "shingle_block"), [(200, 1024, 2 << 20), (4, 7, 300)])
+def test_near_groups_against_brute_force(spark, limit, block, shingle_block):
     rng = np.random.default_rng(3)
     texts = family(rng, 40, 200, 2) + family(rng, 12, 80, 1) + family(rng, 6, 60, 6) + [" ".join(rng.choice(500, 90).astype(str)) for _ in range(60)]
     line = "this very common line stands in many of the texts here"
     texts += [f"{line} " + " ".join(rng.choice(5000, 60).astype(str)) for _ in range(30)] + [texts[0]] * 5 + ["a b c", "a b c", "", None, "tiny"]
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.id: r for r in near_dup.near_groups(df, limit=limit, block=block).collect()}
+    got = {r.id: r for r in near_dup.near_groups(df, limit=limit, block=block, shingle_block=shingle_block).collect()}
     links, root = brute_links(rows)
     assert {i: got[i].n_links for i, _ in rows} == {i: links[i] for i, _ in rows}
     assert {i: got[i].class_id for i, _ in rows} == dict(enumerate(root))
@@ -448,6 +448,23 @@ def test_batches_meet_stored_levels(spark, monkeypatch, hot):
     index.drop()
 
 
+def test_ranges_split_as_they_fill_and_the_index_is_opened_again(spark, monkeypatch, tmp_path):
+    """A small first batch, then large ones; each is added by an index that is opened anew, as another program would."""
+    monkeypatch.setattr(suffix_dedup, "PACK", 900)
+    rows = repeating_rows()
+    folder = f"file://{tmp_path}/index"
+    suffix_dedup.SuffixIndex(spark, hot=40, folder=folder, range_entries=20, sift_bytes=2000).add(spark.createDataFrame(rows[:3], "doc_id long, text string"))
+    cuts, grown = [3, 3 + len(rows) // 3, len(rows)], []
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        index = suffix_dedup.SuffixIndex.open(spark, folder)
+        index.add(spark.createDataFrame(rows[lo:hi], "doc_id long, text string").repartition(2))
+        grown.append((index.splits, index.sift_splits))
+        assert removed(suffix_dedup.SuffixIndex.open(spark, folder).results(with_kept=True)) == {k: sorted(v) for k, v in brute_repeats(rows[:hi]).items()}
+    assert min(grown[0]) > 1 and grown[1] >= grown[0] and index.batches == 3
+    with pytest.raises(LookupError):
+        suffix_dedup.SuffixIndex.open(spark, f"{folder}-none")
+
+
 def test_anchors_in_pieces(monkeypatch):
     data, ends = np.random.default_rng(3).integers(97, 101, 3000, dtype=np.uint8), np.array([700, 730, 2000, 3000])
     windows = lambda a: {(w, at) for f, last, at in zip(*(x.tolist() for x in a[:3]), strict=True) for w in range(f, last + 1)}
