@@ -37,7 +37,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its length in words and its place: bucket, boundary, batch, slot and padding."""
-    sized = docs.withColumn("n_tokens", F.size(quality.words_of(F.coalesce("text", F.lit("")))).cast("long"))
+    n = F.size(quality.words_of(F.coalesce("text", F.lit("")))).cast("long")
+    sized = docs.select("*", F.explode(F.array(n)).alias("n_tokens"))  # one value a row: a text is cut into words once, however often its length is asked for
     return packing.pack(sized, "n_tokens", "doc_id", entries.BUCKETS, entries.BUDGET, stored=True)
 
 

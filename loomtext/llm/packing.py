@@ -74,9 +74,10 @@ def pack(docs: DataFrame, length: str, key: str, buckets: int = 16, budget: int
     are reached first, make eight cells. An empty table gives no rows. No row is
     left out or cut.
 
-    The rows are read twice, for the histogram and for the places. ``stored``
-    says that this is cheap, as for a projection of a stored table; else they
-    are written first.
+    Keys and lengths are written once, for the histogram and the offsets; the
+    rows themselves are read once more, for their places. ``stored`` says that
+    reading them again is cheap, as for a projection of a stored table; else
+    they are written first.
     """
     made = ("bucket", "boundary", "batch", "slot", "padding")
     names = [c for c in docs.columns if c not in made]
@@ -92,21 +93,26 @@ def pack(docs: DataFrame, length: str, key: str, buckets: int = 16, budget: int
         marked = salted(marked, marks, small=False)
     else:
         marked = marked.withColumn("salt", F.lit(0).cast("long"))
-    return number(marked.select("r.__row", "r.__key", "r.__n", "mark", "salt"), names, buckets, budget, cell_rows, cell_tokens)
+    flat = marked.select("r.__row", "r.__key", "r.__n", "mark", "salt")
+    return number(flat, materialise(flat.select("mark", "salt", "__n"), "marks"), names, buckets, budget, cell_rows, cell_tokens)
 
 
-def number(rows: DataFrame, names: list[str], buckets: int, budget: int, cell_rows: int, cell_tokens: int) -> DataFrame:
-    counted = rows.groupBy("__n").agg(F.count("*").alias("n"))
+def number(rows: DataFrame, light: DataFrame, names: list[str], buckets: int, budget: int, cell_rows: int, cell_tokens: int) -> DataFrame:
+    counted = light.groupBy("__n").agg(F.count("*").alias("n"))
     found = counted.orderBy("__n").collect()  # one row a length
     lengths, n = np.array([r["__n"] for r in found], np.int64), np.array([r["n"] for r in found], float)
     bounds = best_boundaries(lengths, n, n * lengths, buckets) or [0]
     cells = 8 * max(1, -(-sum(r["n"] for r in found) // cell_rows), -(-sum(r["n"] * r["__n"] for r in found) // cell_tokens))
     starts = [int(n[lengths <= b].sum()) for b in [-1, *bounds[:-1]]]  # documents in smaller buckets
     index = sum((F.when(F.col("__n") > b, 1).otherwise(0) for b in bounds[:-1]), F.lit(0))
-    placed = rows.select("*", index.alias("bucket"), F.get(F.array(*[F.lit(b).cast("long") for b in bounds]), index).alias("boundary"))
     cell = F.pmod(F.xxhash64("mark", "salt"), F.lit(cells).cast("long"))
-    placed = placed.withColumn("__cell", F.col("bucket") * F.lit(cells).cast("long") + cell)
-    before = numbered_before(placed.groupBy(F.col("__cell").alias("bucket")).agg(F.count("*").alias("n")))
+
+    def place(x: DataFrame) -> DataFrame:
+        at = x.select("*", index.alias("bucket"))
+        return at.select("*", F.get(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("bucket")).alias("boundary"), (F.col("bucket") * F.lit(cells).cast("long") + cell).alias("__cell"))
+
+    placed = place(rows)
+    before = numbered_before(place(light).groupBy(F.col("__cell").alias("bucket")).agg(F.count("*").alias("n")))
     own = Window.partitionBy("__cell").orderBy("mark", "__key", "salt")
     ranked = placed.withColumn("__i", F.row_number().over(own) - 1)
     at = F.col("before") - F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("bucket")) + F.col("__i")
