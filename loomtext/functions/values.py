@@ -70,6 +70,9 @@ INJECTIONS = {
 # The query for guidance on prose.
 GUIDANCE = "sentence rhythm breath group pace emphasis noun stacking"
 
+# The words of a query for a rewrite's context, and how many characters of the text it takes.
+REWRITE, REWRITE_CHARS = "rhythm cadence flow", 500
+
 # How the corpus says that evidence is weak, and the mark of a definition that names its ground.
 WEAK_EVIDENCE = ("no universal words-per-minute target", "not universal facts", "there is no universal")
 GROUNDED = "**Grounded in:**"

@@ -49,9 +49,10 @@ def dense_topk(
     Distances are rounded to 6 places before they are ranked.
     """
     flag = F.lit(True) if when is None else F.coalesce(F.col(when), F.lit(False))
-    rows = queries.select("query_id", "embedding", flag.alias("strict")).where(F.col("embedding").isNotNull())
+    # Fresh names, so that queries taken from the corpus itself can meet it.
+    rows = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("embedding"), flag.alias("strict")).where(F.col("embedding").isNotNull())
     fits = F.lit(True) if admissible is None else F.coalesce(admissible, F.lit(False))
-    corpus = vectors.select("chunk_id", "embedding", fits.alias("fits")).where(F.col("embedding").isNotNull())
+    corpus = vectors.select(F.col("chunk_id").alias("chunk_id"), F.col("embedding").alias("embedding"), fits.alias("fits")).where(F.col("embedding").isNotNull())
     if when is None:
         corpus = corpus.where("fits")
     size = rows.agg(F.coalesce(F.sum(F.size("embedding").cast("long") * 8), F.lit(0))).first()[0]

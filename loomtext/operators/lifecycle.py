@@ -12,7 +12,7 @@ from loomtext.settings import Settings, WriteRefused, allowed_collection, check_
 
 # Limits and verdicts.
 MOST_STALE, SHOWN_TO_ADD, MOST_NOTE = 200, 50, 500
-VERDICTS = ("helpful", "unhelpful", "incorrect", "unsafe")
+VERDICTS = ("useful", "irrelevant", "wrong", "negative_leak")
 MOST_DELTAS = 16
 CHUNK_ID = re.compile(r"^[a-f0-9]{16}_\d+$")
 
@@ -132,24 +132,75 @@ class Store:
         check_write(self.settings, confirm)
         return self.write(name, delete(self.read(name), ids), confirm)
 
+    def merge(self, name: str, rows: DataFrame, gone: DataFrame, confirm: bool = True) -> int:
+        """Rows in place of those of the same id, and the ids in ``gone`` left out, as one version."""
+        return self.write(name, upsert(self.read(name), rows).join(gone.select("id").distinct(), "id", "left_anti"), confirm)
+
+    def append(self, name: str, rows: DataFrame, confirm: bool = True) -> int:
+        return self.delta(name, rows, confirm)
+
     def fetch(self, name: str, ids: list[str]) -> DataFrame:
         return self.read(name).where(F.col("id").isin(ids) if ids else F.lit(False))
 
     def snapshot(self, name: str, to: str) -> dict:
-        """A copy with a manifest, read again and compared; raises unless rows and digest agree."""
-        rows = self.read(name)
-        rows.write.mode("errorifexists").parquet(to)
-        took, made = digest(rows), digest(self.spark.read.parquet(to))
-        if took != made:
-            raise RuntimeError("BACKUP_FAILED")
-        return {"path": to, "rows": made[0], "digest": made[1], "verified": True}
+        return snapshot(self.read(name), to)
 
 
 def digest(rows: DataFrame) -> tuple[int, str]:
-    """Row count and an order-free digest of the rows."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(rows.columns)])
-    got = rows.agg(F.count("*"), F.bit_xor(h), F.sum((h % 1000003).cast("long"))).first()
-    return got[0], f"{got[1]}:{got[2]}"
+    """Row count and an order-free digest of the rows: sums of the four parts of each row's SHA-256, so that repeated rows count as often as they occur."""
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]), {"ignoreNullFields": "false"})
+    h = F.sha2(text, 256)
+    parts = [F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
+    got = rows.agg(F.count("*"), *parts).first()
+    return got[0], ":".join(str(x or 0) for x in got[1:])
+
+
+def tree(spark: SparkSession, path: str) -> DataFrame:
+    """``name, size, sha256`` of every data file under ``path``: the leaves of its hash tree. Files are read by the executors."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    base = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/")
+    name = F.substring(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), len(base) + 2, 1 << 20)
+    return files.select(name.alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def root(leaves: DataFrame) -> str:
+    """The digest of the leaves in order of their names, through folders of 256 by a hash of the name."""
+    line = F.concat_ws("\t", "name", F.col("size").cast("string"), "sha256")
+    inner = leaves.groupBy(F.pmod(F.crc32(F.col("name").cast("binary")), F.lit(256)).alias("f")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h"))
+    top = inner.agg(F.sha2(F.coalesce(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\t", F.col("f").cast("string"), "h"))), "\n"), F.lit("")), 256))  # 256 rows at most
+    return top.first()[0]
+
+
+def snapshot(rows: DataFrame, to: str) -> dict:
+    """A copy of ``rows`` with a manifest beside it; raises unless what was written reads back the same."""
+    spark = rows.sparkSession
+    rows.write.mode("errorifexists").parquet(f"{to}/rows")
+    took, made = digest(rows), digest(spark.read.parquet(f"{to}/rows"))
+    if took != made:
+        raise RuntimeError("BACKUP_FAILED")
+    tree(spark, f"{to}/rows").write.parquet(f"{to}/leaves")
+    about = {"path": f"{to}/rows", "folder": to, "rows": made[0], "digest": made[1], "root": root(spark.read.parquet(f"{to}/leaves")), "verified": True}
+    spark.createDataFrame([(made[0], made[1], about["root"])], "rows long, digest string, root string").coalesce(1).write.json(f"{to}/manifest")
+    return about
+
+
+def damaged(spark: SparkSession, path: str) -> DataFrame:
+    """``name, error`` for each file of a snapshot that is missing, added or altered, and for a manifest that doesn't fit its leaves."""
+    there, want = tree(spark, f"{path}/rows"), spark.read.parquet(f"{path}/leaves")
+    w = want.select("name", F.col("size").alias("s"), F.col("sha256").alias("h"))
+    both = there.join(w, "name", "full_outer")
+    error = F.when(F.col("h").isNull(), "added").when(F.col("sha256").isNull(), "missing").when((F.col("sha256") != F.col("h")) | (F.col("size") != F.col("s")), "altered")
+    found = both.select("name", error.alias("error")).where(F.col("error").isNotNull())
+    said = spark.read.json(f"{path}/manifest").first()["root"]
+    return found.unionByName(spark.createDataFrame([("manifest", "altered")] if root(want) != said else [], "name string, error string"))
+
+
+def restore(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a snapshot, once its files are as they were written; raises otherwise."""
+    bad = damaged(spark, path).orderBy("name").limit(5).collect()
+    if bad:
+        raise RuntimeError("BACKUP_FAILED: " + ", ".join(f"{r['name']} {r['error']}" for r in bad))
+    return spark.read.parquet(f"{path}/rows")
 
 
 def feedback(requests: DataFrame, chunks: DataFrame, collection: str = "chunks") -> DataFrame:

@@ -34,13 +34,16 @@ def binaries(files: DataFrame) -> DataFrame:
 
 
 def uncovered(files: DataFrame, sources: DataFrame) -> DataFrame:
-    """Files under no declared path. The sources are a hand-kept list, each a prefix of the files it covers."""
+    """Files under no declared path. A declared path is a file's start, letter by letter; files meet only those of a length that some source has."""
     low = F.lower("path")
     text = F.lit(False)
     for s in v.TEXT_SUFFIXES:
         text = text | low.endswith(s)
-    declared = sources.select(F.col("path").alias("__prefix"))
-    bad = files.where(text).join(declared, F.col("path").startswith(F.col("__prefix")), "left_anti")
+    declared = sources.where("path is not null").select(F.col("path").alias("__prefix")).distinct()
+    sizes = declared.agg(F.array_sort(F.collect_set(F.length("__prefix"))).alias("sizes"))  # one row: there are few lengths
+    starts = files.where(text).crossJoin(F.broadcast(sizes)).select("path", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("n"))
+    covered = starts.select("path", F.expr("substring(path, 1, n)").alias("start")).join(declared, F.col("start") == F.col("__prefix"), "left_semi")
+    bad = files.where(text).join(covered.select("path").distinct(), "path", "left_anti")
     return _finding(bad, "coverage", "FAIL", F.lit("no source declares this file"), F.col("path"))
 
 
@@ -92,5 +95,35 @@ def lint(sources: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
     return out
 
 
+def sources_of(chunks: DataFrame) -> DataFrame:
+    """``source_id, chunks, files``: chunks of each source and its files, sorted. A source's files are gathered, not its chunks."""
+    files = chunks.groupBy("source_id", "source_path").agg(F.count("*").alias("n"))
+    return files.groupBy("source_id").agg(F.sum("n").alias("chunks"), F.array_sort(F.collect_list("source_path")).alias("files"))
+
+
+def full_report(findings: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``section, name, n, share, files, severity, message, location``: composition by type, chunks and files by source, the findings, and totals.
+
+    The totals are chunks, failures, warnings, and ``exit_status``: 1 if there is a failure.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def part(rows: DataFrame, section: str, name: Column, n: Column | None = None, **more: Column) -> DataFrame:
+        kinds = {"share": "double", "files": "array<string>", "severity": "string", "message": "string", "location": "string"}
+        own = [more.get(c, none(k)).cast(k).alias(c) for c, k in kinds.items()]
+        return rows.select(F.lit(section).alias("section"), name.alias("name"), (none("long") if n is None else n.cast("long")).alias("n"), *own)
+
+    sums = report(findings).crossJoin(F.broadcast(chunks.agg(F.count("*").alias("chunks"))))  # one row each
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), x.cast("long").alias("x")) for k, x in (("chunks", F.col("chunks")), ("failures", F.col("failures")), ("warnings", F.col("warnings")), ("exit_status", (F.col("failures") > 0).cast("int")))])
+    out = part(composition(chunks), "type", F.col("doc_type"), F.col("n"), share=F.col("share"))
+    out = out.unionByName(part(sources_of(chunks), "source", F.col("source_id"), F.col("chunks"), files=F.col("files")))
+    out = out.unionByName(part(findings, "finding", F.col("check"), None, severity=F.col("severity"), message=F.col("message"), location=F.col("location")))
+    return out.unionByName(part(sums.select(F.inline(entries)), "total", F.col("k"), F.col("x")))
+
+
+def exit_status(findings: DataFrame) -> int:
+    return int(not findings.where("severity = 'FAIL'").isEmpty())
+
+
 def report(findings: DataFrame) -> DataFrame:
     return findings.agg(F.count_if(F.col("severity") == "FAIL").alias("failures"), F.count_if(F.col("severity") == "WARN").alias("warnings"))

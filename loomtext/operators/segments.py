@@ -241,6 +241,14 @@ def open_segments(spark: SparkSession, path: str, version: int | None = None) ->
     return Segments(spark, path, number, content)
 
 
+def open_index(spark: SparkSession, path: str) -> tuple[Segments | None, str | None]:
+    """The index, or None and what is wrong with it: search then goes on with the dense arm alone."""
+    try:
+        return open_segments(spark, path), None
+    except LexicalIndexError as e:
+        return None, str(e)
+
+
 # --- search -------------------------------------------------------------------------------------
 
 

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as tx
 from loomtext.functions import values as v
-from loomtext.operators import chunking, citations, dense, evaluate, flow, fusion, identity, lexical, lifecycle, lint, policy, preservation, security
+from loomtext.operators import cells, chunking, citations, dense, embed, evaluate, flow, fusion, identity, lexical, lifecycle, lint, policy, preservation, security, segments
 from loomtext.operators.filters import compile_filter
+from loomtext.operators.keyed import KeyedStore
 from loomtext.plans import views as w
 from loomtext.plans.search import search
-from loomtext.settings import Retrieval
+from loomtext.settings import Retrieval, Settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,7 +41,7 @@ def index_of(rows: DataFrame) -> lexical.LexicalIndex:
     return lexical.build_index(rows.select(F.col("id").alias("chunk_id"), "ord", "text"))
 
 
-def stored_index(spark: SparkSession, d: str) -> lexical.LexicalIndex:
+def stored_index(spark: SparkSession, d: str) -> segments.Segments:
     return w.stored(spark, d).index
 
 
@@ -57,6 +58,33 @@ def dense_topk(spark, d):
     return dense.dense_topk(qs, vecs, 24)
 
 
+@query(w.with_(w.CHUNKS, w.VECTORS, w.dense_sql("allq")) + "SELECT query_id, chunk_id, distance, dense_rank FROM dense")
+def dense_grid(spark, d):
+    """The same as many queries would take: blocks of queries meet blocks of the corpus."""
+    rows, vecs, qs = corpus(spark, d)
+    return dense.dense_topk(qs, vecs, 24, query_bytes=4096, corpus_bytes=1 << 16)
+
+
+@query(w.with_(w.CHUNKS, w.VECTORS, w.dense_sql("allq")) + "SELECT query_id, chunk_id, distance, dense_rank FROM dense")
+def ann_all_cells(spark, d):
+    rows, vecs, qs = corpus(spark, d)
+    return cells.ann_topk(qs, w.cell_index(spark, d), 24)
+
+
+@query(w.with_(w.CHUNKS, w.VECTORS, w.dense_sql("allq")) + "SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS reached FROM dense")
+def ann_recall(spark, d):
+    """Whether a search of the cells that calibration chose finds nine tenths of all queries' exact neighbours."""
+    rows, vecs, qs = corpus(spark, d)
+    index = cells.calibrate(qs, w.cell_index(spark, d), w.RECALL)
+    return cells.recall(cells.ann_topk(qs, index, 24), dense.dense_topk(qs, vecs, 24)).select("queries", "wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query(w.with_(w.CHUNKS, w.VECTORS) + "SELECT count(*) AS indexed, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS orphans FROM vecs")
+def ann_health(spark, d):
+    rows, vecs, qs = corpus(spark, d)
+    return cells.health(w.cell_index(spark, d), vecs.select("chunk_id")).select("indexed", "missing", "orphans")
+
+
 @query(w.with_(w.CHUNKS, w.VECTORS, w.GOOD, w.INDEX, w.lexical_sql("good")) + "SELECT query_id, chunk_id, score, lexical_rank FROM lexical")
 def lexical_topk(spark, d):
     rows, vecs, qs = corpus(spark, d)
@@ -108,14 +136,28 @@ def rejected_queries(spark, d):
     return split_queries(qs, Retrieval().most_query_chars)[1].select("query_id", F.length("query").cast("long").alias("n"))
 
 
-TERM_STATS = w.INDEX.replace("toks AS (", "toks AS MATERIALIZED (").replace("postings AS (", "postings AS MATERIALIZED (").replace("raws AS (", "raws AS MATERIALIZED (")
+# Document frequencies need each chunk's terms once, and neither places nor neighbours of chunks.
+TERM_STATS = f"""freq AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({w.TERMS.replace('{}', 'text')})) AS term FROM texts) GROUP BY term),
+raws AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM freq, (SELECT count(*) AS n FROM texts))
+SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * avg(r) OVER () ELSE r END, 12) AS idf FROM raws"""
 
 
-@query(w.with_(w.CHUNKS, TERM_STATS) + "SELECT term, df, idf FROM term_stats")
+@query("WITH texts AS (SELECT coalesce(text, '') AS text FROM documents UNION ALL SELECT coalesce(text, '') FROM benchmark),\n" + TERM_STATS)
 def bm25_term_stats(spark, d):
     return index_of(w.stored(spark, d).chunks).term_stats
 
 
+@query("WITH texts AS (SELECT coalesce(text, '') || CASE WHEN doc_id % 10 = 3 THEN ' changed' ELSE '' END AS text FROM documents WHERE doc_id % 10 <> 4 UNION ALL SELECT coalesce(text, '') FROM benchmark),\n" + TERM_STATS)
+def lexical_after_changes(spark, d):
+    """Statistics of an index that was built first and changed later: a tenth of the chunks have another text, a tenth are gone."""
+    rows = w.stored(spark, d).chunks.select(F.col("id").alias("chunk_id"), "ord", "text", "doc_id", "source_id")
+    own, k = F.col("source_id") != "benchmark", F.col("doc_id") % 10
+    path = w.scratch(spark, "changed-index")
+    segments.put(spark, path, rows)
+    old, new = rows.where(own & k.isin(3, 4)), rows.where(own & (k == 3)).withColumn("text", F.concat("text", F.lit(" changed")))
+    return segments.put(spark, path, new, old).term_stats
+
+
 @query(w.with_(w.CHUNKS, w.INDEX) + "SELECT chunk_id, CAST(ord AS BIGINT) AS ord, dl FROM doc_stats")
 def bm25_doc_stats(spark, d):
     return index_of(w.stored(spark, d).chunks).doc_stats
@@ -700,13 +742,13 @@ def ingest_stats(spark, d):
 
 @query(
     w.with_(w.CHUNKS)
-    + """, r AS (SELECT id AS chunk_id, CASE WHEN doc_id % 4 = 0 THEN 'bad' ELSE 'helpful' END AS verdict, doc_id FROM chunks UNION ALL SELECT 'xyz', 'helpful', 0 UNION ALL SELECT '0123456789abcdef_0', 'helpful', 0)
+    + """, r AS (SELECT id AS chunk_id, CASE WHEN doc_id % 4 = 0 THEN 'bad' ELSE 'useful' END AS verdict, doc_id FROM chunks UNION ALL SELECT 'xyz', 'useful', 0 UNION ALL SELECT '0123456789abcdef_0', 'useful', 0)
 SELECT chunk_id AS about_chunk_id, CASE WHEN chunk_id = 'xyz' OR verdict = 'bad' THEN 'INVALID_PARAMS' WHEN chunk_id = '0123456789abcdef_0' THEN 'NOT_FOUND' END AS error, verdict || ': fine' AS text FROM r"""
 )
 def feedback_rows(spark, d):
     rows = w.chunks(spark, d)
-    r = rows.select(F.col("id").alias("chunk_id"), F.when(F.col("doc_id") % 4 == 0, "bad").otherwise("helpful").alias("verdict"))
-    r = r.union(spark.createDataFrame([("xyz", "helpful"), ("0123456789abcdef_0", "helpful")], "chunk_id string, verdict string"))
+    r = rows.select(F.col("id").alias("chunk_id"), F.when(F.col("doc_id") % 4 == 0, "bad").otherwise("useful").alias("verdict"))
+    r = r.union(spark.createDataFrame([("xyz", "useful"), ("0123456789abcdef_0", "useful")], "chunk_id string, verdict string"))
     r = r.withColumns({"note": F.lit("fine"), "recorded_at": F.lit("2024-01-01").cast("timestamp")})
     return lifecycle.feedback(r, rows).select("about_chunk_id", "error", "text")
 
@@ -717,6 +759,110 @@ def point_fetch(spark, d):
     return rows.join(rows.where("source_id = 'benchmark'").select("id"), "id", "left_semi").select("id", "text")
 
 
+OPEN = Settings(dimension=2, writes_enabled=True, disk_floor_gb=0.0)
+
+
+def letters(texts: list[str]) -> list[list[float]]:
+    """A model for queries about batches and commits: a text's length and its letters e."""
+    return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+
+@query("SELECT doc_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS chars, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS es FROM documents")
+def embed_batches(spark, d):
+    docs = w.table(spark, d, "documents").select("doc_id", "text")
+    return embed.embed(docs, letters, 2).select("doc_id", F.get("embedding", F.lit(0)).cast("double").alias("chars"), F.get("embedding", F.lit(1)).cast("double").alias("es"))
+
+
+def orders_store(spark, d) -> KeyedStore:
+    """Orders as a collection in key buckets, with a tenth of them given another status later."""
+    store = KeyedStore(spark, w.scratch(spark, "orders"), Settings(collections=("orders",), writes_enabled=True, disk_floor_gb=0.0), buckets=16)
+    o = w.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("s"))
+    store.create("orders", o)
+    store.add("orders", o.where("s = 'P'").withColumn("s", F.lit("new")))
+    store.delta("orders", o.where("s = 'F' AND CAST(id AS BIGINT) % 3 = 0").withColumn("s", F.lit("late")))
+    return store
+
+
+KEYED = "SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderstatus = 'P' THEN 'new' WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'late' ELSE o_orderstatus END AS s FROM orders"
+
+
+@query(KEYED)
+def keyed_upsert(spark, d):
+    return orders_store(spark, d).read("orders")
+
+
+@query(f"SELECT id, s FROM ({KEYED}) WHERE CAST(id AS BIGINT) NOT IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10)")
+def keyed_remove(spark, d):
+    """Ten rows go, the first by key: a hand-given list."""
+    store = orders_store(spark, d)
+    ids = [str(r[0]) for r in w.table(spark, d, "orders").select("o_orderkey").orderBy("o_orderkey").limit(10).collect()]
+    store.remove("orders", ids)
+    return store.read("orders")
+
+
+@query(f"SELECT id, s FROM ({KEYED}) WHERE CAST(id AS BIGINT) IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10)")
+def keyed_fetch(spark, d):
+    ids = [str(r[0]) for r in w.table(spark, d, "orders").select("o_orderkey").orderBy("o_orderkey").limit(10).collect()]
+    return orders_store(spark, d).fetch("orders", ids)
+
+
+@query(
+    w.with_(w.CHUNKS)
+    + """, old AS (SELECT id FROM chunks WHERE doc_id % 10 <> 3), c AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 10 = 3) AS fresh, count(*) FILTER (doc_id % 10 = 5) AS renamed FROM chunks WHERE doc_id % 10 <> 4)
+SELECT n AS written, fresh + renamed AS changed, fresh AS embedded, (SELECT count(*) FROM chunks) AS collection_count, (SELECT count(*) FROM chunks) AS lexical_count FROM c"""
+)
+def commit_changes(spark, d):
+    """A re-index in which a tenth of the chunks are new, a tenth have other columns, and a tenth are no longer wanted but stay."""
+    from loomtext.plans.commit import commit
+
+    rows, k, folder = w.stored(spark, d).chunks.drop("ord"), F.col("doc_id") % 10, w.scratch(spark, "commits")
+    store = KeyedStore(spark, f"{folder}/store", OPEN, buckets=16)
+    commit(store, rows.where(k != 3), OPEN, letters, folder, confirm=True)
+    wanted = rows.where(k != 4).withColumn("source_title", F.when(k == 5, "renamed").otherwise(F.col("source_title")))
+    done = commit(store, wanted, OPEN, letters, folder, confirm=True)
+    names = ("written", "changed", "embedded", "collection_count", "lexical_count")
+    return spark.createDataFrame([tuple(getattr(done, n) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@query(
+    w.with_(w.CHUNKS)
+    + "SELECT id AS about_chunk_id, CASE WHEN doc_id % 4 = 1 THEN 'useful' ELSE 'wrong' END AS verdict FROM chunks WHERE doc_id % 4 IN (1, 2)"
+)
+def feedback_stored(spark, d):
+    """Feedback in its own collection after two calls; what is refused isn't stored, and the corpus stays as it is."""
+    from loomtext.plans.engine import Engine
+
+    c = w.stored(spark, d)
+    e = Engine(spark, c.chunks, c.vectors, c.index, OPEN, KeyedStore(spark, w.scratch(spark, "feedback"), OPEN, buckets=4))
+    k = F.col("doc_id") % 4
+    for part, verdict in ((k == 1, "useful"), (k == 2, "wrong"), (k == 3, "bad")):
+        asked = c.chunks.where(part).select(F.col("id").alias("chunk_id"), F.lit(verdict).alias("verdict"), F.lit("n").alias("note"), F.lit("2024-01-01").cast("timestamp").alias("recorded_at"))
+        e.feedback(asked, confirm=True)
+    return e.store.read("feedback").select("about_chunk_id", "verdict")
+
+
+@query(w.with_(w.CHUNKS) + "SELECT id, doc_type, token_count FROM chunks")
+def snapshot_restored(spark, d):
+    """What comes back from a verified copy."""
+    to = w.scratch(spark, "snapshot")
+    lifecycle.snapshot(w.stored(spark, d).chunks.select("id", "doc_type", "token_count"), to)
+    return lifecycle.restore(spark, to)
+
+
+@query(
+    w.with_(w.CHUNKS)
+    + f""", f AS (SELECT ord FROM (SELECT ord, row_number() OVER (PARTITION BY trim(text, {w.BLANK}) ORDER BY ord) AS i FROM chunks) WHERE i > 1)
+SELECT 'type' AS section, doc_type AS name, count(*) AS n, CAST(NULL AS VARCHAR) AS files FROM chunks GROUP BY doc_type
+UNION ALL SELECT 'source', source_id, count(*), (SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT DISTINCT x.source_path AS p FROM chunks x WHERE x.source_id = c.source_id)) FROM chunks c GROUP BY source_id
+UNION ALL SELECT 'finding', 'duplicates', NULL, NULL FROM f
+UNION ALL SELECT 'total', k, x, NULL FROM (SELECT unnest(['chunks', 'failures', 'warnings', 'exit_status']) AS k, unnest([(SELECT count(*) FROM chunks), (SELECT count(*) FROM f), 0, CASE WHEN (SELECT count(*) FROM f) > 0 THEN 1 ELSE 0 END]) AS x)"""
+)
+def lint_report(spark, d):
+    rows = w.chunks(spark, d).withColumn("location", F.col("ord").cast("string"))
+    found = lint.repeated(rows, F.sha2(tx.strip(F.col("text")), 256), "duplicates")
+    return lint.full_report(found, rows).select("section", "name", "n", F.array_join("files", ",").alias("files"))
+
+
 # --- evaluation -------------------------------------------------------------------------------
 
 CASES = "cases AS (SELECT query_id AS case_id, ['Source src' || (query_id % 7), 'source benchmark'] AS expect_any FROM good)"

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.operators import lexical, lifecycle
+from loomtext.operators import lifecycle, segments
 from loomtext.operators.embed import Embedder, embed
+from loomtext.operators.keyed import KeyedStore
+from loomtext.operators.lexical import LexicalIndexError
 from loomtext.settings import Settings, check_write
 
+#: Columns that differ from run to run and are no change of a chunk.
+VOLATILE = ("ingested_at", "embedding", "ord")
+
 
 @dataclass(frozen=True)
 class Committed:
@@ -21,6 +27,8 @@ class Committed:
     version: int
     index_path: str
     backup: dict | None
+    changed: int = 0
+    embedded: int = 0
 
 
 def corpus_order(chunks: DataFrame) -> DataFrame:
@@ -33,38 +41,83 @@ def corpus_order(chunks: DataFrame) -> DataFrame:
     return chunks.drop("ord").join(placed, "id")
 
 
+def place(row: DataFrame) -> Column:
+    """A chunk's place in the corpus as a string that sorts as :func:`corpus_order` counts, and that other chunks don't change."""
+    return F.concat(F.coalesce(row["source_path"], F.lit("")), F.lit("\x00"), F.lpad(row["chunk_index"].cast("string"), 12, "0"), F.lit("\x00"), row["id"])
+
+
+def compared(wanted: DataFrame, there: DataFrame | None) -> DataFrame:
+    """``wanted`` with ``__new``: "all" for rows to embed, "some" for rows of which only other columns differ, null for rows that are there as they are."""
+    if there is None:
+        return wanted.withColumn("__new", F.lit("all"))
+    names = [c for c in wanted.columns if c not in (*VOLATILE, "id")]
+    cast = lambda df, c: df[c].cast(wanted.schema[c].dataType) if c in df.columns else F.lit(None).cast(wanted.schema[c].dataType)
+    row = lambda df: F.sha2(F.to_json(F.struct(*[cast(df, c).alias(c) for c in names]), {"ignoreNullFields": "false"}), 256)
+    old = there.select(F.col("id").alias("__id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("__t"), row(there).alias("__r"))
+    kind = F.when(F.col("__t").isNull() | (F.col("__t") != F.sha2(F.coalesce("text", F.lit("")), 256)), "all").when(F.col("__r") != row(wanted), "some")
+    return wanted.join(old, wanted["id"] == old["__id"], "left").select(*[wanted[c] for c in wanted.columns], kind.alias("__new"))
+
+
 def commit(
-    store: lifecycle.Store, wanted: DataFrame, settings: Settings, embedder: Embedder, folder: str, name: str = "chunks",
+    store: lifecycle.Store | KeyedStore, wanted: DataFrame, settings: Settings, embedder: Embedder, folder: str, name: str = "chunks",
     delete_stale: bool = False, partial: bool = False, confirm: bool = False,
 ) -> Committed:
     """Bring the collection ``name`` to what is ``wanted``. Nothing is written unless all gates are open.
 
-    A verified backup comes first if rows will be deleted. New texts are
-    embedded, then one new version of the collection takes their rows in and,
-    with ``delete_stale``, leaves stale ones out. The lexical index is built
-    last, from what is stored, so that it can't name chunks that are gone.
+    A verified backup comes first if rows will be deleted. ``wanted`` is worked
+    out once. Only chunks whose text is new are embedded; those of which other
+    columns differ keep their vectors, and those that are there as they are are
+    not written. Changed rows go into the collection as one new version that,
+    with ``delete_stale``, leaves stale ones out. The lexical index takes a
+    segment with what has changed, from what is stored, so that it can't name
+    chunks that are gone; texts that stay are not read for it.
     """
     spark = wanted.sparkSession
     check_write(settings, confirm)
     there = store.read(name) if store.exists(name) else None
-    stale = 0
-    if there is not None:
-        changes = lifecycle.diff(wanted, there)
-        stale = changes.where("action = 'stale'").count()
-    lifecycle.guard(stale, delete_stale, partial)
-    gone = stale if delete_stale else 0
-    number = max([0, *store.versions(name), *store.versions(name, "d")]) + 1
-    backup = store.snapshot(name, f"{folder}/backup-{name}-v{number}") if gone else None
-    rows = embed(wanted, embedder, settings.dimension)
-    after = rows if there is None else lifecycle.upsert(there, rows)
-    if gone:
-        after = after.join(wanted.select("id").distinct(), "id", "left_semi")
-    version = store.write(name, after, confirm)
-    stored = store.read(name, version)
-    path = f"{folder}/index-{name}-v{version}"
-    lexical.save_index(lexical.build_index(corpus_order(stored).select(F.col("id").alias("chunk_id"), "ord", "text")), path)
-    indexed = lexical.load_index(spark, path).doc_stats.count()
-    return Committed(wanted.count(), gone, stored.count(), indexed, version, path, backup)
+    staged = f"{folder}/staged-{uuid.uuid4().hex}"
+    compared(wanted, there).write.parquet(staged)
+    try:
+        rows = spark.read.parquet(staged)
+        changed = rows.where(F.col("__new").isNotNull())
+        ids = rows.select("id").distinct()
+        gone = there.join(ids, "id", "left_anti") if there is not None else None
+        stale = gone.count() if gone is not None else 0
+        lifecycle.guard(stale, delete_stale, partial)
+        deleted = stale if delete_stale else 0
+        backup = store.snapshot(name, f"{folder}/backup-{name}-{uuid.uuid4().hex}") if deleted else None
+        out_of_index = None
+        if there is not None:  # texts as they were, of what is replaced or goes; kept before the store moves on
+            fresh = changed.where("__new = 'all'").select("id").distinct()
+            away = there.join(fresh, "id", "left_semi")
+            away = away.unionByName(gone, allowMissingColumns=True) if deleted else away
+            away.select(F.col("id").alias("chunk_id"), place(away).alias("ord"), "text").write.parquet(f"{staged}-gone")
+            out_of_index = spark.read.parquet(f"{staged}-gone")
+        embed(changed.where("__new = 'all'").drop("__new"), embedder, settings.dimension).write.parquet(f"{staged}-new")  # the model sees a text once
+        new = spark.read.parquet(f"{staged}-new")
+        if there is not None:
+            held = there.select(F.col("id").alias("__id"), "embedding")
+            some = changed.where("__new = 'some'").drop("__new")
+            new = new.unionByName(some.join(held, some["id"] == held["__id"]).drop("__id"), allowMissingColumns=True)
+            version = store.merge(name, new, gone.select("id") if deleted else ids.limit(0), confirm)
+        else:
+            version = store.write(name, new, confirm)
+        stored = store.read(name, version)
+        path = f"{folder}/index-{name}"
+        added = stored.join(changed.where("__new = 'all'").select("id").distinct(), "id", "left_semi")
+        if there is not None and segments.open_index(spark, path)[0] is None:
+            added, out_of_index = stored, None  # a collection that had no index yet
+        try:
+            texts = added.select(F.col("id").alias("chunk_id"), place(added).alias("ord"), "text")
+            indexed = segments.put(spark, path, texts, out_of_index, settings.retrieval.epsilon).content["n"]
+        except LexicalIndexError:  # nothing is left
+            indexed = 0
+        sums = rows.agg(F.count("*"), F.count("__new"), F.count_if(F.col("__new") == "all")).first()
+    finally:
+        for p in (staged, f"{staged}-gone", f"{staged}-new"):
+            at = spark._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return Committed(sums[0], deleted, stored.count(), indexed, version, path, backup, sums[1], sums[2])
 
 
 def vectors_of(stored: DataFrame) -> DataFrame:

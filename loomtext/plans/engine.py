@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as tx
 from loomtext.functions import values as v
-from loomtext.operators import citations, flow, lexical, lifecycle, preservation, security
-from loomtext.operators.embed import Embedder, checked
+from loomtext.operators import citations, flow, lexical, lifecycle, preservation, security, segments
+from loomtext.operators.embed import Embedder, embed
 from loomtext.operators.filters import FilterError
+from loomtext.operators.keyed import KeyedStore
 from loomtext.plans.commit import Committed, commit
 from loomtext.plans.ingest import write_manifest
 from loomtext.plans.search import SearchResult, search
@@ -43,6 +44,12 @@ class Analysis:
     guidance: Guidance
 
 
+@dataclass(frozen=True)
+class Rewrite:
+    pairs: DataFrame  # the pairs with their verdicts, error and target
+    guidance: Guidance
+
+
 @dataclass
 class Engine:
     """``index`` may be None, with ``lexical_error``: search then runs on vectors alone. Commits need ``store``, ``embedder`` and ``folder``."""
@@ -50,9 +57,9 @@ class Engine:
     spark: SparkSession
     chunks: DataFrame
     vectors: DataFrame
-    index: lexical.LexicalIndex | None
+    index: lexical.LexicalIndex | segments.Segments | None
     settings: Settings
-    store: lifecycle.Store | None = None
+    store: lifecycle.Store | KeyedStore | None = None
     embedder: Embedder | None = None
     folder: str | None = None
     lexical_error: str | None = None
@@ -73,14 +80,12 @@ class Engine:
         ids = self.spark.createDataFrame([(chunk_id,)], "id string")
         return lifecycle.inspect(self.chunks, ids, include_neighbors)
 
-    def guidance(self, register: str | None = None) -> Guidance:
-        """Search the corpus for guidance on prose, for a register if one is named."""
+    def passages(self, queries: DataFrame) -> Guidance:
+        """Passages for a table of queries (query_id, query): embedded, searched, fenced and cited."""
         if self.embedder is None:
             raise ToolError("EMBEDDER_UNAVAILABLE")
-        asked = f"{register} {v.GUIDANCE}" if register else v.GUIDANCE
-        vector = checked(self.embedder([asked]), [asked], self.settings.dimension)[0].tolist()
-        queries = self.spark.createDataFrame([(0, asked, vector)], "query_id long, query string, embedding array<double>")
-        hits = self.search(queries).results.join(self.chunks.withColumnRenamed("id", "chunk_id"), "chunk_id")
+        asked = embed(queries.select("query_id", "query"), self.embedder, self.settings.dimension, "query")
+        hits = self.search(asked).results.join(self.chunks.withColumnRenamed("id", "chunk_id"), "chunk_id")
         for c in ("source_title", "license", "section_heading"):
             hits = hits if c in hits.columns else hits.withColumn(c, F.lit(None).cast("string"))
         for c in ("chunk_index", "chunk_total"):
@@ -88,6 +93,11 @@ class Engine:
         kinds = hits.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(tx.injection_kinds(F.coalesce("text", F.lit(""))))))).alias("kinds"))
         return Guidance(security.fence(hits), citations.build(hits), kinds)
 
+    def guidance(self, register: str | None = None) -> Guidance:
+        """Search the corpus for guidance on prose, for a register if one is named."""
+        asked = f"{register} {v.GUIDANCE}" if register else v.GUIDANCE
+        return self.passages(self.spark.createDataFrame([(0, asked)], "query_id long, query string"))
+
     def analyze(self, docs: DataFrame, text: str = "text", guidance: bool = False, register: str | None = None) -> DataFrame | Analysis:
         """Measures of each text; ``error`` for texts that are blank or too long. With ``guidance`` also passages about prose."""
         if guidance:
@@ -96,12 +106,26 @@ class Engine:
         error = F.when(F.coalesce(tx.strip(F.col(text)) == "", F.lit(True)), "INVALID_PARAMS").when(n > MOST_TEXT, "TEXT_TOO_LONG")
         return flow.analyze(docs.withColumn("error", error), text)
 
-    def rewrite(self, pairs: DataFrame, source: str = "source", rewrite: str = "rewrite", protected: str | None = None) -> DataFrame:
-        return preservation.accept_or_original(preservation.check(pairs, source, rewrite, protected), source, rewrite)
+    def rewrite(
+        self, pairs: DataFrame, source: str = "source", rewrite: str = "rewrite", protected: str | None = None, context: bool = False, target: str = "conversational", key: str = "query_id",
+    ) -> DataFrame | Rewrite:
+        """Each rewrite, or the source where it would lose something. With ``context`` also passages for each text and its ``target`` (one search
+        for all rows, which need an integer ``key``); blank or long texts get an ``error`` and neither."""
+        checked_pairs = preservation.accept_or_original(preservation.check(pairs, source, rewrite, protected), source, rewrite)
+        if not context:
+            return checked_pairs
+        n = F.greatest(F.length(source), F.coalesce(F.length(rewrite), F.lit(0)))
+        error = F.when(F.coalesce(tx.strip(F.col(source)) == "", F.lit(True)), "INVALID_PARAMS").when(n > MOST_TEXT, "TEXT_TOO_LONG")
+        asked = pairs.where(error.isNull()).select(F.col(key).alias("query_id"), F.concat(F.lit(f"{target} {v.REWRITE}: "), F.substring(source, 1, v.REWRITE_CHARS)).alias("query"))
+        return Rewrite(checked_pairs.withColumns({"error": error, "target": F.lit(target)}), self.passages(asked))
 
     def feedback(self, requests: DataFrame, confirm: bool = False) -> DataFrame:
+        """The requests as rows, with ``error`` for those refused. The others are appended to the feedback collection of the store, if there is one; the corpus itself never changes."""
         check_write(self.settings, confirm)
-        return lifecycle.feedback(requests, self.chunks)
+        rows = lifecycle.feedback(requests, self.chunks)
+        if self.store is not None:
+            self.store.append("feedback", rows.where("error IS NULL").drop("error"), confirm)
+        return rows
 
     def reindex(self, wanted: DataFrame, dry_run: bool = True, partial: bool = False, delete_stale: bool = False, confirm: bool = False, stamp: str | None = None) -> DataFrame | Committed:
         """The plan of a re-index; when it is no dry run, it is committed to the store, and the engine then reads what is stored.
@@ -118,7 +142,7 @@ class Engine:
         done = commit(self.store, wanted, self.settings, self.embedder, self.folder, delete_stale=delete_stale, partial=partial, confirm=confirm)
         self.chunks = self.store.read("chunks", done.version)
         self.vectors = self.chunks.select(F.col("id").alias("chunk_id"), "embedding", *[c for c in ("doc_type",) if c in self.chunks.columns])
-        self.index, self.lexical_error = lexical.open_index(self.spark, done.index_path)
+        self.index, self.lexical_error = segments.open_index(self.spark, done.index_path)
         return done
 
 

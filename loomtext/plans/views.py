@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from dataclasses import dataclass
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as tx
 from loomtext.functions import values as v
-from loomtext.operators import lexical
+from loomtext.operators import cells, segments
 from loomtext.sources.files import shared_folder
 
 
@@ -66,25 +68,67 @@ class Corpus:
 
     chunks: DataFrame
     vectors: DataFrame
-    index: lexical.LexicalIndex
+    index: segments.Segments
 
 
 _stored: dict[tuple[str, str], str] = {}
 
 
+def corpus_key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The program and the tables, with sizes and times of change: a corpus is built again once its tables are others."""
+    said = [sf_dir]
+    for name in ("documents", "benchmark", "labels", "embeddings"):
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        said.append(f"{fs.getContentSummary(p).getLength()}@{fs.getFileStatus(p).getModificationTime()}")
+    return spark.sparkContext.applicationId, " ".join(said)
+
+
 def stored(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The corpus of the driver's tables. It is built and written once in a program, in the shared folder; all searches read it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The corpus of the driver's tables. It is built and written once in a program, in the shared folder, which is cleared when the program ends; all searches read it."""
+    key = corpus_key(spark, sf_dir)
     if key not in _stored:
         folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         chunks(spark, sf_dir).repartition(parts, "id").write.parquet(f"{folder}/chunks")
         rows = spark.read.parquet(f"{folder}/chunks")
         vectors(spark, sf_dir, rows).write.parquet(f"{folder}/vectors")
-        lexical.save_index(lexical.build_index(rows.select(F.col("id").alias("chunk_id"), "ord", "text")), f"{folder}/index")
+        segments.put(spark, f"{folder}/index", rows.select(F.col("id").alias("chunk_id"), "ord", "text"))
+        if not _stored:
+            atexit.register(_forget, spark)
         _stored[key] = folder
     folder = _stored[key]
-    return Corpus(spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/vectors"), lexical.load_index(spark, f"{folder}/index"))
+    return Corpus(spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/vectors"), segments.open_segments(spark, f"{folder}/index"))
+
+
+def _forget(spark: SparkSession) -> None:
+    for folder in _stored.values():
+        with contextlib.suppress(Exception):  # the session may be gone already, and its folder with it
+            p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Cells of the vector index over the driver's tables, and the share of exact neighbours that a search should find.
+CELLS, RECALL = 16, 0.93
+
+
+def cell_index(spark: SparkSession, sf_dir: str) -> cells.Cells:
+    """The vector index of the stored corpus, built once beside it; it probes all cells."""
+    c = stored(spark, sf_dir)
+    path = f"{_stored[corpus_key(spark, sf_dir)]}/cells"
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/centres/_SUCCESS")
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return cells.load(spark, path)
+    return cells.build(c.vectors.select("chunk_id", "embedding", "doc_type"), path, CELLS)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the program ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _stored:
+        atexit.register(_forget, spark)
+    _stored[(name, folder)] = folder
+    return folder
 
 
 def queries(vecs: DataFrame, rows: DataFrame) -> DataFrame:

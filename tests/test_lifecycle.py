@@ -234,7 +234,7 @@ def test_validate(spark):
 
 def test_feedback_and_health(spark):
     ch = ids(spark, "0123456789abcdef_0")
-    req = spark.createDataFrame([("0123456789abcdef_0", "helpful", "n" * 501), ("0123456789abcdef_1", "helpful", None), ("x", "helpful", ""), ("0123456789abcdef_0", "odd", "")], "chunk_id string, verdict string, note string")
+    req = spark.createDataFrame([("0123456789abcdef_0", "useful", "n" * 501), ("0123456789abcdef_1", "useful", None), ("x", "useful", ""), ("0123456789abcdef_0", "odd", "")], "chunk_id string, verdict string, note string")
     got = [r.error for r in lifecycle.feedback(req.withColumn("recorded_at", F.current_timestamp()), ch).collect()]
     assert sorted(got) == ["INVALID_PARAMS", "INVALID_PARAMS", "NOT_FOUND", "TEXT_TOO_LONG"]
     vec = spark.createDataFrame([("a", [1.0, 0.0])], "chunk_id string, embedding array<double>")
