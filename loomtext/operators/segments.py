@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as tx
 from loomtext.operators.lexical import LexicalIndexError
+from loomtext.sources.files import scratch
 from loomtext.sources.ledger import Ledger
 
 #: Postings in a block, levels of impact for a doubling, segments of like size that are merged, the ratio of like sizes.
@@ -34,6 +35,8 @@ BLOCK, STEPS, MERGE, LIKE = 512, 4, 4, 8
 SEED = 8
 #: Scores are rounded to 6 places; bounds are kept apart by more than that.
 MARGIN = 2e-6
+#: The share of postings that must be left out for it to be worth while.
+WORTH = 0.3
 
 
 @dataclass(frozen=True)
@@ -122,8 +125,7 @@ def write_blocks(posts: DataFrame, path: str, mean: float) -> None:
     blocks = cut.groupBy("term", "level", "slice").agg(
         F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("chunk_id", "ord", "tf", "dl")).alias("posts")
     )
-    parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks.repartitionByRange(parts, "term", "level", "slice").sortWithinPartitions("term", "level", "slice").write.parquet(path)
+    blocks.sortWithinPartitions("term", "level", "slice").write.parquet(path)  # dealt by block already; in order, so that a few terms are few row groups
 
 
 def write_segment(spark: SparkSession, path: str, added: DataFrame | None, gone: DataFrame | None) -> tuple[str, dict]:
@@ -258,7 +260,7 @@ def impact(tf: Column, dl: Column, mean: float, k1: float, b: float) -> Column:
 
 def topk(queries: DataFrame, index: Segments, k: int = 24, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``query_id, chunk_id, score, lexical_rank``: what scoring every posting would give (see :func:`lexical.bm25_topk`)."""
-    scored, _ = evaluated(queries, index, max(1, k), k1, b)
+    scored = evaluated(queries, index, max(1, k), k1, b)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("ord"))
     ranked = scored.where("score > 0").withColumn("lexical_rank", F.row_number().over(w).cast("long"))
     return ranked.where(F.col("lexical_rank") <= max(1, k)).select("query_id", "chunk_id", "score", "lexical_rank")
@@ -269,55 +271,69 @@ def weights(queries: DataFrame, index: Segments) -> DataFrame:
     return asked.join(index.term_stats, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
 
 
-def evaluated(queries: DataFrame, index: Segments, k: int, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
-    """Scores (query_id, chunk_id, ord, score) of all chunks that may be among the ``k`` best, and the plan of blocks that led to them."""
-    mean = index.avgdl
-    weighted = weights(queries, index)
-    blocks = index.blocks
+def listed(queries: DataFrame, index: Segments, k: int, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: for each query its lists of blocks (term, level) with weight, count, bound and whether to ``skip`` it; and the ``reach`` of each query."""
+    mean, blocks = index.avgdl, index.blocks
     bound = impact(F.col("max_tf"), F.col("min_dl"), mean, k1, b)
-    levels = blocks.groupBy("term", "level").agg(F.sum("n").alias("n"), F.max(bound).alias("bound"))
+    weighted = weights(queries, index)
+    needed = blocks.select("term", "level", "n", bound.alias("bound")).join(weighted.select("term").distinct(), "term", "left_semi")
+    levels = needed.groupBy("term", "level").agg(F.sum("n").alias("n"), F.max("bound").alias("bound"))
     lists = weighted.join(levels, "term").withColumn("most", F.greatest(F.col("weight") * F.col("bound"), F.lit(0.0)))
-    by_most = Window.partitionBy("query_id").orderBy(F.col("most").desc(), "term", "level")
-    before = by_most.rowsBetween(Window.unboundedPreceding, -1)
-    lists = lists.withColumn("seed", F.coalesce(F.sum("n").over(before), F.lit(0)) < SEED * k)
-
-    def hits(chosen: DataFrame) -> DataFrame:
-        """``query_id, chunk_id, ord, part`` of every posting of ``chosen`` (query_id, term, level, weight)."""
-        named = chosen.select("query_id", F.col("term").alias("t"), F.col("level").alias("l"), "weight")
-        met = blocks.join(named, (F.col("term") == F.col("t")) & (F.col("level") == F.col("l")))
-        each = met.select("query_id", "segment", "weight", F.explode("posts").alias("p")).select("query_id", "segment", "weight", "p.*")
-        return live(index, each).select("query_id", "chunk_id", "ord", (F.col("weight") * impact(F.col("tf"), F.col("dl"), mean, k1, b)).alias("part"))
-
-    def kth(rows: DataFrame, score: str) -> DataFrame:
-        best = Window.partitionBy("query_id").orderBy(F.col(score).desc())
-        return rows.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min(score)).alias("reach"))
-
-    first = hits(lists.where("seed")).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+    before = Window.partitionBy("query_id").orderBy(F.col("most").desc(), "term", "level").rowsBetween(Window.unboundedPreceding, -1)
+    lists = written(lists.withColumn("seed", F.coalesce(F.sum("n").over(before), F.lit(0)) < SEED * k), "lists")
+    first = hits(index, lists.where("seed"), k1, b).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
     # A term that counts against a chunk may take off as much as its greatest impact.
     against = lists.groupBy("query_id", "term").agg(F.min(F.least(F.col("weight") * F.col("bound"), F.lit(0.0))).alias("x")).groupBy("query_id").agg(F.sum("x").alias("against"))
-    reach = kth(first, "score").join(against, "query_id").select("query_id", F.greatest(F.col("reach") + F.col("against"), F.lit(0.0)).alias("reach"))
-    lists = lists.join(reach, "query_id", "left")
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+    kth = first.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
+    reach = written(kth.join(against, "query_id").select("query_id", F.greatest(F.col("kth") + F.col("against"), F.lit(0.0)).alias("reach")), "reach")
     # From the least bound on: what all blocks so far can add to one chunk is, for each term, the greatest bound among them.
     step = F.col("most") - F.coalesce(F.lag("most").over(Window.partitionBy("query_id", "term").orderBy("most", "level")), F.lit(0.0))
     rising = Window.partitionBy("query_id").orderBy("most", "term", "level").rowsBetween(Window.unboundedPreceding, 0)
-    lists = lists.withColumn("step", step).withColumn("upto", F.sum("step").over(rising))
-    lists = lists.withColumn("skip", F.coalesce(F.col("upto") < F.col("reach") - MARGIN, F.lit(False)))
+    ruled = lists.join(reach, "query_id", "left").withColumn("step", step).withColumn("upto", F.sum("step").over(rising))
+    return written(ruled.withColumn("skip", F.coalesce(F.col("upto") < F.col("reach") - MARGIN, F.lit(False))), "ruled"), reach
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    path = scratch(rows.sparkSession, f"lexical-{name}")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def hits(index: Segments, chosen: DataFrame, k1: float, b: float) -> DataFrame:
+    """``query_id, chunk_id, ord, part`` of every posting of ``chosen`` (query_id, term, level, weight)."""
+    named = chosen.select("query_id", F.col("term").alias("t"), F.col("level").alias("l"), "weight")
+    met = index.blocks.join(named, (F.col("term") == F.col("t")) & (F.col("level") == F.col("l")))
+    each = met.select("query_id", "segment", "weight", F.explode("posts").alias("p")).select("query_id", "segment", "weight", "p.*")
+    return live(index, each).select("query_id", "chunk_id", "ord", (F.col("weight") * impact(F.col("tf"), F.col("dl"), index.avgdl, k1, b)).alias("part"))
+
+
+def evaluated(queries: DataFrame, index: Segments, k: int, k1: float, b: float) -> DataFrame:
+    """Scores (query_id, chunk_id, ord, score) of all chunks that may be among the ``k`` best.
+
+    Where blocks to leave out hold less than WORTH of the postings, looking up
+    what they add costs more than it saves, and all blocks are scored.
+    """
+    lists, reach = listed(queries, index, k, k1, b)
+    saved = lists.agg(F.coalesce(F.sum(F.when(F.col("skip"), F.col("n"))) / F.sum("n"), F.lit(0.0))).first()[0]
+    whole = lambda rows: rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"), F.min("ord").alias("ord"))
+    if saved < WORTH:
+        return whole(hits(index, lists, k1, b).withColumnRenamed("part", "score"))
     skipped = lists.where("skip").groupBy("query_id").agg(F.max("upto").alias("left"))
-    partial = hits(lists.where("NOT skip")).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"), F.min("ord").alias("ord"))
+    partial = hits(index, lists.where("NOT skip"), k1, b).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"), F.min("ord").alias("ord"))
     need = partial.join(reach, "query_id", "left").join(skipped, "query_id", "left")
     near = need.where(F.col("score") + F.coalesce("left", F.lit(0.0)) >= F.coalesce(F.col("reach") - MARGIN, F.lit(float("-inf")))).select("query_id", "chunk_id", "ord", "score")
     # What skipped blocks add is looked up by term and chunk; each of their postings is read once, whatever the number of queries.
     cuts = lists.where("skip").groupBy("query_id", "term", "weight").agg(F.collect_set("level").alias("levels"))
     asked = near.select("query_id", "chunk_id").join(cuts, "query_id").select("query_id", F.col("chunk_id").alias("c"), F.col("term").alias("t"), "levels", "weight")
     used = lists.where("skip").select(F.col("term").alias("t"), F.col("level").alias("l")).distinct()
-    rest = blocks.join(used, (F.col("term") == F.col("t")) & (F.col("level") == F.col("l")), "left_semi").select("segment", "term", "level", F.explode("posts").alias("p")).select("segment", "term", "level", "p.*")
+    rest = index.blocks.join(used, (F.col("term") == F.col("t")) & (F.col("level") == F.col("l")), "left_semi").select("segment", "term", "level", F.explode("posts").alias("p")).select("segment", "term", "level", "p.*")
     more = live(index, rest).join(asked, (F.col("chunk_id") == F.col("c")) & (F.col("term") == F.col("t")) & F.array_contains("levels", F.col("level")))
-    more = more.select("query_id", "chunk_id", "ord", (F.col("weight") * impact(F.col("tf"), F.col("dl"), mean, k1, b)).alias("score"))
-    scored = near.unionByName(more.select("query_id", "chunk_id", "ord", "score")).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"), F.min("ord").alias("ord"))
-    return scored, lists
+    more = more.select("query_id", "chunk_id", "ord", (F.col("weight") * impact(F.col("tf"), F.col("dl"), index.avgdl, k1, b)).alias("score"))
+    return whole(near.unionByName(more))
 
 
 def work(queries: DataFrame, index: Segments, k: int = 24, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """One row: postings that scoring everything would take, and those of the blocks that :func:`topk` scores for a query."""
-    lists = evaluated(queries, index, k, k1, b)[1]
+    """One row: postings that scoring everything would take, and those of the blocks that :func:`topk` would score for a query."""
+    lists, _ = listed(queries, index, k, k1, b)
     return lists.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("seed") | ~F.col("skip"), F.col("n"))).alias("scored"))

@@ -124,7 +124,7 @@ NO_LEXICAL = "lexical AS (SELECT CAST(NULL AS BIGINT) AS query_id, CAST(NULL AS
 def search_without_index(spark, d):
     """What search gives when the lexical index is gone: the dense arm alone."""
     rows, vecs, qs = corpus(spark, d)
-    index, error = lexical.open_index(spark, f"{w.shared_folder(spark)}/no-index-here")
+    index, error = lexical.open_index(spark, w.scratch(spark, "no-index-here"))
     return search(qs, rows, vecs, index, lexical_error=error).results.select("query_id", "position", "chunk_id", "score", "rank", "found_by", "is_neighbor", "spent")
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +10,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as tx
 from loomtext.functions import values as v
 from loomtext.operators import cells, segments
-from loomtext.sources.files import shared_folder
+from loomtext.sources.files import scratch
 
 
 def quoted(pattern: str) -> str:
@@ -88,26 +85,17 @@ def stored(spark: SparkSession, sf_dir: str) -> Corpus:
     """The corpus of the driver's tables. It is built and written once in a program, in the shared folder, which is cleared when the program ends; all searches read it."""
     key = corpus_key(spark, sf_dir)
     if key not in _stored:
-        folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+        folder = scratch(spark, "corpus")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         chunks(spark, sf_dir).repartition(parts, "id").write.parquet(f"{folder}/chunks")
         rows = spark.read.parquet(f"{folder}/chunks")
         vectors(spark, sf_dir, rows).write.parquet(f"{folder}/vectors")
         segments.put(spark, f"{folder}/index", rows.select(F.col("id").alias("chunk_id"), "ord", "text"))
-        if not _stored:
-            atexit.register(_forget, spark)
         _stored[key] = folder
     folder = _stored[key]
     return Corpus(spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/vectors"), segments.open_segments(spark, f"{folder}/index"))
 
 
-def _forget(spark: SparkSession) -> None:
-    for folder in _stored.values():
-        with contextlib.suppress(Exception):  # the session may be gone already, and its folder with it
-            p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 #: Cells of the vector index over the driver's tables, and the share of exact neighbours that a search should find.
 CELLS, RECALL = 16, 0.93
 
@@ -122,15 +110,6 @@ def cell_index(spark: SparkSession, sf_dir: str) -> cells.Cells:
     return cells.build(c.vectors.select("chunk_id", "embedding", "doc_type"), path, CELLS)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, which goes when the program ends."""
-    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _stored:
-        atexit.register(_forget, spark)
-    _stored[(name, folder)] = folder
-    return folder
-
-
 def queries(vecs: DataFrame, rows: DataFrame) -> DataFrame:
     """A query for each vector whose id is divisible by 20: the document's text and vector."""
     text = rows.where("source_id <> 'benchmark'").select("doc_id", F.col("text").alias("query"))

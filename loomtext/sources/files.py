@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,3 +102,22 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/loomtext-{os.getpid()}"
     return base.rstrip("/")
+
+
+_scratch: dict[str, SparkSession] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the program ends."""
+    if not _scratch:
+        atexit.register(_forget)
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch[path] = spark
+    return path
+
+
+def _forget() -> None:
+    for path, spark in _scratch.items():
+        with contextlib.suppress(Exception):  # the session may be gone already, and its folder with it
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -43,6 +43,8 @@ def test_topk_equals_scoring_everything(spark, tmp_path, monkeypatch, k):
     qs = asked(spark)
     assert listed(lexical.bm25_topk(qs, index, k)) == listed(lexical.bm25_topk(qs, whole, k))
     assert statistics(index) == statistics(whole)
+    monkeypatch.setattr(segments, "WORTH", 0.0)
+    assert listed(lexical.bm25_topk(qs, index, k)) == listed(lexical.bm25_topk(qs, whole, k))
     w = segments.work(qs, index, k).first()
     assert w.scored < w["all"] * (0.75 if k == 3 else 1)
 
