@@ -250,6 +250,8 @@ def classify(found: list[Block]) -> list[bool]:
     marked = any(b.article and not out for b, out in zip(found, foreign, strict=True)) and 2 * sum(n for article, n in good if article) >= sum(n for _, n in good)
     if marked:
         foreign = [out or not b.article for b, out in zip(found, foreign, strict=True)]
+    if not marked:
+        labels = own_style(found, labels, foreign)
     decides = {GOOD: True, LINKS: False} | ({NEAR: True} if marked else {BAD: False})
     decided = [False if out else decides.get(label) for label, out in zip(labels, foreign, strict=True)]
     if True not in decided:
@@ -262,16 +264,23 @@ def classify(found: list[Block]) -> list[bool]:
     return second_pass(found, decided, foreign, marked)
 
 
+def own_style(found: list[Block], labels: list[str], foreign: list[bool]) -> list[str]:
+    """Labels by the page's own density. Few stop words say nothing against a block where most of the text that is neither furniture nor links has few, or none of it is good."""
+    own = [(label, len(b.text)) for b, label, out in zip(found, labels, foreign, strict=True) if not out and label != LINKS]
+    if any(label == GOOD for label, _ in own) and 2 * sum(n for label, n in own if label == BAD) <= sum(n for _, n in own):
+        return labels
+    return [NEAR if label == BAD and not out else label for label, out in zip(labels, foreign, strict=True)]
+
+
 def second_pass(found: list[Block], decided: list[bool | None], foreign: list[bool], marked: bool) -> list[bool]:
     """Undecided blocks (None) take the label of their nearest decided neighbours. Furniture says nothing of the blocks around it."""
     out = list(decided)
-    if not marked:  # a short heading goes with what comes after it
-        after = None
-        for i in range(len(found) - 1, -1, -1):
-            if out[i] is None and found[i].heading and len(found[i].text) < SHORT and after is not None:
-                out[i] = after
-            elif decided[i] is not None and not foreign[i]:
-                after = decided[i]
+    after = None  # a short heading goes with what comes after it; in a marked article, where that is no text
+    for i in range(len(found) - 1, -1, -1):
+        if out[i] is None and found[i].heading and len(found[i].text) < SHORT and after is not None and not (marked and after):
+            out[i] = after
+        elif not foreign[i] and (decided[i] is not None or marked):
+            after = decided[i] is not False
     before, behind = neighbours(out, foreign, None if marked else False), neighbours(out[::-1], foreign[::-1], None)[::-1]
     for i, label in enumerate(out):
         if label is None:

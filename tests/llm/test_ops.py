@@ -271,6 +271,21 @@ def test_html_without_markup_keeps_ends_and_short_paragraphs():
     assert html_extract.main_text(f"<h2>Links</h2><p><a href=a>{mid}</a></p><p>{PARA}</p><p><a href=a>{mid}</a></p><p>zz</p>") == para
 
 
+def test_html_link_lists_inside_an_article():
+    text = "This is the first part of the story, and it has all that one would want to read in it. " * 4
+    links = "".join(f"<li><a href='/{i}'>Another story number {i} of ours</a></li>" for i in range(6))
+    page = f"<body><article><h1>The story</h1><p>{text}</p><h2>Related stories</h2><ul>{links}</ul><h2>And then</h2><p>It went on for a while.</p><p>{text}</p></article></body>"
+    got = html_extract.main_text(page)
+    assert "Another story" not in got and "Related" not in got and got == f"The story {text.strip()} And then It went on for a while. {text.strip()}"
+
+
+def test_html_pages_of_few_stop_words_without_markup():
+    lines = ["Zinc 40 mg, iron 9 mg, copper 2 mg, boron 1 mg, cobalt 3 mg per kilogram dry weight measured"] * 6
+    page = "<body>" + "".join(f"<div>{x} sample {i}</div>" for i, x in enumerate(lines)) + "<div>What is in the table is all that was found in it and there is no more to say of this.</div><div><a href=x>next</a> <a href=y>back</a></div></body>"
+    got = html_extract.main_text(page)
+    assert all(f"sample {i}" in got for i in range(6)) and "next" not in got
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>Hi &eacute;</p></article>"), (2, None, None), (2, None, None)], "page_id long, url string, html string").withColumn("__page", F.lit(1))
     got = html_extract.extract(df).collect()
