@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as tx
 from loomtext.operators import dense, fusion, lexical, policy
 from loomtext.operators.filters import compile_filter
+from loomtext.sources.files import written
 from loomtext.settings import Retrieval
 
 
@@ -43,6 +44,8 @@ def search(
     ``vectors`` may have ``doc_type`` beside the vector, as stored collections
     do; else it is joined from the chunks. Without an ``index`` (see
     :func:`lexical.open_index`) the lexical arm is empty and the result says why.
+    The lists of both arms and the hits kept of them are written, for several
+    steps read them: no arm runs twice.
     """
     c = config or Retrieval()
     good, rejected = split_queries(queries, c.most_query_chars)
@@ -54,8 +57,8 @@ def search(
         corpus = vectors
     else:
         corpus = vectors.drop("doc_type").join(light.where(keep).select(F.col("id").alias("chunk_id"), "doc_type"), "chunk_id")
-    near = dense.similarity_floor(dense.dense_topk(flagged, corpus, c.dense_k, ~bad, "exclude"), c.similarity_floor)
-    words = lexical.no_hits(good) if index is None else lexical.bm25_topk(good, index, c.lexical_k, c.k1, c.b)
+    near = written(dense.similarity_floor(dense.dense_topk(flagged, corpus, c.dense_k, ~bad, "exclude"), c.similarity_floor), "search-dense")
+    words = lexical.no_hits(good) if index is None else written(lexical.bm25_topk(good, index, c.lexical_k, c.k1, c.b), "search-lexical")
     if index is None:
         lexical_error = lexical_error or "no lexical index"
     fused = fusion.fuse(near, words, c.rrf_k)
@@ -65,7 +68,7 @@ def search(
         hits = hits.where(keep)
     hits = policy.exclude(hits, c.excluded_types, "exclude")
     hits = policy.cap_per_document(policy.dedup(hits), c.per_document)
-    hits = policy.top(policy.demote(hits, c.demoted_types), c.final_k)
+    hits = written(policy.top(policy.demote(hits, c.demoted_types), c.final_k), "search-hits")
     if c.neighbors > 0:
         pool = light if compat_where else light.where(keep)
         hits = policy.expand_neighbors(hits.drop("exclude"), pool).join(flagged.select("query_id", "exclude"), "query_id")

@@ -116,6 +116,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as written to a new scratch folder: what several steps read is worked out once."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _forget() -> None:
     for path, spark in _scratch.items():
         with contextlib.suppress(Exception):  # the session may be gone already, and its folder with it
