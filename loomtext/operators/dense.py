@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Vectors in a block of queries and in one of the corpus; distances held at a time; a distance (in millionths) that no pair has.
-QUERY_BYTES, CORPUS_BYTES, TILE_BYTES, FAR = 16 << 20, 64 << 20, 32 << 20, 1 << 40
+QUERY_BYTES, CORPUS_BYTES, TILE_BYTES, FAR = 16 << 20, 64 << 20, 8 << 20, 1 << 40
+#: Blocks a side up to which smaller ones are made: each side of the grid is dealt once for every block of the other.
+MOST_BLOCKS = 16
 
 
 def norm(c: Column) -> Column:
@@ -41,7 +43,9 @@ def dense_topk(
     their counted size, go to every task, and each partition of ``vectors``
     (chunk_id, embedding) is read where it lies. More queries never reach the
     driver: queries and corpus are dealt to a grid of blocks, each of a bounded
-    size, and every pair of blocks meets in one group. The corpus is scanned
+    size, and every pair of blocks meets in one group. Blocks smaller than
+    QUERY_BYTES and CORPUS_BYTES are made up to MOST_BLOCKS a side, so that what
+    is dealt grows with the tables, not with their product. The corpus is scanned
     once either way, and only candidates are shuffled for the last ranking.
 
     Chunks that are not ``admissible`` are no candidates; with ``when``, a column
@@ -62,7 +66,7 @@ def dense_topk(
         found = corpus.mapInArrow(_scan(table, k, types), schema) if size else _none(rows, corpus)
     else:
         n_rows = corpus.agg(F.coalesce(F.sum(F.size("embedding").cast("long") * 8), F.lit(0))).first()[0]
-        q_blocks, c_blocks = -(-size // query_bytes), max(1, -(-n_rows // corpus_bytes))
+        q_blocks, c_blocks = blocks(size, query_bytes, QUERY_BYTES), blocks(n_rows, corpus_bytes, CORPUS_BYTES)
         block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n).cast("long")).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
         left = rows.withColumn("__q", block("query_id", q_blocks)).withColumn("__c", every(c_blocks))
@@ -71,6 +75,11 @@ def dense_topk(
     return top(found, k)
 
 
+def blocks(size: int, asked: int, bound: int) -> int:
+    """Blocks of ``asked`` bytes, MOST_BLOCKS at most unless they would be larger than ``bound``."""
+    return max(1, min(-(-size // asked), max(MOST_BLOCKS, -(-size // bound))))
+
+
 def top(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return found.withColumn("dense_rank", F.row_number().over(w).cast("long")).where(F.col("dense_rank") <= k)
