@@ -109,3 +109,16 @@ def test_shared_terms_are_multiplied_and_give_what_pairs_give(monkeypatch):
     monkeypatch.setattr(segments, "PRODUCTS", 0)
     met.clear()
     assert np.allclose(got, scores(), rtol=0, atol=1e-9) and np.allclose(got, parts, rtol=0, atol=1e-9) and not met
+
+
+def test_texts_move_for_queries_that_need_them_only(spark, monkeypatch):
+    """Places, lengths and types of chunks are worked out where texts are read."""
+    from loomtext.plans import catalog
+
+    monkeypatch.setattr(views, "_stored", {})
+    for name in ("bm25_doc_stats", "chunk_ids", "reindex_diff", "snapshot_restored", "feedback_stored", "eval_distances"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    c = views.stored(spark, "/root/testdata/sf0.001")
+    assert "text" not in c.places.columns and not views.there(spark, f"{c.folder}/chunks")
+    assert sorted(map(tuple, c.chunks.select(*c.places.columns).collect())) == sorted(map(tuple, views.places(spark, "/root/testdata/sf0.001").select(*c.places.columns).collect()))
+    assert c.chunks.where("token_count > 0 AND length(text) = 0").count() == 0
