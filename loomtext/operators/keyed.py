@@ -27,6 +27,8 @@ from loomtext.sources.ledger import Conflict, Ledger
 
 #: Buckets of a new collection.
 BUCKETS = 64
+#: Keys up to which they go to every task, so that rows they replace are left out where they lie.
+FEW = 1_000_000
 
 
 def bucket(c: Column, buckets: int) -> Column:
@@ -151,9 +153,10 @@ class KeyedStore:
         """Rows in place of those of the same key, and the keys in ``gone`` left out, as one version."""
         check_write(self.settings, confirm)
         keys = gone.select(F.col(self.key).alias("__gone")).distinct()
+        few = rows.select(self.key).count() <= FEW
 
         def after(there: DataFrame) -> DataFrame:
-            return upsert(there, rows, self.key).join(keys, F.col(self.key) == F.col("__gone"), "left_anti")
+            return upsert(there, rows, self.key, few).join(keys, F.col(self.key) == F.col("__gone"), "left_anti")
 
         return self._change(name, lambda base: self._touched(rows.select(self.key).unionByName(gone.select(self.key)), base["buckets"]), after)
 

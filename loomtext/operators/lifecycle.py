@@ -42,13 +42,14 @@ def guard(n_stale: int, delete_stale: bool, partial: bool) -> None:
         raise WriteRefused("TOO_MANY_STALE")
 
 
-def upsert(target: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """``target`` with ``rows`` in place of rows of the same key. Of repeated keys in ``rows`` the greatest row counts, by its columns in order (maps aside)."""
+def upsert(target: DataFrame, rows: DataFrame, key: str = "id", few: bool = False) -> DataFrame:
+    """``target`` with ``rows`` in place of rows of the same key. Of repeated keys in ``rows`` the greatest row counts, by its columns in order (maps aside). ``few`` keys go to every task."""
     names = [c for c in rows.columns if c != key]
     by = [F.col(f"`{f.name}`") for f in rows.schema.fields if f.name != key and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]) if names else F.struct(F.lit(1).alias("none"))
     last = rows.groupBy(key).agg(F.max_by(whole, F.struct(*by) if by else F.lit(1)).alias("__r")).select(key, *[F.col(f"__r.c{i}").alias(c) for i, c in enumerate(names)])
-    return target.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
+    keys = rows.select(key).distinct()
+    return target.join(F.broadcast(keys) if few else keys, key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def delete(target: DataFrame, ids: list[str]) -> DataFrame:

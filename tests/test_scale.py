@@ -122,3 +122,34 @@ def test_texts_move_for_queries_that_need_them_only(spark, monkeypatch):
     assert "text" not in c.places.columns and not views.there(spark, f"{c.folder}/chunks")
     assert sorted(map(tuple, c.chunks.select(*c.places.columns).collect())) == sorted(map(tuple, views.places(spark, "/root/testdata/sf0.001").select(*c.places.columns).collect()))
     assert c.chunks.where("token_count > 0 AND length(text) = 0").count() == 0
+
+
+def test_a_commit_deals_texts_once(spark, tmp_path, monkeypatch):
+    """Digests of what is wanted and what is there meet; texts that stay are shuffled only into their buckets."""
+    from loomtext.operators.keyed import KeyedStore
+    from loomtext.plans.commit import commit
+    from loomtext.settings import Settings
+
+    def moved():
+        store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList()).iterator()
+        n = 0
+        while stages.hasNext():
+            n += stages.next().shuffleWriteBytes()
+        return n
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        settings = Settings(dimension=2, writes_enabled=True, disk_floor_gb=0.0)
+        body = F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(str(i))), 512) for i in range(40)])  # 5,160 characters that hardly shrink
+        rows = spark.range(400).select(F.concat(F.lit("c"), "id").alias("id"), F.lit("p").alias("source_path"), F.col("id").alias("chunk_index"))
+        rows = rows.withColumn("text", body)
+        store, folder = KeyedStore(spark, f"file://{tmp_path}/s", settings, buckets=2), f"file://{tmp_path}/f"
+        ones = lambda texts: [[1.0, 0.0] for _ in texts]
+        commit(store, rows.where("chunk_index <> 3"), settings, ones, folder, confirm=True)
+        before = moved()
+        done = commit(store, rows.withColumn("text", F.when(F.col("chunk_index") == 5, "other").otherwise(F.col("text"))), settings, ones, folder, confirm=True)
+        assert (done.written, done.changed, done.embedded, done.collection_count, done.lexical_count) == (400, 2, 2, 400, 400)
+        assert moved() - before < 2 * 400 * 5160  # half of it after compression for each time that all texts move
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
