@@ -20,6 +20,7 @@ class SearchResult:
     stats: DataFrame
     rejected: DataFrame
     lexical_error: str | None = None
+    lexical: DataFrame | None = None  # the lexical arm's lists
 
 
 #: Chunk columns that the chain after fusion uses; the text joins last.
@@ -78,7 +79,7 @@ def search(
     hits = policy.trim_budget(hits.drop("exclude"), c.token_budget)
     cols = ("query_id", "position", "chunk_id", "score", "rank", "found_by", "dense_rank", "lexical_rank", "is_neighbor")
     stats = search_stats(flagged, near, words, fused, hits)
-    return SearchResult(hits.select(*cols, "spent"), stats, rejected, lexical_error)
+    return SearchResult(hits.select(*cols, "spent"), stats, rejected, lexical_error, words)
 
 
 def search_stats(queries: DataFrame, near: DataFrame, words: DataFrame, fused: DataFrame, hits: DataFrame) -> DataFrame:
