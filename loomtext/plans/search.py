@@ -51,6 +51,8 @@ def search(
     c = config or Retrieval()
     good, rejected = split_queries(queries, c.most_query_chars)
     flagged = good.withColumn("exclude", ~tx.contrast_intent(F.col("query")) & F.lit(where is None))
+    if "same" in chunks.columns:  # says of two chunks whether their fingerprints agree, and is shorter
+        chunks = chunks.drop("fingerprint").withColumnRenamed("same", "fingerprint")
     light = chunks.select(*LIGHT, *[k for k in ("dialect", "register", "license") if k in chunks.columns])
     keep = compile_filter(where)
     bad = F.coalesce(F.col("doc_type").isin(list(c.excluded_types)), F.lit(False))

@@ -198,3 +198,16 @@ def test_stored_rows_have_each_term_once_and_give_all_of_them(spark, tmp_path):
     want = rows.select("chunk_id", F.sort_array(tx.terms(F.coalesce("text", F.lit("")))).alias("terms"))
     assert index.rows.select("chunk_id", F.sort_array("terms").alias("terms")).orderBy("chunk_id").collect() == want.orderBy("chunk_id").collect()
     assert "Exchange" not in segments.summed(index._read("terms"), 1)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fingerprints_of_places_are_not_stored_and_texts_of_asked_documents_only_move(spark, monkeypatch):
+    monkeypatch.setattr(views, "_stored", {})
+    d = "/root/testdata/sf0.01"
+    c, both = views.stored(spark, d), views.places(spark, d)
+    assert "fingerprint" not in c.places.columns
+    assert both.select("same").distinct().count() == both.select("fingerprint").distinct().count() == both.select("same", "fingerprint").distinct().count()
+    vecs, rows = c.vectors.where("doc_id % 40 <> 0"), views.sources(spark, d)  # some documents that are asked for have no vector now
+    asked = rows.where("source_id <> 'benchmark' AND doc_id % 20 = 0")
+    few = views.queries(vecs, rows)
+    assert few.count() == vecs.where("doc_id % 20 = 0").count() < asked.count() and few.select("query_id", "query").exceptAll(asked.select("doc_id", "text")).count() == 0
+    assert "LeftSemi" in few._jdf.queryExecution().optimizedPlan().toString()
